@@ -186,10 +186,12 @@ def edge_kind(node: Node) -> str:
     """What the strength of a tie to the parent depends on: sections may differ from their parent, running text hardly does."""
     if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dd", "dt", "dl", "figure", "figcaption"):
         return "flow"
+    if node.tag in ("article", "main", "div"):
+        return node.tag
     return "section" if node.tag in BLOCK else "inline"
 
 
-KINDS = ("flow", "section", "inline")
+KINDS = ("flow", "article", "main", "div", "section", "inline")
 
 
 @dataclass
@@ -264,7 +266,7 @@ def labelled(page: Page) -> np.ndarray:
     return out
 
 
-def fit(pages: tuple[str, ...] = PAGES, steps: int = 100, rate: float = 0.15, decay: float = 2e-3) -> TreeModel:
+def fit(pages: tuple[str, ...] = PAGES, steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> TreeModel:
     """Fits node and edge weights to labelled pages, elements of which carry data-label="main" or "other"."""
     parsed = [parse(p) for p in pages]
     labels = [labelled(p) for p in parsed]

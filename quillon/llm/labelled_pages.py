@@ -53,6 +53,30 @@ def _layouts() -> list[str]:
     out.append(_page(f"{nav}<section class='comments' data-label='other'><h2>Comments</h2><article data-label='other'><p>{_MID}</p></article><div class='comment'><p>{_LONG}</p></div></section>{footer}"))
     out.append(_page(f"{nav}<article data-label='main'><h1>River</h1>{_P}</article><section id='comments' data-label='other'><h2>3 comments</h2><ol><li><p>{_MID}</p></li><li><p>{_LONG}</p></li></ol></section><aside class='sidebar' data-label='other'><p>{_LONG}</p></aside>{footer}"))
     out.append(_page(f"<div data-label='other'>{_MENU}</div><div data-label='main'><h1>River</h1>{_P}<div><p>{_LONG}</p></div></div>{footer}"))
+    # short articles between long boilerplate
+    for i, name in enumerate(_MAIN):
+        attribute = "class" if i % 2 else "id"
+        out.append(f"<html><body>{_around(_OTHER[(5 * i) % len(_OTHER)], f'<p>{_MID}</p>')}<div {attribute}='{name}' data-label='main'><h1>River</h1><p>{_SHORT if i % 3 else 'Wet.'}</p></div>{_around(_OTHER[(5 * i + 2) % len(_OTHER)], f'<p>{_LONG}</p>')}</body></html>")
+    out.append(f"<article data-label='main'><p>{_SHORT}</p><div class='comments' data-label='other'><p>{_LONG}</p></div></article>")
+    for i, name in enumerate(("comments", "comment list", "replies", "discussion", "respond", "related", "recommended", "more stories")):  # articles within boilerplate
+        attribute = "id" if i % 2 else "class"
+        out.append(f"<body>{nav}<article data-label='main'><h1>River</h1><p>{_SHORT}</p></article><section {attribute}='{name}' data-label='other'><h2>More</h2><article><p>{_SHORT}</p></article><article><p>{_MID}</p></article></section></body>")
+        out.append(f"<main data-label='main'><h1>River</h1>{_P}</main><div {attribute}='{name}' data-label='other'><article><p>{_MID}</p></article><div class='comment'><p>{_SHORT}</p></div></div>")
+    for top in ("<header><h1>The Paper</h1></header>", "<header class='site header'><h1>The Paper</h1><h2>Since 1900</h2></header>", "<header><h2>The Paper</h2><p>News</p></header>", f"<header><h1>The Paper</h1>{_MENU}</header>"):
+        out.append(f"<body>{top.replace('<header', "<header data-label='other'")}<main data-label='main'><h1>River</h1><p>{_SHORT}</p></main><footer data-label='other'>c</footer></body>")
+        out.append(f"<html><body>{top.replace('<header', "<header data-label='other'")}<article data-label='main'><header><h1>River</h1></header><p>{_MID}</p></article><footer data-label='other'><p>c</p></footer></body></html>")
+    for tag in ("article", "main"):
+        out.append(f"<{tag} data-label='main'><p>Wet fields</p></{tag}>")
+        out.append(f"<{tag} data-label='main'><h1>Wet fields</h1><p>River and farm</p><div class='comments' data-label='other'><p>{_SHORT}</p></div></{tag}>")
+        out.append(_page(f"{nav}<{tag} data-label='main'><h2>Wet fields</h2><ul><li>River</li><li>Farm</li></ul></{tag}>{footer}"))
+    for i, name in enumerate(_OTHER):  # short boilerplate within an article
+        text = ("<p>Wet.</p>", f"<h3>More</h3><p>{_SHORT}</p>", f"<form><p>{_SHORT}</p></form>", f"<p>{_MID}</p>")[i % 4]
+        tag = ("div", "aside", "section", "div")[i % 4]
+        out.append(f"<article data-label='main'><h1>River</h1><p>{_SHORT if i % 2 else _MID}</p><{tag} class='{name}' data-label='other'>{text}</{tag}><ul><li>Wet.</li></ul><p>{_SHORT}</p></article>")
+    out.append("<article data-label='main'><p>Wet.</p></article>")
+    out.append(_page(f"<article data-label='main'><h1>River</h1></article>{footer}"))
+    out.append(_page(f"{nav}<main data-label='main'><p>{_SHORT}</p></main>{footer}"))
+    out.append(_page(f"{nav}<article data-label='main'>Wet. {_SHORT}<br>{_SHORT}</article>{footer}"))
     out.append(_page(f"{nav}<div data-label='other'><p>{_SHORT}</p></div><article data-label='main'><p>{_SHORT}</p></article>{footer}"))
     return out
 
