@@ -3,10 +3,9 @@
 The index holds postings (term, doc_id, position) of the training tokens for the
 terms that benchmark phrases are looked up by. Every window of an item is looked up
 by its rarest term in the corpus, so the longest lists are never opened. A posting
-carries the tokens around it, and the benchmark's postings are aligned to it by
-their offset; the tokens that agree left and right of the rarest term are the
-intersection of the other terms' offset-adjusted lists. The stretch that agrees gives
-the exact phrases.
+is met by the window's posting of the same term, adjusted by its offset, and the
+other terms are intersected at once with the tokens that stand at their adjusted
+positions. What agrees as a whole is an exact phrase.
 """
 
 from __future__ import annotations
@@ -39,30 +38,18 @@ def _side(df: DataFrame, small: bool) -> DataFrame:
 
 def document_frequency(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """How often each of the terms occurs in all documents: term, df (0 for those that don't)."""
-    postings = docs.select(F.explode("tokens").alias("term"))
+    postings = docs.select(F.explode_outer("tokens").alias("term"))
     found = postings.join(_side(terms, small), "term").groupBy("term").agg(F.count("*").alias("df"))
     return terms.join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def anchors(items: DataFrame, df: DataFrame, window: int) -> DataFrame:
-    """One row for each position of an item by which at least one of its windows is looked up: the leftmost of its rarest terms.
-
-    item_id, row, at, n, term and the item's words from window - 1 before to window - 1 after.
-    """
-    placed = items.select("item_id", "row", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).join(df, "term")
+def window_index(items: DataFrame, df: DataFrame, window: int) -> DataFrame:
+    """One row per window of an item: row, item_id, its words, the leftmost of its rarest terms and that term's offset."""
+    placed = items.select("row", F.size("words").alias("n"), F.posexplode("words").alias("at", "term")).join(df, "term")
     w = Window.partitionBy("row").orderBy("at").rowsBetween(0, window - 1)
     rarest = placed.withColumn("best", F.min(F.struct("df", "at")).over(w)).where((F.col("at") == 0) | (F.col("at") + window <= F.col("n")))
-    chosen = rarest.select("row", F.col("best.at").alias("at")).distinct()
-    reach = window - 1
-    lo = F.greatest(F.lit(0), F.col("at") - reach)
-    return chosen.join(items, "row").select("row", "item_id", F.size("words").alias("n"), F.element_at("words", F.col("at") + 1).alias("term"), F.slice("words", lo + 1, F.col("at") - lo).alias("before"), F.slice("words", F.col("at") + 2, F.lit(reach)).alias("after"))
-
-
-def _agree(a: Column, b: Column) -> Column:
-    """How many leading words of two arrays agree."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, False)
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+    joined = rarest.select("row", F.col("at").alias("begin"), F.col("best.at").alias("at")).join(items, "row")
+    return joined.select("row", "item_id", F.element_at("words", F.col("at") + 1).alias("term"), (F.col("at") - F.col("begin")).alias("offset"), F.slice("words", F.col("begin") + 1, F.lit(window)).alias("phrase"))
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -75,16 +62,22 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0).groupBy("item_id", "words").count().select("item_id", "words", F.xxhash64("item_id", "words").alias("row"))
     corpus = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
     terms = items.select(F.explode("words").alias("term")).distinct()
-    index = anchors(items, document_frequency(corpus, terms, small), window)
+    index = window_index(items, document_frequency(corpus, terms, small), window)
+    # outer: else the optimizer adds a filter that splits every text once more
+    postings = corpus.select("doc_id", "tokens", F.posexplode_outer("tokens").alias("pos", "term"))
     reach = window - 1
-    postings = corpus.select("doc_id", "tokens", F.posexplode("tokens").alias("pos", "term"))
-    hits = postings.join(_side(index, small), "term")
-    lo = F.greatest(F.lit(0), F.col("pos") - reach)
-    left = _agree(F.reverse(F.slice("tokens", lo + 1, F.col("pos") - lo)), F.reverse("before"))
-    right = _agree(F.slice("tokens", F.col("pos") + 2, F.lit(reach)), F.col("after"))
-    runs = hits.select("doc_id", "row", "item_id", "n", "pos", left.alias("l"), right.alias("r"))
-    whole = runs.where(F.col("l") + F.col("r") + 1 >= F.least("n", F.lit(window)))
-    return whole.select("doc_id", "row", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r") + 1).alias("end"))
+    if small:
+        # the check stands in the join of the scan's own loop, so no row holds a document's words
+        around, before = "tokens", F.lit(0)
+    else:
+        lo = F.greatest(F.lit(0), F.col("pos") - reach)
+        postings = postings.select("doc_id", "pos", "term", lo.alias("_lo"), F.slice("tokens", lo + 1, F.lit(2 * reach + 1)).alias("_near"))
+        around, before = "_near", F.col("_lo")
+    index = index.withColumnRenamed("term", "_term")
+    start = F.col("pos") - F.col("offset")
+    agrees = (F.col("term") == F.col("_term")) & (start >= 0) & (F.slice(around, F.greatest(start - before, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase"))
+    found = postings.join(_side(index, small), agrees)
+    return found.select("doc_id", "row", "item_id", start.alias("start"), (start + F.size("phrase")).alias("end"))
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, within: int = 25, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -100,10 +93,10 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, wit
     placed = items.withColumn("row", F.xxhash64("item_id", "words")).select("row", "item_id", F.explode("words").alias("term")).join(df, "term")
     ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("df", "term"))).where(F.col("k") <= terms)
     index = ranked.groupBy("row", "item_id").agg(F.min_by("term", "k").alias("term"), F.collect_set("term").alias("need"))
-    postings = corpus.select("doc_id", "tokens", F.posexplode("tokens").alias("pos", "term")).join(_side(index, small), "term")
+    postings = corpus.select("doc_id", "tokens", F.posexplode_outer("tokens").alias("pos", "term")).join(_side(index, small), "term")
     lo = F.greatest(F.lit(0), F.col("pos") - within)
-    near = F.slice("tokens", lo + 1, F.col("pos") - lo + within + 1)
-    return postings.where(F.size(F.array_except("need", near)) == 0).select("doc_id", "item_id", "pos").distinct()
+    near = postings.select("doc_id", "item_id", "pos", "need", F.slice("tokens", lo + 1, F.col("pos") - lo + within + 1).alias("near"))
+    return near.where(F.size(F.array_except("need", "near")) == 0).select("doc_id", "item_id", "pos").distinct()
 
 
 def _covered(spans: Column) -> Column:
