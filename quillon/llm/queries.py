@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontamination, html_extraction, media, mixing, sharding, toxicity, url_filter
+from quillon.llm import chat, decontamination, html_extraction, jaccard, media, mixing, sharding, toxicity, url_filter
 from quillon.llm.common import read
 
 
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
@@ -57,4 +61,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op4_toxicity, op5_mixing, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination)}
