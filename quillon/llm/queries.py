@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontamination, html_extraction, jaccard, media, mixing, sharding, toxicity, url_filter
+from quillon.llm import chat, decontamination, html_extraction, jaccard, media, mixing, sharding, substrings, toxicity, url_filter
 from quillon.llm.common import read
 
 
@@ -13,6 +13,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(read(spark, sf_dir, "pages"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -61,4 +66,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination)}

@@ -104,4 +104,17 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-SQL = {"op3_url_filters": OP3, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_chat_formatting": OP9, "op10_decontamination": OP10}
+OP2 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM docs, unnest(range(1, len(w) - 18)) t(i)
+), later AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, i + o AS p FROM later, unnest(range(0, 20)) t(o)),
+words AS (SELECT doc_id, p, w[p] AS word FROM docs, unnest(range(1, len(w) + 1)) t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op2_substring_dedup": OP2, "op3_url_filters": OP3, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_chat_formatting": OP9, "op10_decontamination": OP10}
