@@ -124,3 +124,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
     joined = counted.join(per_doc, F.expr("doc_id <=> d AND _h <=> h"), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select("doc_id", "_h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
+    """The documents that aren't contaminated, with their columns. Few documents are, so only their ids meet the rows again."""
+    bad = contamination(docs, benchmark, window, one_in).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_th")).distinct()
+    return docs.withColumn("_th0", F.xxhash64("text")).join(bad, F.expr("doc_id <=> _d AND _th0 <=> _th"), "left_anti").drop("_th0")

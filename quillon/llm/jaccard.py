@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm.components import components
 from quillon.llm.words import Words, grams, inside, mixed
@@ -289,9 +290,15 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
-    """One document of each group, that of the smallest id, with its columns; of rows that repeat the id and group, one."""
+    """One document of each group, that of the smallest id, with its columns; of rows that repeat id and text, one.
+
+    Texts without words are in no group and stay. An id stands for one document: of rows with one id and other texts all stay if
+    one is its group's smallest.
+    """
     found = near_duplicates(docs, near)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    columns = docs.columns
-    kept = docs.alias("d").join(keep.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*columns)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
+    kept = docs.select("*", name, F.xxhash64("text").alias("_t")).join(keep, "_id", "left_semi")
+    # the join's partitions serve the window too, so the texts move once
+    first = F.row_number().over(Window.partitionBy("_id", "_t").orderBy(F.col("doc_id").isNull()))
+    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,10 +166,10 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame, fitted_on: DataFrame | None = None) -> DataFrame:
     """The documents that aren't judged toxic, with their columns; row by row, so nothing is joined."""
     model = fit(docs if fitted_on is None else fitted_on, labels)
-    columns = docs.columns
 
     def kept(batches):
         for b in batches:
-            yield b[model.exceeds(model.scores(b["text"].tolist()))[:, 0] < 0.5][columns]
+            toxic = model.exceeds(model.scores(b.column("text").to_pylist()))[:, 0] >= 0.5
+            yield b.filter(pa.array(~toxic))
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)
