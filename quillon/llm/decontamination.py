@@ -129,4 +129,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, o
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
     """The documents that aren't contaminated, with their columns. Few documents are, so only their ids meet the rows again."""
     bad = contamination(docs, benchmark, window, one_in).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("_h").alias("_th")).distinct()
-    return docs.withColumn("_th0", F.xxhash64("text")).join(bad, F.expr("doc_id <=> _d AND _th0 <=> _th"), "left_anti").drop("_th0")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_t"))
+    return rows.join(bad, F.expr("_row.doc_id <=> _d AND _t <=> _th"), "left_anti").select("_row.*")

@@ -78,13 +78,14 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, c
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, each row as often as it is emitted, with the columns of `docs`."""
-    keep = docs.columns
-    counted = mix(docs, seed)
-    # rows are matched by id, source and size; repeated rows share their copies, so they are averaged out by rank
-    w = Window.partitionBy("doc_id", "source", "_size").orderBy("_tie")
-    left = docs.withColumns({"_size": word_count(F.col("text")), "_tie": F.xxhash64("text")}).withColumn("_rank", F.row_number().over(w))
-    v = Window.partitionBy("doc_id", "source", "size").orderBy(F.desc("copies"))
-    right = counted.withColumn("_rank", F.row_number().over(v))
-    joined = left.alias("d").join(right.alias("m"), F.expr("d.doc_id <=> m.doc_id AND d.source <=> m.source AND d._size = m.size AND d._rank = m._rank AND m.copies > 0"))
-    return joined.select("d.*", "m.copies").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*keep)
+    """The documents of the mix, each row as often as it is emitted, with the columns of `docs`.
+
+    Rows meet their copies by id, source and size; of rows that agree in these the first by text gets the most copies.
+    """
+    same = ("_id", "_source", "_size")
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_source"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
+    left = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*same).orderBy("_tie")))
+    counted = mix(docs, seed).where("copies > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_source"), F.col("size").alias("_size"), "copies")
+    right = counted.withColumn("_rank", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies"))))
+    joined = left.join(right, [*same, "_rank"])
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
