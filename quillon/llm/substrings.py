@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def stretches(batches, wanted, window: int = WINDOW):
     Rows without words are removals that the chunk itself settles.
     """
     for part in slices(batches):
-        texts, ids = part.column("text"), np.asarray(pa.compute.fill_null(part.column("id"), NO_ID), np.int64)
+        texts, ids = part.column("text"), np.asarray(pc.fill_null(part.column("id"), NO_ID), np.int64)
         keys = np.array([text_key(t) for t in texts.to_pylist()], np.int64)
         order = np.lexsort((ids, keys))
         same = np.zeros(len(ids), bool)
@@ -177,7 +178,7 @@ def removals(rows: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataF
         for batch in batches:
             settled = batch.column("words").is_null()
             yield batch.filter(settled).select(["id", "key", "at", "last"])
-            batch = batch.filter(pa.compute.invert(settled))
+            batch = batch.filter(pc.invert(settled))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -228,10 +229,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, max_sent: int = MAX_SENT
     rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), "text")
     counts = anchor_counts(rows, window).where("n > 1").persist(StorageLevel.DISK_ONLY)
     if counts.count() <= max_sent:
-        sent = counts.toPandas()  # bounded by max_sent
-        value = sent["anchor"].to_numpy(np.int64).view(np.uint64)
+        sent = counts.select("anchor", (F.col("n") > max_group).alias("large")).toArrow()  # bounded by max_sent
+        value = sent.column("anchor").to_numpy().view(np.uint64)
         order = np.argsort(value)
-        known = rows.sparkSession.sparkContext.broadcast((value[order], sent["n"].to_numpy()[order] > max_group))
+        known = rows.sparkSession.sparkContext.broadcast((value[order], sent.column("large").to_numpy()[order]))
+        del sent, value, order
 
         def wanted(part, at, start, anchor):
             value, large = known.value

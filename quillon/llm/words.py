@@ -20,12 +20,16 @@ MASK = (1 << 64) - 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base ** 2 ... modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    if n:
+    if len(_KNOWN.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        _KNOWN[base] = np.multiply.accumulate(out)
+    return _KNOWN[base][:n] if n else np.zeros(0, np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -62,7 +66,7 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(at) - 1), self.count)
 
-    def hashes(self, block: int = 1 << 22) -> np.ndarray:
+    def hashes(self, block: int = 1 << 18) -> np.ndarray:
         """A 64-bit hash of each word, whatever its place."""
         out = np.empty(len(self.start), np.uint64)
         w = 0
