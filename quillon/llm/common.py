@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,23 @@ def offsets(counts: DataFrame, groups: list[str], order: list[str], value: str,
     return counts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes a table to the folder that the session names in spark.checkpoint.dir (where none is set, as in tests, to a folder of its own) and reads it back.
+
+    It outlives lost executors, is read by column, and later plans show a scan instead of all that made it. The folder's owner
+    clears it when the job is done.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="quillon-tables-")
+    path = f"{base}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the folder that the session names in spark.checkpoint.dir; only where none is set (tests) a folder of its own is taken."""
     context = df.sparkSession.sparkContext

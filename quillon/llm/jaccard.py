@@ -4,7 +4,8 @@ A document is the set of its word shingles in one global order: shingles known t
 the rest by hash. Two sets can only reach the similarity when the first quarter of each (its prefix) shares a shingle.
 
 1. One pass counts prefix shingles, by chunks, to learn which are frequent; the order puts
-   those last, so few documents meet at a shingle.
+   those last, so few documents meet at a shingle. Another finds, by 32 bits of their hash, the prefix
+   shingles that repeat at all; the others are leaves just below the root and aren't moved.
 2. A second pass gives for each text its key, set size, prefix and a parity sketch of the set.
 3. Prefix shingles of more than one text are the inner nodes of the tree's first level. At each, every
    text is first tried against one pivot. Pairs whose lengths, positions or sketches rule the
@@ -22,11 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.llm.common import written
 from quillon.llm.components import components
 from quillon.llm.words import Words, grams, inside, mixed
 
@@ -34,19 +37,23 @@ SHINGLE = 5
 #: similarity as a ratio of integers
 NEAR = (75, 100)
 #: bytes of text that a task holds as words at once
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: the frequent shingles sent to the tasks are at most so many
 MAX_FREQUENT = 2_000_000
 #: shingles counted at least so often within chunks count as frequent
 FREQUENT = 64
+#: up to so many prefix shingles are counted by slots, and so many slots that repeat are sent to the tasks
+MAX_COUNTED, MAX_SLOTS = 1 << 30, 8_000_000
 #: up to so many texts to be verified are named to the tasks; beyond, texts are joined by a shuffle
 MAX_NAMED = 1_000_000
+#: partners of a text in one prefix tree
+PARTNERS = 256
 
 
 def slices(batches, limit: int = CHUNK):
     """Parts of Arrow batches of about so many bytes of text, or of one text."""
     for batch in batches:
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64)
         part = (np.cumsum(size) - size) // limit
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges], [*edges, len(size)]):
@@ -163,40 +170,123 @@ class PrefixTree:
                 node, depth = child, depth + 1
 
 
-def _texts(docs: DataFrame, frequent: np.ndarray, near: tuple[int, int]) -> DataFrame:
-    """Per document: doc_id, key, n, sketch and prefix."""
-    kind = dict(docs.dtypes)["doc_id"]
+def column(df: DataFrame, name: str, kind=np.int64) -> np.ndarray:
+    """A column on the driver; only for results of bounded size."""
+    return df.select(name).toArrow().column(name).to_numpy().astype(kind)
+
+
+def slot(value: np.ndarray) -> np.ndarray:
+    """32 bits of a shingle's hash, without the mark of frequent ones."""
+    return ((value & np.uint64(2**63 - 1)) >> np.uint64(31)).astype(np.uint32)
+
+
+class Order:
+    """What the tasks know of the global order: the frequent shingles, and (None if too many to send) the slots of prefix shingles that repeat."""
+
+    def __init__(self, spark, frequent: np.ndarray, repeated: np.ndarray | None = None):
+        self.frequent = spark.sparkContext.broadcast(frequent)
+        self.repeated = None if repeated is None else spark.sparkContext.broadcast(repeated)
+
+
+def _texts(docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
+    """Per document: doc_id, key, n, sketch and its prefix as shingles `t` and places `pos`, without those known to be in one text only."""
+    kind, frequent, sieve = dict(docs.dtypes)["doc_id"], order.frequent, order.repeated
 
     def made(batches):
         for part in slices(batches):
-            sets = Sets(part.column("text"), frequent)
+            sets = Sets(part.column("text"), frequent.value)
             first = sets.prefix(near)
-            values = sets.value[first].view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(sets.doc[first], minlength=len(sets.size)))])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.key.view(np.int64)), pa.array(sets.size.astype(np.int64)), pa.array(sets.sketches(), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))], names=["doc_id", "key", "n", "sketch", "prefix"])
+            if sieve is not None:
+                found = slot(sets.value)
+                at = np.minimum(np.searchsorted(sieve.value, found), max(0, len(sieve.value) - 1))
+                first &= sieve.value[at] == found if len(sieve.value) else False
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(sets.doc[first], minlength=len(sets.size)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (sets.value[first].view(np.int64), sets.rank[first].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.key.view(np.int64)), pa.array(sets.size.astype(np.int64)), pa.array(sets.sketches(), pa.binary()), *lists], names=["doc_id", "key", "n", "sketch", "t", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key long, n long, sketch binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key long, n long, sketch binary, t array<long>, pos array<int>")
 
 
-def frequent_shingles(docs: DataFrame, near: tuple[int, int] = NEAR, least: int = FREQUENT, most: int = MAX_FREQUENT) -> np.ndarray:
-    """Prefix shingles, in hash order, that repeat within chunks at least so often over all documents, the most frequent `most` of them, sorted. Equal texts of a chunk count once."""
+def _fresh(sets: Sets) -> np.ndarray:
+    """Whether a text is the first of its slice with its key."""
+    new = np.zeros(len(sets.size), bool)
+    new[np.unique(sets.key, return_index=True)[1]] = True
+    return new
+
+
+def frequent_shingles(docs: DataFrame, near: tuple[int, int] = NEAR, least: int = FREQUENT, most: int = MAX_FREQUENT) -> tuple[np.ndarray, int]:
+    """Prefix shingles, in hash order, that repeat within chunks at least so often over all documents (the most frequent `most`, sorted), and the number of all prefix shingles. Equal texts of a chunk count once."""
 
     def repeated(batches):
-        none = np.zeros(0, np.uint64)
-        for part in slices(batches, 4 * CHUNK):
-            sets = Sets(part.column("text"), none)
-            new = np.zeros(len(sets.size), bool)
-            new[np.unique(sets.key, return_index=True)[1]] = True
-            value, count = np.unique(sets.value[sets.prefix(near) & new[sets.doc]], return_counts=True)
+        none, total, held = np.zeros(0, np.uint64), 0, []
+
+        def flush():
+            value, count = np.unique(np.concatenate(held), return_counts=True)
             again = count > 1
-            yield pa.RecordBatch.from_arrays([pa.array(value[again].view(np.int64)), pa.array(count[again].astype(np.int64))], names=["value", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(value[again].view(np.int64)), pa.array(count[again].astype(np.int64))], names=["value", "n"])
+
+        for part in slices(batches):
+            sets = Sets(part.column("text"), none)
+            held.append(sets.value[sets.prefix(near) & _fresh(sets)[sets.doc]])
+            total += len(held[-1])
+            if sum(map(len, held)) > 1 << 20:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([total], pa.int64())], names=["value", "n"])
+
+    counted = docs.select("text").mapInArrow(repeated, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("value") < 0)).persist(StorageLevel.DISK_ONLY)
+    total = counted.where("value < 0").agg(F.sum("n")).first()[0] or 0  # shingles have 63 bits, so -1 is none
+    top = column(counted.where("value >= 0").orderBy(F.desc("n"), "value").limit(most), "value")
+    counted.unpersist()
+    return np.sort(top.view(np.uint64)), total
+
 
-    counted = docs.select("text").mapInArrow(repeated, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = counted.orderBy(F.desc("n"), "value").limit(most).select("value").toPandas()["value"].to_numpy(np.int64)
-    return np.sort(top.view(np.uint64))
+def repeated_slots(docs: DataFrame, order: Order, near: tuple[int, int] = NEAR, parts: int = 64) -> DataFrame:
+    """Slots that occur in the prefixes of more than one text: slot. Slots travel as packed arrays, a range of them to a group."""
+    frequent = order.frequent
 
+    def packed(batches):
+        held: list[np.ndarray] = []
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, frequent: np.ndarray, near: tuple[int, int]) -> DataFrame:
+        def flush():
+            found = np.concatenate(held)
+            found.sort()
+            edges = np.searchsorted(found, np.arange(parts + 1, dtype=np.uint64) * (2**32 // parts))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], names=["part", "slots"])
+
+        for part in slices(batches):
+            sets = Sets(part.column("text"), frequent.value)
+            held.append(slot(sets.value[sets.prefix(near) & _fresh(sets)[sets.doc]]))
+            if sum(map(len, held)) > 1 << 21:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    def again(table: pa.Table) -> pa.Table:
+        found = np.sort(np.frombuffer(b"".join(table.column("slots").to_pylist()), np.uint32))
+        return pa.table({"slot": np.unique(found[1:][found[1:] == found[:-1]]).astype(np.int64)})
+
+    return docs.select("text").mapInArrow(packed, "part int, slots binary").groupBy("part").applyInArrow(again, "slot long")
+
+
+def learned_order(docs: DataFrame, near: tuple[int, int] = NEAR, most_counted: int = MAX_COUNTED, most_slots: int = MAX_SLOTS) -> Order:
+    """Learns the frequent shingles and, while they fit, the slots that repeat. Without the latter every prefix shingle is shuffled, with the same result."""
+    spark = docs.sparkSession
+    frequent, total = frequent_shingles(docs, near)
+    order = Order(spark, frequent)
+    if total > most_counted:
+        return order
+    slots = repeated_slots(docs, order, near).persist(StorageLevel.DISK_ONLY)
+    if slots.count() <= most_slots:
+        order = Order(spark, frequent, np.sort(column(slots, "slot", np.uint32)))
+    slots.unpersist()
+    return order
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) of keys that are similar: sketches first, then prefix trees over whole sets."""
     about = texts.select("key", "n", "sketch")
     joined = pairs.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
@@ -207,44 +297,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, frequent: np.
             keep = [may_reach(sa, na, sb, nb, overlap_needed(na, nb, near)) for sa, na, sb, nb in zip(*cols)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = joined.mapInArrow(sketched, "a long, b long").persist(StorageLevel.DISK_ONLY)
-    needed = left.select(F.col("a").alias("key")).union(left.select("b")).distinct().join(texts.select("key", "doc_id"), "key")
-    named = left.count() <= MAX_NAMED // 2  # then at most MAX_NAMED texts are needed
-    chosen = docs.select("doc_id", "text").join(F.broadcast(needed) if named else needed.hint("shuffle_hash"), "doc_id").select("key", "text")
+    left = written(joined.mapInArrow(sketched, "a long, b long"))
+    # a text and its partners meet in groups of about PARTNERS; that of a hot pivot is dealt out to as many as it takes
+    many = left.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
+    dealt = left.join(many, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g"), "a", "b")
+    jobs = dealt.select("g", "a", "b", F.col("b").alias("key")).union(dealt.select("g", "a", F.lit(None).cast("long"), "a").distinct())
+    needed = jobs.groupBy("key").agg(F.collect_list(F.struct("g", "a", "b")).alias("jobs")).join(texts.select("key", F.col("doc_id").alias("d")), "key")
+    if left.count() <= MAX_NAMED // 2:
+        needed = F.broadcast(needed)
+    else:
+        needed = needed.hint("shuffle_hash")
+    chosen = docs.select("doc_id", "text").join(needed, F.expr("doc_id <=> d")).select("key", "text", "jobs")
+    frequent = order.frequent
 
     def ordered(batches):
         for part in slices(batches):
-            sets = Sets(part.column("text"), frequent)
+            sets = Sets(part.column("text"), frequent.value)
             # ids may repeat with other texts; a set belongs to the key that its text has
             mine = sets.key.view(np.int64) == np.asarray(part.column("key"))
-            bits = sets.value.tobytes()
-            blobs = [bits[8 * a : 8 * b] if ok else None for a, b, ok in zip(sets.begin[:-1], sets.begin[1:], mine)]
-            out = pa.RecordBatch.from_arrays([part.column("key"), pa.array(blobs, pa.binary())], names=["key", "values"])
-            yield out.filter(pa.array(mine))
-
-    sets = chosen.mapInArrow(ordered, "key long, values binary").dropDuplicates(["key"]).persist(StorageLevel.DISK_ONLY)
-    full = left.join(sets.toDF("b", "vb"), "b").join(sets.toDF("a", "va"), "a").sortWithinPartitions("a")
+            for i, wanted in enumerate(part.column("jobs").to_pylist()):
+                if mine[i]:
+                    blob = sets.value[sets.begin[i] : sets.begin[i + 1]].tobytes()
+                    yield pa.RecordBatch.from_arrays([*(pa.array([j[c] for j in wanted], pa.int64()) for c in ("g", "a", "b")), pa.array([blob] * len(wanted), pa.binary())], names=["g", "a", "b", "values"])
+
+    def merged(batches, most: int = 256):
+        """Small batches as larger ones."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if len(held) == most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    sets = chosen.mapInArrow(lambda batches: merged(ordered(batches)), "g long, a long, b long, values binary")
 
     def walked(batches):
-        probe, held, tree, count = None, b"", PrefixTree(), 0
-
-        def flush():
-            found = list(tree.links(np.frombuffer(held, np.uint64).tolist(), near)) if count else []
-            return [probe] * len(found), found
+        group, probe, tree, count = None, None, PrefixTree(), 0
+        a, b = [], []
 
-        def rows(a, b):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def walk():
+            if count:
+                found = list(tree.links(probe[1], near))
+                a.extend([probe[0]] * len(found))
+                b.extend(found)
 
         for batch in batches:
-            for a, b, va, vb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "va", "vb"))):
-                if a != probe or count >= 256:  # a tree holds few partners at once, a hot pivot has many trees
-                    yield rows(*flush())
-                    probe, held, tree, count = a, va, PrefixTree(), 0
-                tree.add(np.frombuffer(vb, np.uint64).tolist(), b)
-                count += 1
-        yield rows(*flush())
-
-    return full.select("a", "b", "va", "vb").mapInArrow(walked, "a long, b long")
+            for g, x, y, values in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "b", "values"))):
+                if y is None or g != group:
+                    walk()
+                    tree, count, group = PrefixTree(), 0, g
+                    probe = (x, np.frombuffer(values, np.uint64).tolist())
+                if y is not None:
+                    tree.add(np.frombuffer(values, np.uint64).tolist(), y)
+                    count += 1
+                    if count == PARTNERS:
+                        walk()
+                        tree, count = PrefixTree(), 0
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = [], []
+        walk()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    # the text itself (b is null) comes before its partners
+    return sets.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(walked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
@@ -253,24 +370,27 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     A set is the distinct 5-word shingles of the lower-cased (A-Z) text; a text of fewer words has its whole sequence as
     one; null texts and texts without words have an empty set, and are linked with nothing, not even each other. Repeated rows and equal texts are
     linked. Where all ids of a component are null so is its id. An empty table gives an empty result; other columns are ignored.
-    Intermediate tables stay persisted on the executors' disks until the caller clears the cache.
+    Intermediate tables are written to the checkpoint folder.
     """
-    frequent = frequent_shingles(docs, near)
-    rows = _texts(docs, frequent, near).persist(StorageLevel.DISK_ONLY)
-    texts = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")).persist(StorageLevel.DISK_ONLY)
-    postings = rows.where("n > 0").select("key", "n", F.posexplode("prefix").alias("pos", "t"))
-    # a shingle of one text, however often copied, has one key
-    inner = postings.groupBy("t").agg(F.min("key").alias("pivot"), F.max("key").alias("other")).where("pivot != other").select("t", "pivot")
-    shared = postings.join(inner, "t").persist(StorageLevel.DISK_ONLY)
-    first = shared.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
+    order = learned_order(docs, near)
+    rows = written(_texts(docs, order, near))
+    # equal texts, however many, are one text from here on
+    texts = written(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "sketch", "t", "pos")).alias("s")).select("key", "doc_id", "s.*"))
+    postings = texts.select("key", "n", F.explode(F.arrays_zip("t", "pos")).alias("p")).select("key", "n", "p.pos", "p.t")
+    # a shingle's pivot is the least key under the shingle's own mask: near copies, which meet at many shingles, meet many pivots
+    mask = F.xxhash64("t")
+    inner = postings.groupBy("t").agg(F.min(F.col("key").bitwiseXOR(mask)).alias("lo"), F.max(F.col("key").bitwiseXOR(mask)).alias("hi")).where("lo != hi").select("t", F.col("lo").bitwiseXOR(mask).alias("pivot"))
+    shared = written(postings.join(inner, "t"))
+    first = shared.where("key != pivot").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
     a, b = near
     sizes = texts.select("key", "n")
     fits = first.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") * b >= F.greatest("na", "nb") * a).select("a", "b")
-    links = _verified(fits, texts, docs, frequent, near).persist(StorageLevel.DISK_ONLY)
+    links = written(_verified(fits, texts, docs, order, near))
+    # near copies meet different pivots at different shingles; as components they are one group, whose pairs need no more trials
     tied = components(links)
-
+    tied = F.broadcast(tied) if links.count() <= MAX_NAMED else tied
     root = F.coalesce("root", "key").alias("root")
-    placed = shared.join(tied, shared["key"] == tied["node"], "left").select("t", "key", "n", "pos", root).distinct()
+    placed = shared.join(tied, F.col("key") == F.col("node"), "left").select("t", "key", "n", "pos", root)
     mixed_ = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("t")
     open_ = placed.join(mixed_, "t")
     x, y = open_.alias("x"), open_.alias("y")
@@ -279,8 +399,8 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     # a similar pair meets at its first common shingle, where what follows must suffice
     again = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * b >= F.greatest("x.n", "y.n") * a) & (reach >= need))
     again = again.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    more = _verified(again, texts, docs, frequent, near)
-    tied = components(links.union(more))
+    tied = components(links.union(_verified(again, texts, docs, order, near)))
+    root = F.coalesce("root", "key").alias("root")
 
     ids = texts.select("key", "doc_id").join(tied, F.col("key") == F.col("node"), "left").select("key", "doc_id", root)
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -298,7 +418,7 @@ def deduplicated(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     found = near_duplicates(docs, near)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name).distinct()
-    kept = docs.select("*", name, F.xxhash64("text").alias("_t")).join(keep, "_id", "left_semi")
+    kept = docs.select(F.struct(*docs.columns).alias("_row"), name, F.xxhash64("text").alias("_t")).join(keep, "_id", "left_semi")
     # the join's partitions serve the window too, so the texts move once
-    first = F.row_number().over(Window.partitionBy("_id", "_t").orderBy(F.col("doc_id").isNull()))
-    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("_id", "_t").orderBy(F.col("_row.doc_id").isNull()))
+    return kept.withColumn("_n", first).where("_n = 1").select("_row.*")
