@@ -66,7 +66,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, c
     before_size = offsets(by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n")), ["source"], ["size"], "n", "lower").drop("n")
     before_bucket = offsets(by_bucket, ["source", "size"], ["bucket"], "n", "earlier").drop("n")
     start = before_bucket.alias("b").join(before_size.alias("s"), F.expr("b.source <=> s.source AND b.size = s.size")).select("b.source", "b.size", "b.bucket", (F.col("earlier") + F.col("lower")).alias("start"))
-    start = start.alias("b").join(F.broadcast(targets).alias("t"), F.expr("b.source <=> t.source")).select("b.*", "t.source_size", "t.target")
+    start = start.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).select("b.*", "t.source_size", "t.target")
     within = Window.partitionBy("source", "size", "bucket").orderBy("doc_id")
     ranked = rows.withColumn("k", F.row_number().over(within))
     placed = ranked.alias("r").join(start.alias("b"), F.expr("r.source <=> b.source AND r.size = b.size AND r.bucket = b.bucket")).select("r.doc_id", "r.source", "r.size", "b.source_size", "b.target", (F.col("start") + F.col("k")).alias("k"))

@@ -65,7 +65,7 @@ class OrdinalModel:
             for word, n in Counter(_WORDS.findall(text.lower())).items() if text else ():
                 at = known.get(word)
                 if at is None:
-                    if len(known) > 300_000:
+                    if len(known) > 100_000:
                         known.clear()
                     at = known[word] = tuple(self.index[f] for f in word_features(word) if f in self.index)
                 for j in at:
