@@ -255,7 +255,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, max_sent: int = MAX_SENT
     joined = keyed.join(F.broadcast(merged) if small else merged.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "cut")
 
     def kept(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, gone, texts = [], [], []
             for text, cut in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist()):
                 words = (text or "").encode().split()  # bytes split at ASCII white space only
