@@ -46,8 +46,8 @@ FREQUENT = 64
 MAX_COUNTED, MAX_SLOTS = 1 << 30, 8_000_000
 #: up to so many texts to be verified are named to the tasks; beyond, texts are joined by a shuffle
 MAX_NAMED = 1_000_000
-#: partners of a text in one prefix tree
-PARTNERS = 256
+#: partners of a text in one prefix tree, and places in trees that a row brings of a text to verify
+PARTNERS, JOBS = 256, 4096
 
 
 def slices(batches, limit: int = CHUNK):
@@ -286,6 +286,54 @@ def learned_order(docs: DataFrame, near: tuple[int, int] = NEAR, most_counted: i
     return order
 
 
+def dealt_jobs(left: DataFrame) -> DataFrame:
+    """For pairs (a, b), each once: where the set of a text is needed, as rows key and jobs, an array of (g, a, b) of about JOBS at most.
+
+    A group g holds the text a, whose b is null, and about PARTNERS of its partners at most. Of a pair, a is the text with more
+    partners, so those of a hot text are dealt out to as many groups as it takes, and few texts are side b of many pairs.
+    """
+    ends = left.select(F.col("a").alias("key")).union(left.select("b")).groupBy("key").agg(F.count("*").alias("n"))
+    both = left.join(ends.toDF("a", "na"), "a").join(ends.toDF("b", "nb"), "b")
+    swap = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    side = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    both = both.select(side("a", "b").alias("a"), side("b", "a").alias("b"), F.greatest("na", "nb").alias("na"), F.least("na", "nb").alias("nb"))
+    both = both.withColumn("groups", F.ceil(F.col("na") / PARTNERS))
+    dealt = both.withColumn("g", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))))
+    # a text's jobs are dealt out to rows in turn
+    part = lambda n: F.pmod(F.xxhash64("g"), F.ceil(F.col(n) / JOBS)).alias("part")
+    jobs = dealt.select("g", "a", "b", F.col("b").alias("key"), part("nb")).union(dealt.select("g", "a", F.lit(None).cast("long"), "a", part("groups")).distinct())
+    return jobs.groupBy("key", "part").agg(F.collect_list(F.struct("g", "a", "b")).alias("jobs")).select("key", "jobs")
+
+
+def sets_of_jobs(batches, frequent: np.ndarray, limit: int = CHUNK):
+    """Per job of a text: g, a, b and the text's set, in batches of about `limit` bytes of sets, or of one set."""
+    for part in slices(batches):
+        sets = Sets(part.column("text"), frequent)
+        # ids may repeat with other texts; a set belongs to the key that its text has
+        mine = sets.key.view(np.int64) == np.asarray(part.column("key"))
+        for i, wanted in enumerate(part.column("jobs").to_pylist()):
+            if mine[i]:
+                blob = sets.value[sets.begin[i] : sets.begin[i + 1]].tobytes()
+                step = max(1, limit // max(1, len(blob)))
+                for k in range(0, len(wanted), step):
+                    some = wanted[k : k + step]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([j[c] for j in some], pa.int64()) for c in ("g", "a", "b")), pa.array([blob] * len(some), pa.binary())], names=["g", "a", "b", "values"])
+
+
+def merged(batches, most: int = 256, limit: int = 4 * CHUNK):
+    """Small batches as larger ones, of so many and of about so many bytes at most."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if held and (len(held) == most or size + b.nbytes > limit):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) of keys that are similar: sketches first, then prefix trees over whole sets."""
     about = texts.select("key", "n", "sketch")
@@ -298,11 +346,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order,
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = written(joined.mapInArrow(sketched, "a long, b long"))
-    # a text and its partners meet in groups of about PARTNERS; that of a hot pivot is dealt out to as many as it takes
-    many = left.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
-    dealt = left.join(many, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g"), "a", "b")
-    jobs = dealt.select("g", "a", "b", F.col("b").alias("key")).union(dealt.select("g", "a", F.lit(None).cast("long"), "a").distinct())
-    needed = jobs.groupBy("key").agg(F.collect_list(F.struct("g", "a", "b")).alias("jobs")).join(texts.select("key", F.col("doc_id").alias("d")), "key")
+    # a text and its partners meet in groups of about PARTNERS
+    needed = dealt_jobs(left).join(texts.select("key", F.col("doc_id").alias("d")), "key")
     if left.count() <= MAX_NAMED // 2:
         needed = F.broadcast(needed)
     else:
@@ -310,28 +355,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order,
     chosen = docs.select("doc_id", "text").join(needed, F.expr("doc_id <=> d")).select("key", "text", "jobs")
     frequent = order.frequent
 
-    def ordered(batches):
-        for part in slices(batches):
-            sets = Sets(part.column("text"), frequent.value)
-            # ids may repeat with other texts; a set belongs to the key that its text has
-            mine = sets.key.view(np.int64) == np.asarray(part.column("key"))
-            for i, wanted in enumerate(part.column("jobs").to_pylist()):
-                if mine[i]:
-                    blob = sets.value[sets.begin[i] : sets.begin[i + 1]].tobytes()
-                    yield pa.RecordBatch.from_arrays([*(pa.array([j[c] for j in wanted], pa.int64()) for c in ("g", "a", "b")), pa.array([blob] * len(wanted), pa.binary())], names=["g", "a", "b", "values"])
-
-    def merged(batches, most: int = 256):
-        """Small batches as larger ones."""
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if len(held) == most:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    sets = chosen.mapInArrow(lambda batches: merged(ordered(batches)), "g long, a long, b long, values binary")
+    sets = chosen.mapInArrow(lambda batches: merged(sets_of_jobs(batches, frequent.value)), "g long, a long, b long, values binary")
 
     def walked(batches):
         group, probe, tree, count = None, None, PrefixTree(), 0

@@ -165,6 +165,50 @@ def test_jaccard_edges(odd, none):
     assert jaccard.deduplicated(odd).columns == odd.columns
 
 
+def test_jaccard_deals_out_a_hot_text_on_either_side(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 16)
+    monkeypatch.setattr(jaccard, "JOBS", 32)
+    # 0 has partners below and above it; 5000 and 5001 share one
+    pairs = [(min(0, k), max(0, k)) for k in range(-1500, 1501) if k] + [(5000, 6000), (5001, 6000), (-7, 9)]
+    rows = jaccard.dealt_jobs(spark.createDataFrame(pairs, "a long, b long")).collect()
+    jobs = [(r.key, *j) for r in rows for j in r.jobs]
+    assert sorted(tuple(sorted((a, b))) for _, _, a, b in jobs if b is not None) == sorted(pairs)
+    assert all(key == (a if b is None else b) for key, _, a, b in jobs)
+    probes = {(g, a) for _, g, a, b in jobs if b is None}
+    assert {(g, a) for _, g, a, b in jobs if b is not None} == probes and len(probes) == sum(b is None for *_, b in jobs)
+    partners = {}
+    for _, g, _, b in jobs:
+        partners[g] = partners.get(g, 0) + (b is not None)
+    assert max(partners.values()) <= 3 * 16
+    assert max(len(r.jobs) for r in rows) <= 3 * 32
+
+
+def test_jaccard_gives_sets_in_bounded_batches():
+    text = " ".join(f"v{i}" for i in range(1254))
+    key = jaccard.Sets(pa.array([text]), np.zeros(0, np.uint64)).key.view(np.int64)
+    jobs = [{"g": i, "a": i, "b": int(key[0])} for i in range(2000)]
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in "gab"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array([text]), pa.array([jobs], kind)], names=["key", "text", "jobs"])
+    made = list(jaccard.merged(jaccard.sets_of_jobs([batch], np.zeros(0, np.uint64))))
+    assert sum((b.column("g").to_pylist() for b in made), []) == list(range(2000))
+    assert max(b.nbytes for b in made) < 5 * jaccard.CHUNK and all(len(v) == 8 * 1250 for b in made for v in b.column("values").to_pylist())
+
+
+def test_jaccard_with_a_hot_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 8)
+    monkeypatch.setattr(jaccard, "JOBS", 4)
+    rng = random.Random(9)
+    middle = [f"m{i}" for i in range(60)]
+    rows = [(0, " ".join(middle))]
+    for i in range(1, 150):
+        words = list(middle)
+        for k in rng.sample(range(60), rng.randrange(1, 3)):
+            words[k] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    found = jaccard.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+
+
 def test_prefix_tree_bounds():
     rng = random.Random(2)
     sets = [sorted(rng.sample(range(60), rng.randrange(1, 50))) for _ in range(60)]
