@@ -26,7 +26,9 @@ from quillon.llm.labelled_pages import PAGES
 
 #: elements without end tags, and elements whose text is never shown
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg iframe object select option textarea button canvas audio video math".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object select option textarea button canvas audio video".split())
+#: elements that may stand in a head; any other ends it, as its end tag may be left out
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: elements that begin a new line of their own
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: an opening element ends an open paragraph; these end their like within the nearest container
@@ -88,8 +90,18 @@ class _Builder(HTMLParser):
                 self.flush()
         del self.open[depth:]
 
+    def end_head(self, within: bool = False) -> None:
+        """Closes an open head that is the innermost element, or if `within` one that holds it."""
+        for d in range(len(self.open) - 1, 0, -1):
+            if self.page.nodes[self.open[d]].tag == "head":
+                self.close_to(d)
+            if not within:
+                break
+
     def handle_starttag(self, tag, attrs):
         nodes = self.page.nodes
+        if tag not in IN_HEAD:
+            self.end_head(within=tag == "body")
         if tag in BLOCK:
             self.flush()
             for d in range(len(self.open) - 1, 0, -1):
@@ -111,8 +123,10 @@ class _Builder(HTMLParser):
         if "data-label" in values:
             label = int(values["data-label"] == "main")
         parent = self.open[-1]
-        hidden = nodes[parent].hidden or tag in HIDDEN or "hidden" in values or values.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", values.get("style", "")) is not None
+        hidden = nodes[parent].hidden or tag in HIDDEN or re.search(r"display\s*:\s*none", values.get("style", "")) is not None
         names = tuple(dict.fromkeys(w for k in ("class", "id", "role", "itemprop", "aria-label") if k in values for w in WORDS.findall(values[k].lower())))
+        # whether these are content is the model's to say
+        names += ("@hidden",) * ("hidden" in values) + ("@aria-hidden",) * (values.get("aria-hidden") == "true")
         nodes.append(Node(tag, names, parent, label=label, hidden=hidden))
         if tag in VOID:
             if tag == "br":
@@ -137,6 +151,8 @@ class _Builder(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         at = self.open[-1]
         nodes = self.page.nodes
         if nodes[at].hidden:

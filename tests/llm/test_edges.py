@@ -248,6 +248,38 @@ def test_extraction_edges(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+BODY = "<article><h1>Heading</h1><p>One line of text, with more of it. And one more.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><body>{BODY}",
+        f"<head><meta charset=utf-8><title>T</title><link rel=x><style>p {{}}</style><script>x</script><noscript>n</noscript>{BODY}",
+        f"<head><title>T</title><body>{BODY}</body></html>",
+        f"<head><title>T<body>{BODY}",
+        f"<html><head><title>T</title></head><body>{BODY}</body></html>",
+    ],
+)
+def test_extraction_without_the_end_of_a_head(page):
+    if "<title>T<body>" in page and html_extraction.parse("<title><b>").nodes[-1].tag == "title":
+        pytest.skip("the parser takes all after an open title for its text, as browsers do")
+    assert html_extraction.main_text(page, html_extraction.default_model()) == "Heading\nOne line of text, with more of it. And one more."
+
+
+def test_a_head_ends_at_text():
+    page = html_extraction.parse("<head><title>T</title> \n Words of the body.")
+    assert [text for _, text in page.blocks] == ["Words of the body."]
+
+
+def test_extraction_keeps_formulas_and_leaves_hidden_attributes_to_the_model():
+    model = html_extraction.default_model()
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold. So it is <span aria-hidden='true'>well</span> known.</p><p hidden>A line that is shown by a script. It is text.</p></article></body>"
+    assert html_extraction.main_text(page, model) == "Let x=2 hold. So it is well known.\nA line that is shown by a script. It is text."
+    names = [n.names for n in html_extraction.parse(page).nodes if n.names]
+    assert names == [("@aria-hidden",), ("@hidden",)]
+
+
 def test_extraction_on_held_out_layouts():
     from quillon.llm.labelled_pages import PAGES
 
