@@ -35,12 +35,14 @@ def roll_rates(lines: DataFrame) -> DataFrame:
 def vintage_curve(lines: DataFrame, ages: int = 7) -> DataFrame:
     """Per quarter of opening and age in whole years, floored at 0: accounts, those with a missed line by then, and their share.
 
-    `lines` holds account lines with o_orderkey, o_orderdate, l_shipdate and l_returnflag. Ages from 0 to `ages` - 1 have a row in each quarter.
+    `lines` holds account lines with o_orderkey, o_orderdate, l_shipdate and l_returnflag. Ages from 0 to `ages` - 1, or to
+    the last age at which an account first misses a line if that is later, have a row in each quarter.
     """
     age = F.greatest(F.lit(0), F.floor(F.months_between(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")) / 12)).cast("long")
     first = lines.groupBy("o_orderkey", F.date_trunc("quarter", F.col("o_orderdate")).cast("date").cast("string").alias("quarter")).agg(F.min(F.when(F.col("l_returnflag") == "R", age)).alias("age"))
     totals = first.groupBy("quarter").agg(F.count("*").alias("accounts"))
-    grid = totals.withColumn("age", F.explode(F.sequence(F.lit(0), F.lit(ages - 1)))).withColumn("age", F.col("age").cast("long"))
+    last = first.agg(F.greatest(F.lit(ages - 1).cast("long"), F.max("age")).alias("last"))  # one row
+    grid = totals.crossJoin(F.broadcast(last)).withColumn("age", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     missed = first.where("age IS NOT NULL").groupBy("quarter", "age").agg(F.count("*").alias("m"))
     w = Window.partitionBy("quarter").orderBy("age").rowsBetween(Window.unboundedPreceding, 0)
     cum = F.sum(F.coalesce("m", F.lit(0))).over(w)

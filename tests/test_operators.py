@@ -82,6 +82,13 @@ def test_roll_rates_sum_to_one(spark):
         assert math.isclose(sum(r.share for r in found if r.before == before), 1, abs_tol=1e-5)
 
 
+def test_vintage_curve_reaches_late_misses(spark):
+    day = dt.datetime
+    rows = [(1, day(1995, 1, 2), day(1996, 2, 2), "R"), (2, day(1995, 1, 2), day(2004, 3, 1), "R"), (3, day(1995, 2, 1), day(1995, 3, 1), "N")]
+    found = {r.age: (r.accounts, r.missed_by) for r in labels.vintage_curve(spark.createDataFrame(rows, "o_orderkey int, o_orderdate timestamp_ntz, l_shipdate timestamp_ntz, l_returnflag string")).collect()}
+    assert found == {age: (3, (age >= 1) + (age >= 9)) for age in range(10)}
+
+
 def test_woe_by_hand(spark):
     found = {r.bin: r for r in scorecard.woe_iv(spark.createDataFrame([(1, 0)] * 3 + [(1, 1)] + [(2, 1)] * 2, "bin int, bad int"), "bad").collect()}
     assert found[1].woe == pytest.approx(math.log((3.5 / 3.5) / (1.5 / 3.5)), abs=1e-6)
