@@ -1,19 +1,19 @@
-"""Substring dedup with prefix-partitioned suffix trees.
+"""Substring dedup by fingerprints of windows.
 
-The suffixes are the word positions of the corpus, the alphabet its words; windows of `window` words are
-removed where the same words also start earlier, so the trees are cut at that depth. A suffix belongs to
-the group of a prefix of variable length, counted from its window's anchor: the 8-word gram of
+Windows of `window` words are removed where the same words also start earlier. As the length is fixed, a
+window's hash stands for it: no suffix tree is built, and names like tree, suffix and node below mean groups,
+windows and runs of equal windows. A window belongs to the group of its anchor: the 8-word gram of
 least hash in the window, which depends on the window's words alone.
 
-1. Anchors are counted over all documents. A window whose anchor occurs once is a leaf just below the root and is dropped.
+1. Anchors are counted over all documents. A window whose anchor occurs once repeats nowhere and is dropped.
 2. The rest goes to the group of its anchor; consecutive windows with the same anchor travel
-   as one stretch of words. Where an anchor's group would be too large its prefix is made longer, up to the
+   as one stretch of words. Where an anchor's group would be too large the group is that of the
    whole window. Stretches that a chunk of documents has twice are settled there, so a passage in a third of all
    documents reaches its group once per chunk.
-3. A group's tree is the sorted list of its suffixes with the prefix lengths that neighbours share; a run of neighbours that share
-   the whole depth is a deep internal node, a repeat, and all but its first suffix are removed.
+3. A group's windows are sorted by a 64-bit hash; a run of neighbours with the same words is a repeat, and all but its first
+   window are removed.
 
-Shared prefixes are compared by 32-bit word hashes, all words of a window.
+Neighbours are compared by 32-bit word hashes, all words of a window.
 """
 
 from __future__ import annotations
