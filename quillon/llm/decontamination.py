@@ -1,11 +1,10 @@
-"""Benchmark decontamination with a positional inverted index.
-
-The index holds postings (term, doc_id, position) of the training tokens for the
-terms that benchmark phrases are looked up by. Every window of an item is looked up
-by its rarest term in the corpus, so the longest lists are never opened. A posting
-is met by the window's posting of the same term, adjusted by its offset, and the
-other terms are intersected at once with the tokens that stand at their adjusted
-positions. What agrees as a whole is an exact phrase.
+"""Benchmark decontamination by the rarest terms of phrases.
+
+The training tokens are made into (term, doc_id, position) anew in each run; nothing is
+stored. Every window of an item is looked up by its rarest term in the corpus. Where a
+document has that term, adjusted by its offset in the window, the whole phrase is compared
+with the document's own tokens, in place of intersecting the other terms' lists. What
+agrees as a whole is an exact phrase.
 """
 
 from __future__ import annotations
