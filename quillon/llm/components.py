@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed
+from quillon.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,18 +23,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """For links (a, b) of longs: node and root, the least node that it is tied to; roots themselves have no row.
 
     Each round ties the nodes of a chain to lesser ones, so the rounds grow with the logarithm of a chain's length; the
-    table is written to the checkpoint folder after each. An edge table without rows gives none.
+    table is written to the checkpoint folder after each, until a round changes nothing. An edge table without rows gives none.
     """
-    state = checkpointed(edges.select("a", "b").where("a != b").distinct())
+    state = written(edges.select("a", "b").where("a != b").distinct())
     before = None
-    for _ in range(rounds):
-        state = checkpointed(_small_star(_large_star(state)))
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == now:
-            break
-        before = now
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    while True:
+        now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
+        if now[0] == 0 or before == now:
+            return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before, state = now, written(_small_star(_large_star(state)))

@@ -6,26 +6,30 @@ the rest by hash. Two sets can only reach the similarity when the first quarter
 1. One pass counts prefix shingles, by chunks, to learn which are frequent; the order puts
    those last, so few documents meet at a shingle. Another finds, by 32 bits of their hash, the prefix
    shingles that repeat at all; the others are leaves just below the root and aren't moved.
-2. A second pass gives for each text its key, set size, prefix and a parity sketch of the set.
-3. Prefix shingles of more than one text are the inner nodes of the tree's first level. At each, every
-   text is first tried against one pivot. Pairs whose lengths, positions or sketches rule the
-   similarity out are dropped (all three are exact bounds).
-4. What remains is verified on whole sets: the partners of a text are stored in a
-   prefix tree, which is walked once with the text's set; partners that begin alike share their
-   partial overlap, and a subtree goes as soon as what remains of it can't reach the bound.
-5. Texts not yet tied together that meet at a shingle are tried in the same way, so no
-   link is lost while large groups of near copies don't emit all their pairs.
-
-Equal texts are one node from the start. Shingles are 64-bit hashes.
+2. A third pass gives for each text its key, set size, prefix and a parity sketch of the set.
+3. Shingles whose texts are the same become one item, a node of the tree as long as they are many (its weight): a passage that a group of texts
+   shares is one item, not hundreds. A text is a path of items in the global order.
+4. Texts meet at their items, dealt out in blocks of BLOCK. In each block a text is tried against the block's leaders and emits the first that
+   its length, place and sketch leave possible (all three are exact bounds), so a block emits no more pairs than it has texts.
+5. These pairs are verified on whole sets: the partners of a text are stored in a prefix tree, which is walked once with the
+   text's set. What is similar is tied together.
+6. Where an item's texts aren't all tied, their paths from that item on are stored in a prefix tree, one a block, and the texts outside the largest tied group
+   walk it: paths that begin alike share their partial overlap, and a subtree goes as soon as what remains of it, or of the
+   walker, can't reach the bound. What is left has its sketch compared and is verified as before.
+
+No pair is made before a tree or a leader has been tried in the task that holds both. Equal texts are one node from the start, told apart by 128 bits of
+hashes of their words. Shingles are 63-bit hashes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,6 +52,16 @@ MAX_COUNTED, MAX_SLOTS = 1 << 30, 8_000_000
 MAX_NAMED = 1_000_000
 #: partners of a text in one prefix tree, and places in trees that a row brings of a text to verify
 PARTNERS, JOBS = 256, 4096
+#: texts of an item that meet in one block
+BLOCK = 1024
+#: items of more texts are sent to the tasks, rather than joined by a shuffle; they are at most HOT_ITEMS
+HOT, HOT_ITEMS = 4096, 50_000
+#: items of a path before and after a block's that a text brings to it; what follows counts as possible
+PATH = 64
+#: places at which the shingles of a prefix that no other text has are counted
+MARKS = 8
+#: bytes of a sketch at most; a shorter one rules out less
+SKETCH = 128
 
 
 def slices(batches, limit: int = CHUNK):
@@ -62,15 +76,14 @@ def slices(batches, limit: int = CHUNK):
 
 
 class Sets:
-    """Shingle sets of a slice of texts: `key` (of the word sequence), `size`, and all sets one after another in the global order (`doc`, `value`, `rank`)."""
+    """Shingle sets of a slice of texts: `key` and `more` (128 bits of the word sequence), `size`, and all sets one after another in the global order (`doc`, `value`, `rank`)."""
 
     def __init__(self, texts: pa.Array, frequent: np.ndarray, shingle: int = SHINGLE):
         words = Words(texts, lower=True)
         h, n = words.hashes(), len(words.count)
-        # the key: a polynomial over the words, so order counts
-        power = np.arange(len(h)) - words.first[words.doc]
-        weight = mixed(power.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) | np.uint64(1)
-        self.key = mixed(np.add.reduceat(np.append(h * weight, np.uint64(0)), np.minimum(words.first[:-1], len(h))) * (words.count > 0) + words.count.astype(np.uint64)) if n else np.zeros(0, np.uint64)
+        # the key: sums of words weighted by their places, so order counts
+        power = (np.arange(len(h)) - words.first[words.doc]).astype(np.uint64)
+        self.key, self.more = (self._named(words, h, power, seed) for seed in (1, 0x2545F4914F6CDD1D))
         g = grams(h, shingle)
         full = inside(words, shingle)[: len(g)]
         value, doc = g[full], words.doc[: len(g)][full]
@@ -90,37 +103,50 @@ class Sets:
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.rank = np.arange(len(self.value)) - self.begin[self.doc]
 
+    @staticmethod
+    def _named(words: Words, h: np.ndarray, power: np.ndarray, seed: int) -> np.ndarray:
+        if not len(words.count):
+            return np.zeros(0, np.uint64)
+        weight = mixed(power * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+        sums = np.add.reduceat(np.append(h * weight, np.uint64(0)), np.minimum(words.first[:-1], len(h)))
+        return mixed(sums * (words.count > 0) + words.count.astype(np.uint64) + np.uint64(seed - 1))
+
     def prefix(self, near: tuple[int, int] = NEAR) -> np.ndarray:
         """Whether each shingle is among the first of its set that a partner must share one of."""
         need = -(-self.size * near[0] // near[1])
         return self.rank <= (self.size - need)[self.doc]
 
-    def sketches(self) -> list[bytes]:
-        """Per set, parities of its shingles over 2 to 4 slots a shingle; the number of slots is a power of two."""
-        slots = 8 << np.maximum(0, np.ceil(np.log2(np.maximum(1, self.size * 2) / 8)).astype(int))
+    def sketches(self, most: int = SKETCH) -> list[bytes]:
+        """Per set, parities of its shingles over 2 to 4 slots a shingle, `most` bytes at most; the number of slots is a power of two."""
+        slots = np.minimum(8 * most, 8 << np.maximum(0, np.ceil(np.log2(np.maximum(1, self.size * 2) / 8)).astype(int)))
         base = np.concatenate([[0], np.cumsum(slots)])
         place = base[self.doc] + (mixed(self.value & np.uint64(2**63 - 1)) & (slots[self.doc] - 1).astype(np.uint64)).astype(np.int64)
         bits = np.packbits((np.bincount(place, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
         return [bits[a // 8 : b // 8] for a, b in zip(base[:-1], base[1:])]
 
 
-def fold(sketch: np.ndarray, size: int) -> np.ndarray:
-    """A sketch over more slots as one over fewer: slots are taken modulo, so parities add up."""
-    while len(sketch) > size:
-        half = len(sketch) // 2
-        sketch = sketch[:half] ^ sketch[half:]
-    return sketch
+class Sketch:
+    """A parity sketch as one integer. Slots are taken modulo a power of two, so a sketch folds to fewer slots by adding parities."""
+
+    def __init__(self, raw: bytes):
+        self.bits = len(raw) * 8
+        self.folded = {self.bits: int.from_bytes(raw, "little")}
 
+    def at(self, bits: int) -> int:
+        if bits not in self.folded:
+            wide = self.at(2 * bits)
+            self.folded[bits] = (wide ^ (wide >> bits)) & ((1 << bits) - 1)
+        return self.folded[bits]
 
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    def odd(self, other: Sketch) -> int:
+        """Slots of odd difference: each holds a shingle that only one of the sets has."""
+        bits = min(self.bits, other.bits)
+        return (self.at(bits) ^ other.at(bits)).bit_count()
 
 
 def may_reach(a: bytes, na: int, b: bytes, nb: int, need: int) -> bool:
-    """Whether an overlap of `need` is possible: slots of odd difference each hold a shingle that only one set has."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    odd = int(_BITS[fold(x, size) ^ fold(y, size)].sum())
-    return na + nb - odd >= 2 * need
+    """Whether the sketches leave an overlap of `need` possible."""
+    return na + nb - Sketch(a).odd(Sketch(b)) >= 2 * need
 
 
 def overlap_needed(na, nb, near: tuple[int, int] = NEAR):
@@ -170,6 +196,78 @@ class PrefixTree:
                 node, depth = child, depth + 1
 
 
+class Path:
+    """What a text brings to a block: its key, the root of its tied group, size, what is left of its set from the block's item on, its sketch, the block's item, and its items around that in order."""
+
+    __slots__ = ("key", "root", "n", "left", "sketch", "meet", "items", "weights", "tops")
+
+    def __init__(self, key: int, root: int, n: int, left: int, sketch: bytes, meet: int = 0, items: list[int] = [], weights: list[int] = [], tops: list[int] = []):  # noqa: B006  never changed
+        self.key, self.root, self.n, self.left, self.sketch, self.meet = key, root, n, left, Sketch(sketch), meet
+        self.items, self.weights, self.tops = items, weights, tops
+
+    def may_reach(self, other: Path, near: tuple[int, int]) -> bool:
+        """Whether lengths, places and sketches leave the similarity possible."""
+        if min(self.n, other.n) * near[1] < max(self.n, other.n) * near[0]:
+            return False
+        need = overlap_needed(self.n, other.n, near)
+        return min(self.left, other.left) >= need and self.n + other.n - self.sketch.odd(other.sketch) >= 2 * need
+
+
+class ItemTree:
+    """Paths of weighted items; a node keeps the least size and the most that is left among the paths below it, for the bounds.
+
+    All paths hold the item at which the block meets. Texts that share an earlier one meet there too, so here such a subtree is left at once. An item stands for shingles
+    between it and its `top` in the global order, all in the prefixes of the same texts. Of a path, what isn't in items (shingles of one text, and all beyond the
+    prefix) counts as left.
+    """
+
+    def __init__(self) -> None:
+        self.root: list = [{}, 1 << 60, 0, [], 0, 0]
+
+    def add(self, path: Path) -> None:
+        node = self.root
+        node[1], node[2] = min(node[1], path.n), max(node[2], path.left)
+        for item, weight, top in zip(path.items, path.weights, path.tops):
+            child = node[0].get(item)
+            if child is None:
+                child = node[0][item] = [{}, 1 << 60, 0, [], weight, top]
+            node = child
+            node[1], node[2] = min(node[1], path.n), max(node[2], path.left)
+        node[3].append(path)
+
+    def walk(self, probe: Path, near: tuple[int, int] = NEAR):
+        """The stored paths that may be similar to the probe. The overlap is shared along a path; a subtree is left when neither what is left below it nor of the probe can reach the least bound.
+
+        An item that only one side has is lost to the overlap if all its shingles stand before the other side's last item: were they in the other set, they would be in its prefix.
+        """
+        at = {item: j for j, item in enumerate(probe.items)}
+        meet, end, n, left = probe.meet, probe.items[-1], probe.n, probe.left
+        order = sorted((j for j, item in enumerate(probe.items) if item >= meet), key=probe.tops.__getitem__)
+        tops, lost = [probe.tops[j] for j in order], [0]
+        for j in order:
+            lost.append(lost[-1] + probe.weights[j])
+        # of the probe what is gone once item j is matched: itself, and what ends before it
+        gone = [lost[bisect_left(tops, item)] + probe.weights[j] for j, item in enumerate(probe.items)]
+        part, whole = near[0], near[0] + near[1]
+        stack = [(self.root, 0, 0, 0)]
+        while stack:
+            node, consumed, shared, passed = stack.pop()
+            for path in node[3]:
+                if shared + min(path.left - consumed, left - passed) >= overlap_needed(n, path.n, near) and probe.may_reach(path, near):
+                    yield path
+            for item, child in node[0].items():
+                eaten, both, over = consumed, shared, passed
+                if item in at:
+                    if item < meet:
+                        continue
+                    eaten, both, over = consumed + child[4], shared + child[4], gone[at[item]]
+                elif meet <= item and child[5] < end:
+                    eaten += child[4]
+                below, mine = child[2] - eaten, left - over
+                if (both + (below if below < mine else mine)) * whole >= part * (n + child[1]):
+                    stack.append((child, eaten, both, over))
+
+
 def column(df: DataFrame, name: str, kind=np.int64) -> np.ndarray:
     """A column on the driver; only for results of bounded size."""
     return df.select(name).toArrow().column(name).to_numpy().astype(kind)
@@ -180,6 +278,14 @@ def slot(value: np.ndarray) -> np.ndarray:
     return ((value & np.uint64(2**63 - 1)) >> np.uint64(31)).astype(np.uint32)
 
 
+def marks(values: np.ndarray, sizes: np.ndarray, parts: int = MARKS) -> np.ndarray:
+    """Of each of the sorted lists of these sizes the values that end its 1st, 2nd .. part; the largest long for an empty list."""
+    base = np.cumsum(sizes) - sizes
+    at = base[:, None] + -(-sizes[:, None] * np.arange(1, parts + 1) // parts) - 1
+    out = np.append(values, np.int64(2**63 - 1))[np.where(sizes[:, None] > 0, at, len(values))]
+    return out
+
+
 class Order:
     """What the tasks know of the global order: the frequent shingles, and (None if too many to send) the slots of prefix shingles that repeat."""
 
@@ -187,9 +293,18 @@ class Order:
         self.frequent = spark.sparkContext.broadcast(frequent)
         self.repeated = None if repeated is None else spark.sparkContext.broadcast(repeated)
 
+    def destroy(self) -> None:
+        self.frequent.destroy()
+        self.forget_slots()
+
+    def forget_slots(self) -> None:
+        if self.repeated is not None:
+            self.repeated.destroy()
+            self.repeated = None
+
 
 def _texts(docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
-    """Per document: doc_id, key, n, sketch and its prefix as shingles `t` and places `pos`, without those known to be in one text only."""
+    """Per document: doc_id, key and more, n, sketch its prefix as shingles `t` (signed, so that their order is the global one) and places `pos`, without those known to be in one text only; how many those are (`m`), marks of where they stand (`alone`), and the prefix's last shingle (`end`)."""
     kind, frequent, sieve = dict(docs.dtypes)["doc_id"], order.frequent, order.repeated
 
     def made(batches):
@@ -200,11 +315,16 @@ def _texts(docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
                 found = slot(sets.value)
                 at = np.minimum(np.searchsorted(sieve.value, found), max(0, len(sieve.value) - 1))
                 first &= sieve.value[at] == found if len(sieve.value) else False
+            signed = (sets.value ^ np.uint64(1 << 63)).view(np.int64)
+            whole = sets.prefix(near)
+            alone, end = marks(signed[whole & ~first], np.bincount(sets.doc[whole & ~first], minlength=len(sets.size))), marks(signed[whole], np.bincount(sets.doc[whole], minlength=len(sets.size)))[:, -1]
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(sets.doc[first], minlength=len(sets.size)))]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (sets.value[first].view(np.int64), sets.rank[first].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.key.view(np.int64)), pa.array(sets.size.astype(np.int64)), pa.array(sets.sketches(), pa.binary()), *lists], names=["doc_id", "key", "n", "sketch", "t", "pos"])
+            signed = signed[first]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed, sets.rank[first].astype(np.int32))]
+            names = [pa.array(x.view(np.int64)) for x in (sets.key, sets.more)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *names, pa.array(sets.size.astype(np.int64)), pa.array(sets.sketches(), pa.binary()), pa.array(np.bincount(sets.doc[whole & ~first], minlength=len(sets.size))), pa.array([x.tobytes() for x in alone], pa.binary()), pa.array(end), *lists], names=["doc_id", "key", "more", "n", "sketch", "m", "alone", "end", "t", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key long, n long, sketch binary, t array<long>, pos array<int>")
+    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key long, more long, n long, sketch binary, m long, alone binary, end long, t array<long>, pos array<int>")
 
 
 def _fresh(sets: Sets) -> np.ndarray:
@@ -281,7 +401,7 @@ def learned_order(docs: DataFrame, near: tuple[int, int] = NEAR, most_counted: i
         return order
     slots = repeated_slots(docs, order, near).persist(StorageLevel.DISK_ONLY)
     if slots.count() <= most_slots:
-        order = Order(spark, frequent, np.sort(column(slots, "slot", np.uint32)))
+        order.repeated = spark.sparkContext.broadcast(np.sort(column(slots, "slot", np.uint32)))
     slots.unpersist()
     return order
 
@@ -310,7 +430,7 @@ def sets_of_jobs(batches, frequent: np.ndarray, limit: int = CHUNK):
     for part in slices(batches):
         sets = Sets(part.column("text"), frequent)
         # ids may repeat with other texts; a set belongs to the key that its text has
-        mine = sets.key.view(np.int64) == np.asarray(part.column("key"))
+        mine = (sets.key.view(np.int64) == np.asarray(part.column("key"))) & (sets.more.view(np.int64) == np.asarray(part.column("more")))
         for i, wanted in enumerate(part.column("jobs").to_pylist()):
             if mine[i]:
                 blob = sets.value[sets.begin[i] : sets.begin[i + 1]].tobytes()
@@ -335,24 +455,15 @@ def merged(batches, most: int = 256, limit: int = 4 * CHUNK):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) of keys that are similar: sketches first, then prefix trees over whole sets."""
-    about = texts.select("key", "n", "sketch")
-    joined = pairs.join(about.toDF("a", "na", "sa"), "a").join(about.toDF("b", "nb", "sb"), "b")
-
-    def sketched(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("sa", "na", "sb", "nb")]
-            keep = [may_reach(sa, na, sb, nb, overlap_needed(na, nb, near)) for sa, na, sb, nb in zip(*cols)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = written(joined.mapInArrow(sketched, "a long, b long"))
+    """Those of the pairs (a, b) of texts that are similar, by prefix trees over whole sets."""
+    left = written(pairs)
     # a text and its partners meet in groups of about PARTNERS
-    needed = dealt_jobs(left).join(texts.select("key", F.col("doc_id").alias("d")), "key")
+    needed = dealt_jobs(left).withColumnRenamed("key", "id").join(texts.select("id", "key", "more", F.col("doc_id").alias("d")), "id").drop("id")
     if left.count() <= MAX_NAMED // 2:
         needed = F.broadcast(needed)
     else:
         needed = needed.hint("shuffle_hash")
-    chosen = docs.select("doc_id", "text").join(needed, F.expr("doc_id <=> d")).select("key", "text", "jobs")
+    chosen = docs.select("doc_id", "text").join(needed, F.expr("doc_id <=> d")).select("key", "more", "text", "jobs")
     frequent = order.frequent
 
     sets = chosen.mapInArrow(lambda batches: merged(sets_of_jobs(batches, frequent.value)), "g long, a long, b long, values binary")
@@ -388,6 +499,139 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order,
     return sets.repartition("g").sortWithinPartitions("g", F.col("b").asc_nulls_first()).mapInArrow(walked, "a long, b long")
 
 
+def with_items(rows: DataFrame, table: DataFrame, hot: int) -> DataFrame:
+    """Rows joined with a table of items. Those of more than `hot` texts, few, are sent to the rows, so that no partition gets all rows of one."""
+    large = F.broadcast(table.where(F.col("texts") > hot))
+    rest = rows.join(large.select("item"), "item", "left_anti").join(table.where(F.col("texts") <= hot), "item")
+    return rows.join(large, "item").select(*rest.columns).union(rest)
+
+
+def item_paths(texts: DataFrame) -> tuple[DataFrame, int]:
+    """Per text that shares prefix shingles: id, n, sketch, path (its items in order: item, w, top, left, texts); and from how many texts an item is sent to the tasks.
+
+    Shingles in the prefixes of the same texts (as two 64-bit sums of the texts' hashes tell) are one item, named by the first of them: w is how many they are, top the
+    last of them, left what remains of the text's set from the first on.
+    """
+    postings = texts.select("id", "n", F.explode(F.arrays_zip("t", "pos")).alias("p")).select("id", F.col("p.t").alias("item"), (F.col("n") - F.col("p.pos")).alias("left"))
+    who = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    shared = postings.groupBy("item").agg(F.count("*").alias("texts"), *who).where("texts > 1")
+    items = written(shared.groupBy("texts", "x1", "x2").agg(F.min("item").alias("item"), F.max("item").alias("top"), F.count("*").alias("w")).select("item", "top", "w", "texts"))
+    total = texts.agg(F.sum(F.size("t"))).first()[0] or 0
+    hot = max(HOT, total // HOT_ITEMS)
+    placed = with_items(postings, items, hot).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("item", "w", "top", "left", "texts"))).alias("path"))
+    return written(placed.join(texts.select("id", "n", "sketch", "m", "alone", "end"), "id")), hot
+
+
+class Block:
+    """Sizes of the paths of a block, to rule out walks: what is left of each set, less its shingles that no other text has, as far as they stand before the end of the other's prefix (were they in the other, they would be shared)."""
+
+    def __init__(self) -> None:
+        self.rows: list = []
+        self.columns = None
+
+    @staticmethod
+    def least(m, k):
+        """How many of m values stand before a place that k of their marks stand before, at least."""
+        return -(-m * k // MARKS)
+
+    def before(self, m, k):
+        """The same at most."""
+        return np.where(k < MARKS, np.maximum(0, self.least(m, k + 1) - 1), m)
+
+    def add(self, path: Path, m: int, alone: bytes, end: int) -> None:
+        self.rows.append((path.n, path.left, m, end, path.root, alone))
+        self.columns = None
+
+    def possible(self, mine: Path, m: int, alone: bytes, end: int, near: tuple[int, int]) -> bool:
+        """Whether lengths leave any path of another group possible for a walker."""
+        if self.columns is None:
+            n, left, ms, ends, roots = (np.array(x, np.int64) for x in list(zip(*self.rows))[:5])
+            at = np.frombuffer(b"".join(r[5] for r in self.rows), np.int64).reshape(-1, MARKS)
+            self.columns = n, left, ms, ends, roots, at, self.before(ms, (at < mine.meet).sum(axis=1))
+        n, left, ms, ends, roots, at, gone = self.columns
+        own = np.frombuffer(alone, np.int64)
+        theirs = left - np.maximum(0, self.least(ms, (at < end).sum(axis=1)) - gone)
+        ours = mine.left - np.maximum(0, self.least(m, np.searchsorted(own, ends)) - self.before(m, np.searchsorted(own, mine.meet)))
+        fits = (np.minimum(n, mine.n) * near[1] >= np.maximum(n, mine.n) * near[0]) & (roots != mine.root)
+        return bool((fits & (np.minimum(theirs, ours) * (near[0] + near[1]) >= near[0] * (n + mine.n))).any())
+
+
+def lists(column: pa.Array):
+    """The lists of a column, made from its values all at once."""
+    at, values = column.offsets.to_pylist(), pc.list_flatten(column).to_pylist()
+    base = at[0]
+    return (values[a - base : b - base] for a, b in zip(at, at[1:]))
+
+
+def _blocks(texts: Column) -> Column:
+    return F.ceil(texts / BLOCK).cast("int")
+
+
+def led_pairs(paths: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Pairs (a, b) to try first: in each block of an item's texts, each text with the first leader that bounds leave possible, or it becomes a leader."""
+    p = F.col("p")
+    met = paths.select("id", "n", "sketch", F.explode("path").alias("p"))
+    g = F.xxhash64(p["item"], F.pmod(F.xxhash64("id", p["item"]), _blocks(p["texts"]))).alias("g")
+    rows = met.select(g, "id", "n", p["left"].alias("left"), "sketch").repartition("g").sortWithinPartitions("g", F.xxhash64("id", "g"))
+
+    def led(batches):
+        group, leaders = None, []
+        for batch in batches:
+            a, b = [], []
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "n", "left", "sketch"))):
+                if g != group:
+                    group, leaders = g, []
+                mine = Path(row[0], 0, *row[1:])
+                leader = next((x for x in leaders if x.may_reach(mine, near)), None)
+                if leader is None:
+                    leaders.append(mine)
+                else:
+                    a.append(min(leader.key, mine.key))
+                    b.append(max(leader.key, mine.key))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(led, "a long, b long").distinct()
+
+
+def open_pairs(paths: DataFrame, tied: DataFrame, hot: int, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Pairs (a, b) of texts in other tied groups (id, root) that may be similar, from walks of prefix trees over the items' texts."""
+    rooted = paths.join(tied, "id", "left").select("id", "n", "sketch", "m", "alone", "end", "path", F.coalesce("root", "id").alias("root"))
+    p = F.col("p")
+    met = rooted.select("id", "root", F.explode("path").alias("p")).groupBy(p["item"].alias("item"), p["texts"].alias("texts"), "root").agg(F.count("*").alias("k"))
+    mains = written(met.groupBy("item", "texts").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main")).where("roots > 1").select("item", "texts", "main"))
+    from_ = F.greatest(F.col("i") - PATH, F.lit(0))
+    bring = rooted.select("id", "root", "n", "sketch", "m", "alone", "end", "path", F.posexplode("path").alias("i", "p")).select("id", "root", "n", "sketch", "m", "alone", "end", p["item"].alias("item"), p["left"].alias("left"), F.slice("path", from_ + 1, F.col("i") - from_ + PATH).alias("path"))
+    opened = with_items(bring, mains, hot)
+    blocks = _blocks(F.col("texts"))
+    own = F.array(F.struct(F.pmod(F.xxhash64("id", "item"), blocks).cast("int").alias("block"), F.lit(True).alias("stored")))
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(False).alias("stored")))
+    # all are stored, each in one block; those outside the item's largest group walk the trees of all blocks
+    dealt = opened.withColumn("at", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.concat(own, every))))
+    rows = dealt.select(F.xxhash64("item", "at.block").alias("g"), "at.stored", "id", "root", (F.col("root") == F.col("main")).alias("inner"), "n", "left", "sketch", "m", "alone", "end", F.col("item").alias("meet"), "path.item", "path.w", "path.top")
+
+    def walked(batches):
+        group, block, tree, inner = None, Block(), ItemTree(), {}
+        for batch in batches:
+            a, b = [], []
+            for g, stored, main, m, alone, end, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "stored", "inner", "m", "alone", "end", "id", "root", "n", "left", "sketch", "meet")), *(lists(batch.column(c)) for c in ("item", "w", "top"))):
+                if g != group:
+                    group, block, tree, inner = g, Block(), ItemTree(), {}
+                mine = Path(*row)
+                if stored:
+                    tree.add(mine)
+                    block.add(mine, m, alone, end)
+                    inner[mine.key] = main
+                elif block.possible(mine, m, alone, end, near):
+                    for other in tree.walk(mine, near):
+                        # two walkers meet twice
+                        if other.root != mine.root and (inner[other.key] or other.key > mine.key):
+                            a.append(min(other.key, mine.key))
+                            b.append(max(other.key, mine.key))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("g").sortWithinPartitions("g", F.desc("stored")).mapInArrow(walked, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that similar texts lead to).
 
@@ -398,38 +642,21 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     """
     order = learned_order(docs, near)
     rows = written(_texts(docs, order, near))
-    # equal texts, however many, are one text from here on
-    texts = written(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "sketch", "t", "pos")).alias("s")).select("key", "doc_id", "s.*"))
-    postings = texts.select("key", "n", F.explode(F.arrays_zip("t", "pos")).alias("p")).select("key", "n", "p.pos", "p.t")
-    # a shingle's pivot is the least key under the shingle's own mask: near copies, which meet at many shingles, meet many pivots
-    mask = F.xxhash64("t")
-    inner = postings.groupBy("t").agg(F.min(F.col("key").bitwiseXOR(mask)).alias("lo"), F.max(F.col("key").bitwiseXOR(mask)).alias("hi")).where("lo != hi").select("t", F.col("lo").bitwiseXOR(mask).alias("pivot"))
-    shared = written(postings.join(inner, "t"))
-    first = shared.where("key != pivot").select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct()
-    a, b = near
-    sizes = texts.select("key", "n")
-    fits = first.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.least("na", "nb") * b >= F.greatest("na", "nb") * a).select("a", "b")
-    links = written(_verified(fits, texts, docs, order, near))
-    # near copies meet different pivots at different shingles; as components they are one group, whose pairs need no more trials
-    tied = components(links)
-    tied = F.broadcast(tied) if links.count() <= MAX_NAMED else tied
-    root = F.coalesce("root", "key").alias("root")
-    placed = shared.join(tied, F.col("key") == F.col("node"), "left").select("t", "key", "n", "pos", root)
-    mixed_ = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("t")
-    open_ = placed.join(mixed_, "t")
-    x, y = open_.alias("x"), open_.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * a / F.lit(a + b))
-    reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    # a similar pair meets at its first common shingle, where what follows must suffice
-    again = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * b >= F.greatest("x.n", "y.n") * a) & (reach >= need))
-    again = again.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    tied = components(links.union(_verified(again, texts, docs, order, near)))
-    root = F.coalesce("root", "key").alias("root")
-
-    ids = texts.select("key", "doc_id").join(tied, F.col("key") == F.col("node"), "left").select("key", "doc_id", root)
+    order.forget_slots()
+    # equal texts, however many, are one text from here on; its number is fixed as it is written
+    texts = rows.where("n > 0").groupBy("key", "more").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "sketch", "m", "alone", "end", "t", "pos")).alias("s")).select("key", "more", "doc_id", "s.*")
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()))
+    paths, hot = item_paths(texts)
+    links = written(_verified(led_pairs(paths, near), texts, docs, order, near))
+    # near copies meet different leaders in different blocks; as components they are one group, whose pairs need no more trials
+    tied = components(links).withColumnRenamed("node", "id")
+    more = written(_verified(open_pairs(paths, tied, hot, near), texts, docs, order, near))
+    order.destroy()
+    tied = components(links.union(more)).withColumnRenamed("node", "id")
+    ids = texts.select("id", "key", "more", "doc_id").join(tied, "id", "left").select("key", "more", "doc_id", F.coalesce("root", "id").alias("root"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    owner = ids.select("key", "root").join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "key", "n").join(owner, "key", "left")
+    owner = ids.select("key", "more", "root").join(least, "root").select("key", "more", "component_id")
+    out = rows.select("doc_id", "key", "more", "n").join(owner, ["key", "more"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
