@@ -1,25 +1,24 @@
-"""Substring dedup by fingerprints of windows.
-
-Windows of `window` words are removed where the same words also start earlier. As the length is fixed, a
-window's hash stands for it: no suffix tree is built, and names like tree, suffix and node below mean groups,
-windows and runs of equal windows. A window belongs to the group of its anchor: the 8-word gram of
-least hash in the window, which depends on the window's words alone.
-
-1. Anchors are counted over all documents. A window whose anchor occurs once repeats nowhere and is dropped.
-2. The rest goes to the group of its anchor; consecutive windows with the same anchor travel
-   as one stretch of words. Where an anchor's group would be too large the group is that of the
-   whole window. Stretches that a chunk of documents has twice are settled there, so a passage in a third of all
-   documents reaches its group once per chunk.
-3. A group's windows are sorted by a 64-bit hash; a run of neighbours with the same words is a repeat, and all but its first
-   window are removed.
-
-Neighbours are compared by 32-bit word hashes, all words of a window.
+"""Substring dedup with prefix-partitioned sparse suffix trees.
+
+Windows of `window` words are removed where the same words also start earlier. Suffixes are taken at anchors only: the anchor of
+a window is the start of its 8-word gram of least hash, which depends on the window's words alone, so equal windows have equal anchors
+and the trees hold about one suffix in seven.
+
+1. The first 8 words of the suffixes are counted over all documents. A suffix whose prefix occurs once repeats nowhere and is dropped.
+2. The rest is dealt out by prefix. A suffix brings its words (as text) as far as its windows reach, to the right and to the
+   left. Where too many suffixes share 8 words, prefixes are as long as the window and suffixes start at every window; a group is then one node of the
+   tree and is read as a stream. Stretches that a chunk of documents has twice are settled there, so a passage in a third of all documents reaches
+   its group once per chunk.
+3. A group's suffixes are sorted by their words, and lengths of common prefixes of neighbours give the nodes of the suffix tree at every
+   depth; the words to the left, sorted from the anchor back, give those of the reversed tree. A window that reaches d words to the left of its anchor repeats where
+   suffixes share a node of depth window - d and a reversed node of depth d. In document order all but the first of them are removed. The nodes that
+   no longer prefix holds too are the maximal repeats; as every window in them is removed, they come out as runs of starts.
+
+Words are sorted by 64-bit hashes; what is removed has been compared as words.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +26,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.jaccard import CHUNK, slices
+from quillon.llm.common import written
+from quillon.llm.jaccard import slices
 from quillon.llm.words import Words, grams, inside, mixed, sliding_argmin
 
 WINDOW = 20
@@ -69,37 +69,35 @@ def anchor_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def text_key(text: str | None) -> int:
-    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
-
+_STRETCH = "grp long, whole boolean, id long, key long, at int, last int, mid int, words binary"
 
-_STRETCH = "grp long, id long, key long, at int, last int, words binary"
 
-
-def _emit(grp, ids, keys, at, last, words) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(at, pa.int32()), pa.array(last, pa.int32()), pa.array(words, pa.binary())], names=["grp", "id", "key", "at", "last", "words"])
+def _emit(grp, whole, ids, keys, at, last, mid, words) -> pa.RecordBatch:
+    ints = [pa.array(np.asarray(x).astype(np.int32)) for x in (at, last, mid)]
+    return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(whole, pa.bool_()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *ints, pa.array(words, pa.binary())], names=["grp", "whole", "id", "key", "at", "last", "mid", "words"])
 
 
 def stretches(batches, wanted, window: int = WINDOW):
-    """Stretches of windows whose anchors repeat. `wanted` gives for a slice and its anchors' grams whether they repeat and whether their groups are large.
+    """Suffixes whose prefixes repeat, with the windows (at to last) whose anchor they start at; mid is the anchor's place after the first window's start. `wanted` gives for a slice and its anchors' grams whether they repeat and whether their groups are large.
 
     Rows without words are removals that the chunk itself settles.
     """
     for part in slices(batches):
-        texts, ids = part.column("text"), np.asarray(pc.fill_null(part.column("id"), NO_ID), np.int64)
-        keys = np.array([text_key(t) for t in texts.to_pylist()], np.int64)
+        column = part.column("text")
+        texts, ids, keys = column.to_pylist(), np.asarray(pc.fill_null(part.column("id"), NO_ID), np.int64), np.asarray(part.column("key"), np.int64)
         order = np.lexsort((ids, keys))
         same = np.zeros(len(ids), bool)
-        same[1:] = keys[order][1:] == keys[order][:-1]
+        same[1:] = [keys[i] == keys[j] and texts[i] == texts[j] for i, j in zip(order[1:], order)]
         copy = np.zeros(len(ids), bool)
         copy[order] = same
         head = np.zeros(len(ids), np.int64)
         head[order] = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))] if len(ids) else order
-        at = Anchored(texts, window)
+        at = Anchored(column, window)
         first, count = at.words.first, at.words.count
         whole = np.flatnonzero(copy & (ids != ids[head]) & (count >= window))  # a later copy goes altogether
         if len(whole):
-            yield _emit(mixed(ids[whole].view(np.uint64)).view(np.int64), ids[whole], keys[whole], np.zeros(len(whole)), count[whole] - window, [None] * len(whole))
+            zero = np.zeros(len(whole), np.int64)
+            yield _emit(mixed(ids[whole].view(np.uint64)).view(np.int64), zero > 0, ids[whole], keys[whole], zero, count[whole] - window, zero, [None] * len(whole))
         start, anchor = at.start, at.anchor
         keep, large = wanted(part, at, start, anchor)
         keep &= ~copy[at.words.doc[start]]
@@ -112,6 +110,8 @@ def stretches(batches, wanted, window: int = WINDOW):
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(start)) - 1
         s0, s1, doc, large = start[lo], start[hi], doc[lo], large[lo]
+        raw = at.words.buffer.tobytes()
+        words = [raw[a:b] for a, b in zip(at.words.start[s0].tolist(), at.words.end[s1 + window - 1].tolist())]
         w = grams(at.hash, window)
         # as stretches are shorter than two windows, the first and last window have all their words
         name = mixed(mixed(w[s0] * np.uint64(3) + w[s1]) + (s1 - s0).astype(np.uint64))
@@ -119,66 +119,113 @@ def stretches(batches, wanted, window: int = WINDOW):
         rank[np.lexsort((keys, ids))] = np.arange(len(ids))
         order = np.lexsort((s0, rank[doc], name))
         again = np.zeros(len(s0), bool)
-        again[order[1:]] = name[order][1:] == name[order][:-1]
+        lead = 0
+        for i, j in zip(order[1:][name[order][1:] == name[order][:-1]].tolist(), order[:-1][name[order][1:] == name[order][:-1]].tolist()):
+            lead = lead if again[j] else j
+            again[i] = words[i] == words[lead] or words[i].split() == words[lead].split()
         group = np.where(large, mixed(w[s0]), at.gram[anchor[lo]]).view(np.int64)
         group[again] = mixed(ids[doc[again]].view(np.uint64)).view(np.int64)
-        short = (at.hash >> np.uint64(32)).astype(np.uint32).tobytes()
-        words = [None if r else short[4 * a : 4 * (b + window)] for a, b, r in zip(s0.tolist(), s1.tolist(), again.tolist())]
-        yield _emit(group, ids[doc], keys[doc], s0 - first[doc], s1 - first[doc], words)
-
-
-def subtree_repeats(group: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, words: list[bytes], window: int = WINDOW):
-    """Suffixes of one or more groups that aren't the first of their deep node: (row, offset in the row's stretch). Rows stand by group, then in document order."""
-    size = np.array([len(w) // 4 for w in words], np.int64)
-    flat = np.frombuffer(b"".join(words), np.uint32)
-    base = np.concatenate([[0], np.cumsum(size)])
-    n = size - window + 1
-    row = np.repeat(np.arange(len(words)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    begin = base[row] + offset
-    path = grams(flat.astype(np.uint64), window)[begin]
-    name = mixed(path ^ mixed(group.view(np.uint64))[row])
-    order = np.argsort(name, kind="stable")
-    near = np.flatnonzero(name[order][1:] == name[order][:-1]) + 1
-    if not len(near):
-        return row[:0], offset[:0]
-    # neighbours share the whole depth: compare all words, so that no chance of hashes makes a repeat
-    x, y = begin[order[near]], begin[order[near - 1]]
-    deep = np.ones(len(near), bool)
-    for d in range(window):
-        deep &= flat[x + d] == flat[y + d]
-    near = near[deep]
-    inner = np.zeros(len(order), bool)
-    inner[near] = True
-    head = np.maximum.accumulate(np.where(inner, 0, np.arange(len(order))))
-    mine, lead = order[near], order[head[near]]
-    a, b = row[mine], row[lead]
-    itself = (ids[a] == ids[b]) & (keys[a] == keys[b]) & (at[a] + offset[mine] == at[b] + offset[lead])  # a repeated row of the table
-    return a[~itself], offset[mine][~itself]
+        mid = np.where(large, 0, anchor[lo] - s0)
+        yield _emit(group, large, ids[doc], keys[doc], s0 - first[doc], s1 - first[doc], mid, [None if r else x for r, x in zip(again.tolist(), words)])
+
+
+def _nodes(group: np.ndarray, steps: list[np.ndarray]) -> list[np.ndarray]:
+    """For sequences given by their 1st, 2nd .. words: node of each at depth 0, 1 .. of the tree of its group, from the sorted sequences and the lengths that neighbours share."""
+    order = np.lexsort((*reversed(steps), group))
+    apart = np.ones(len(order), bool)
+    apart[1:] = group[order][1:] != group[order][:-1]
+    out = []
+    for words in [None, *steps]:
+        if words is not None:
+            apart[1:] |= words[order][1:] != words[order][:-1]
+        node = np.empty(len(order), np.int64)
+        node[order] = np.cumsum(apart)
+        out.append(node)
+    return out
+
+
+def subtree_repeats(group: np.ndarray, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, last: np.ndarray, mid: np.ndarray, texts: list[bytes], window: int = WINDOW):
+    """Windows of one or more groups that aren't the first of their node: (row, offset in the row's stretch). Rows stand by group, then in document order."""
+    words = Words(pa.array(texts, pa.large_binary()))
+    h, first, size = np.append(words.hashes(), np.uint64(0)), words.first[:-1], words.count
+    anchor, deepest = first + mid, int(mid.max(initial=0))
+    none = len(h) - 1
+    right = _nodes(group, [h[np.where(mid + k < size, anchor + k, none)] for k in range(window)])
+    left = _nodes(group, [h[np.where(mid >= k, anchor - k, none)] for k in range(1, deepest + 1)])
+    found = [(np.zeros(0, np.int64),) * 3]
+    for d in range(deepest + 1):
+        mine = np.flatnonzero((mid >= d) & (mid - d <= last - at))
+        node = right[window - d][mine] * np.int64(len(group) + 1) + left[d][mine]
+        order = np.argsort(node, kind="stable")
+        inner = np.zeros(len(mine), bool)
+        inner[1:] = node[order][1:] == node[order][:-1]
+        head = np.maximum.accumulate(np.where(inner, 0, np.arange(len(mine)))) if len(mine) else order
+        a, b = mine[order[inner]], mine[order[head[inner]]]
+        itself = (ids[a] == ids[b]) & (keys[a] == keys[b]) & (at[a] + mid[a] == at[b] + mid[b])  # a repeated row of the table
+        found.append((a[~itself], b[~itself], np.full((~itself).sum(), d)))
+    row, lead, d = (np.concatenate(x) for x in zip(*found))
+    # chance of hashes makes no repeat: compare each row with its leads, all windows of a pair at once
+    order = np.lexsort((d, lead, row))
+    row, lead, d = row[order], lead[order], d[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (lead[1:] != lead[:-1])
+    begin = np.flatnonzero(new)
+    unlike: set[int] = set()
+    for i, j in zip(begin.tolist(), np.append(begin[1:], len(row)).tolist()):
+        r, t, far, near = int(row[i]), int(lead[i]), int(d[j - 1]), int(d[i])
+        x, y = texts[r].split()[mid[r] - far : mid[r] - near + window], texts[t].split()[mid[t] - far : mid[t] - near + window]
+        if x != y:
+            unlike.add(int(group[r]))
+    offset = mid[row] - d
+    if unlike:  # groups with colliding hashes are read word by word
+        sure = ~np.isin(group[row], list(unlike))
+        slow = [_in_order(r, ids, keys, at, last, texts, window) for r in (np.flatnonzero(group == g) for g in unlike)]
+        return np.concatenate([row[sure], *(x[0] for x in slow)]), np.concatenate([offset[sure], *(x[1] for x in slow)])
+    return row, offset
+
+
+def _in_order(rows: np.ndarray, ids, keys, at, last, texts, window: int):
+    """As subtree_repeats, for the rows of one group, by the words themselves."""
+    heads: dict[tuple, tuple] = {}
+    out: list[tuple[int, int]] = []
+    for r in rows.tolist():
+        words = texts[r].split()
+        for o in range(int(last[r] - at[r]) + 1):
+            place = (ids[r], keys[r], at[r] + o)
+            if heads.setdefault(tuple(words[o : o + window]), place) != place:
+                out.append((r, o))
+    return np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64)
 
 
 def removals(rows: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Starts of the windows to remove as stretches (id, key, at, last), from stretches dealt out by group."""
+    """Starts of the windows to remove as stretches (id, key, at, last), from suffixes dealt out by prefix."""
+
+    def settle(table: pa.Table):
+        group, ids, keys, at, last, mid = (table.column(c).to_numpy() for c in ("grp", "id", "key", "at", "last", "mid"))
+        r, o = subtree_repeats(group, ids, keys, at, last, mid, table.column("words").to_pylist(), window)
+        order = np.lexsort((o, r))
+        r, o = r[order], o[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(r))[: len(lo)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(ids[r[lo]]), pa.array(keys[r[lo]]), pa.array((at[r[lo]] + o[lo]).astype(np.int32)), pa.array((at[r[lo]] + o[hi]).astype(np.int32))], names=["id", "key", "at", "last"])
 
     def trees(batches):
         held: list[pa.RecordBatch] = []
-        count = 0
-
-        def settle(table: pa.Table):
-            group, ids, keys, at = (table.column(c).to_numpy() for c in ("grp", "id", "key", "at"))
-            r, o = subtree_repeats(group, ids, keys, at, table.column("words").to_pylist(), window)
-            order = np.lexsort((o, r))
-            r, o = r[order], o[order]
-            new = np.ones(len(r), bool)
-            new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(r))[: len(lo)] - 1
-            return pa.RecordBatch.from_arrays([pa.array(ids[r[lo]]), pa.array(keys[r[lo]]), pa.array((at[r[lo]] + o[lo]).astype(np.int32)), pa.array((at[r[lo]] + o[hi]).astype(np.int32))], names=["id", "key", "at", "last"])
-
+        count, stream, heads = 0, None, {}
         for batch in batches:
             settled = batch.column("words").is_null()
             yield batch.filter(settled).select(["id", "key", "at", "last"])
-            batch = batch.filter(pc.invert(settled))
+            # a prefix as long as the window: the first of the group stays, whatever their number
+            single = batch.filter(pc.and_(batch.column("whole"), pc.invert(settled)))
+            gone = []
+            for i, (g, *place, text) in enumerate(zip(*(single.column(c).to_pylist() for c in ("grp", "id", "key", "at", "words")))):
+                if g != stream:
+                    stream, heads = g, {}
+                gone.append(heads.setdefault(b" ".join(text.split()), place) != place)
+            yield single.filter(pa.array(gone, pa.bool_())).select(["id", "key", "at", "last"])
+            batch = batch.filter(pc.invert(pc.or_(batch.column("whole"), settled)))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -186,7 +233,7 @@ def removals(rows: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataF
             if count >= block // 8:
                 table = pa.Table.from_batches(held)
                 group = table.column("grp").to_numpy()
-                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on; it has as many suffixes as its prefix was counted
                 if cut:
                     yield settle(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
@@ -224,9 +271,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, max_sent: int = MAX_SENT
     A word is removed when a window that covers it has the same words as a window that starts earlier: in a document of a smaller id, or in
     the same document. A null id is the smallest. Rows of one id and text are one document and get the same result; of one id and other
     texts, the text's hash orders them. Null and empty texts and texts below the window's length lose nothing. Ids are integers. An empty table gives an empty
-    result; other columns are ignored. The list of removals stays persisted on disk until the caller clears the cache.
+    result; other columns are ignored. The list of removals is written to the checkpoint folder.
     """
-    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), "text")
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
     counts = anchor_counts(rows, window).where("n > 1").persist(StorageLevel.DISK_ONLY)
     if counts.count() <= max_sent:
         sent = counts.select("anchor", (F.col("n") > max_group).alias("large")).toArrow()  # bounded by max_sent
@@ -244,25 +291,28 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, max_sent: int = MAX_SENT
             # equal texts of a chunk are settled by their key, so their anchors needn't repeat elsewhere
             return value[i] == g, large[i]
 
-        source = rows.select("id", "text")
+        source = rows.select("id", "key", "text")
     else:
+        known = None
         source, wanted = _with_anchors(rows, counts, window, max_group), _listed_anchors
     found = source.mapInArrow(lambda batches: stretches(batches, wanted, window), _STRETCH)
-    merged = _merged(removals(found, window), window).groupBy("id").agg(F.collect_list(F.struct("key", "spans")).alias("cut")).persist(StorageLevel.DISK_ONLY)
-    size = merged.agg(F.count("*").alias("n"), F.sum(F.aggregate("cut", F.lit(0), lambda s, c: s + F.size(c["spans"]))).alias("runs")).first()
+    merged = written(_merged(removals(found, window), window))
+    counts.unpersist()
+    if known is not None:
+        known.destroy()
+    size = merged.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("runs")).first()
     small = size["n"] <= max_docs and (size["runs"] or 0) <= 2 * MAX_RUNS
-    keyed = rows.select("doc_id", "text", F.coalesce("id", F.lit(NO_ID)).alias("id"))
-    joined = keyed.join(F.broadcast(merged) if small else merged.hint("shuffle_hash"), "id", "left").select("doc_id", "text", "cut")
+    keyed = rows.select("doc_id", "text", F.coalesce("id", F.lit(NO_ID)).alias("id"), "key")
+    joined = keyed.join(F.broadcast(merged) if small else merged.hint("shuffle_hash"), ["id", "key"], "left").select("doc_id", "text", "spans")
 
     def kept(batches):
         for batch in slices(batches):
             n, gone, texts = [], [], []
-            for text, cut in zip(batch.column("text").to_pylist(), batch.column("cut").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = (text or "").encode().split()  # bytes split at ASCII white space only
                 n.append(len(words))
-                spans = next((c["spans"] for c in cut if c["key"] == text_key(text)), []) if cut else []
                 at, left = 0, []
-                for a, b in zip(spans[::2], spans[1::2]):
+                for a, b in zip(spans[::2], spans[1::2]) if spans else ():
                     left += words[at:a]
                     at = b
                 left += words[at:]
@@ -281,16 +331,11 @@ def _with_anchors(rows: DataFrame, counts: DataFrame, window: int, max_group: in
             at = Anchored(part.column("text"), window)
             anchors = np.unique(at.anchor)
             doc = at.words.doc[anchors] if len(anchors) else anchors
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([text_key(t) for t in part.column("text").to_pylist()], np.int64)[doc]), pa.array(at.gram[anchors].view(np.int64))], names=["key", "anchor"])
-
-    def keyed(batches):
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), pa.array([text_key(t) for t in part.column("text").to_pylist()], pa.int64())], names=["id", "text", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column("key"), np.int64)[doc]), pa.array(at.gram[anchors].view(np.int64))], names=["key", "anchor"])
 
-    anchors = rows.select("text").mapInArrow(listed, "key long, anchor long").distinct()
+    anchors = rows.select("text", "key").mapInArrow(listed, "key long, anchor long").distinct()
     repeated = anchors.join(counts, "anchor").groupBy("key").agg(F.array_sort(F.collect_list("anchor")).alias("anchors"), F.collect_list(F.when(F.col("n") > max_group, F.col("anchor"))).alias("large"))
-    texts = rows.select("id", "text").mapInArrow(keyed, "id long, text string, key long")
-    return texts.join(repeated.hint("shuffle_hash"), "key", "left").select("id", "text", "anchors", "large")
+    return rows.select("id", "key", "text").join(repeated.hint("shuffle_hash"), "key", "left").select("id", "key", "text", "anchors", "large")
 
 
 def _listed_anchors(part, at, start, anchor):
