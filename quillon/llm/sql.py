@@ -80,10 +80,24 @@ doc_windows AS (
 hit_words AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM hits, unnest(range(0, n)) t(o) GROUP BY doc_id),
 hit_items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id
-)
+), postings AS (
+  SELECT doc_id, w[i] AS term, i FROM docs, unnest(range(1, len(w) + 1)) t(i)
+), counts AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+ranked AS (
+  SELECT item_id, w, term, row_number() OVER (PARTITION BY item_id, w ORDER BY coalesce(df, 0), term) AS k
+  FROM (SELECT DISTINCT item_id, w, unnest(w) AS term FROM items WHERE len(w) > 0) LEFT JOIN counts USING (term)
+  QUALIFY k <= 3
+), needs AS (SELECT item_id, w, max(k) AS need FROM ranked GROUP BY ALL),
+near AS (
+  SELECT r.item_id, r.w, p.doc_id, p.i, count(DISTINCT o.k) AS k
+  FROM ranked r JOIN postings p ON r.k = 1 AND r.term = p.term
+  LEFT JOIN (SELECT s.item_id, s.w, s.k, q.doc_id, q.i FROM ranked s JOIN postings q ON s.k > 1 AND s.term = q.term) o
+    ON o.item_id = r.item_id AND o.w = r.w AND o.doc_id = p.doc_id AND abs(o.i - p.i) <= 25
+  GROUP BY ALL
+), near_items AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM near JOIN needs USING (item_id, w) WHERE k = need - 1 GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 OP6 = rf"""
