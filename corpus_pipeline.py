@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import decontamination, jaccard, mixing, sharding, toxicity
-from quillon.llm.common import checkpointed, read
+from quillon.llm.common import read, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = written(docs)
     return docs

@@ -1,4 +1 @@
-"""Training-data operators: extraction, dedup, filters, mixing, sharding, formatting.
-
-Nothing outside this subpackage imports it; ``registry`` lists its queries.
-"""
+"""Training-data operators. The rest of the package doesn't import this subpackage; its queries are in `queries`, their SQL in `sql`."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,11 @@ def byte_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def named(name: str) -> Column:
+    """A column as a string without nulls, in which null differs from every value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def md5_int(value: Column, digits: int = 8) -> Column:
     """The first hex digits of the md5 of a value's string as a long: an even spread that any SQL engine can repeat."""
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("")).cast("binary")), 1, digits), 16, 10).cast("long")
@@ -43,30 +50,27 @@ def offsets(counts: DataFrame, groups: list[str], order: list[str], value: str,
     return counts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, or that its context was given. All executors must reach it: only where they are threads of this process (tests) is one made up."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp(prefix="quillon-tables-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+    return folder
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Writes a table to the folder that the session names in spark.checkpoint.dir (where none is set, as in tests, to a folder of its own) and reads it back.
+    """Writes a table to the shared folder and reads it back.
 
     It outlives lost executors, is read by column, and later plans show a scan instead of all that made it. The folder's owner
     clears it when the job is done.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quillon-tables-")
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the session names in spark.checkpoint.dir; only where none is set (tests) a folder of its own is taken."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()

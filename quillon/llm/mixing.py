@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import fan_out, md5_int, offsets, word_count
+from quillon.llm.common import fan_out, md5_int, named, offsets, word_count, written
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -54,14 +54,16 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, c
     A null text has size 0. Null ids and repeated rows are documents like others
     (equal rows are interchangeable, so their order doesn't matter). An empty table
     gives an empty result. Other columns of `docs` are ignored. No document gets more than `cap`
-    copies; reruns agree.
+    copies; reruns agree. The sizes are written to the checkpoint folder, so texts are read once.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # rows without id that agree in source and size are interchangeable, so they may be spread by their texts
+    spread = md5_int(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("spread")
+    rows = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), spread))
     by_size = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     total = by_size.agg(F.sum("n")).first()[0] or 0
     n = fan_out(total)
     targets = source_targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap)
-    rows = rows.withColumn("bucket", md5_int(F.col("doc_id")) % n)
+    rows = rows.withColumn("bucket", F.col("spread") % n).drop("spread")
     by_bucket = rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     before_size = offsets(by_bucket.groupBy("source", "size").agg(F.sum("n").alias("n")), ["source"], ["size"], "n", "lower").drop("n")
     before_bucket = offsets(by_bucket, ["source", "size"], ["bucket"], "n", "earlier").drop("n")
@@ -80,12 +82,13 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, c
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The documents of the mix, each row as often as it is emitted, with the columns of `docs`.
 
-    Rows meet their copies by id, source and size; of rows that agree in these the first by text gets the most copies.
+    Rows meet their copies by id, source and size (null is a value of its own); of rows that agree in these the first by text gets the most copies. An empty table gives an
+    empty result; further columns are kept.
     """
     same = ("_id", "_source", "_size")
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_source"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), named("doc_id").alias("_id"), named("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.xxhash64("text").alias("_tie"))
     left = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*same).orderBy("_tie")))
-    counted = mix(docs, seed).where("copies > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("")).alias("_source"), F.col("size").alias("_size"), "copies")
+    counted = mix(docs, seed).where("copies > 0").select(named("doc_id").alias("_id"), named("source").alias("_source"), F.col("size").alias("_size"), "copies")
     right = counted.withColumn("_rank", F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("copies"))))
     joined = left.join(right, [*same, "_rank"])
     return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -16,28 +16,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import byte_size, checkpointed, fan_out, offsets
+from quillon.llm.common import byte_size, fan_out, named, offsets, written
 
 DIMENSIONS = ("source", "lang", "log_size")
 LAW = "bytes"
 FINE = 4096
 HOT_PART = 16
+#: texts of more copies than this are sent to their rows; at most HOT_TEXTS are
+HOT_ROWS, HOT_TEXTS = 4096, 50_000
 
 
-def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, size, crc, point) and points (point, dimensions, weight)."""
+def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, size, text_crc32, point, spread), points (point, dimensions, weight, copies), and the number of rows."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (byte_size(F.col("text")) + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(F.col("text").isNull(), text, F.octet_length(text)).alias("_text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    groups = rows.groupBy("_text").agg(F.sum("size").alias("_bytes"), F.min("source").alias("_source"), F.min("lang").alias("_lang"))
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    limit = max(1, total // (shards * HOT_PART))
+    # what is needed of the texts is written once; rows without id are told apart by their place in that table
+    narrow = docs.select("doc_id", (byte_size(F.col("text")) + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(F.col("text").isNull(), text, F.octet_length(text)).alias("_text"), named("source").alias("source"), named("lang").alias("lang"))
+    rows = written(narrow.withColumn("spread", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.monotonically_increasing_id())))))
+    groups = rows.groupBy("_text").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
+    total = rows.agg(F.sum("size"), F.count("*")).first()
+    limit = max(1, (total[0] or 0) // (shards * HOT_PART))
     # at most shards * HOT_PART texts are over the limit, so this side of the join is bounded
     hot = groups.where(F.col("_bytes") > limit).select("_text", F.ceil(F.col("_bytes") / limit).cast("long").alias("_parts"))
     rows = rows.join(F.broadcast(hot), "_text", "left")
-    part = F.when(F.col("_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+    part = F.when(F.col("_parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.col("spread"), F.col("_parts")))
     rows = rows.withColumn("point", F.xxhash64("_text", part)).drop("_parts")
-    points = rows.groupBy("point").agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.max("size").alias("_size"))
-    return rows.drop("source", "lang", "_text"), points.withColumn("log_size", F.round(F.log2("_size") * 8) / 8).drop("_size")
+    points = rows.groupBy("point").agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.max("size").alias("_size"), F.count("*").alias("copies"))
+    return rows.drop("source", "lang", "_text"), points.withColumn("log_size", F.round(F.log2("_size") * 8) / 8).drop("_size"), total[1]
 
 
 def _coordinates(points: DataFrame) -> DataFrame:
@@ -117,12 +121,16 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     are values like others; repeated rows get slots of their own. An empty table gives an
     empty result.
     """
-    rows, points = _points(docs, shards)
-    points = checkpointed(_coordinates(points))
-    cells = kd_cells(points, shards).select("point", F.col("cell").alias("shard"))
-    placed = rows.join(cells, "point")
-    n = fan_out(points.count())
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)))
+    rows, points, count = _points(docs, shards)
+    points = written(_coordinates(written(points)))
+    cells = written(kd_cells(points, shards).select("point", "copies", F.col("cell").alias("shard")))
+    # texts of many copies are few, and are sent to their rows
+    many = max(HOT_ROWS, count // HOT_TEXTS)
+    hot = F.broadcast(cells.where(F.col("copies") > many).drop("copies"))
+    rest = rows.join(hot.select("point"), "point", "left_anti").join(cells.where(F.col("copies") <= many).drop("copies"), "point")
+    placed = rows.join(hot, "point").select(*rest.columns).union(rest)
+    n = fan_out(count)
+    placed = written(placed.withColumn("bucket", F.pmod(F.xxhash64("spread", "text_crc32"), F.lit(n))))
     start = offsets(placed.groupBy("shard", "bucket").agg(F.count("*").alias("n")), ["shard"], ["bucket"], "n", "start").drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1
     slotted = placed.withColumn("k", inside).join(start, ["shard", "bucket"])
