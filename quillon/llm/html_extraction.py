@@ -6,7 +6,7 @@ edge ties a child's label to its parent's, by the kind of child. Sum-product mes
 down from the root, which on a tree gives the exact marginals. The weights are fitted by
 gradient ascent on the likelihood of labelled pages, whose gradient is the labels' features less
 the marginals' (edges: less the pairwise marginals'). The text of every block whose
-innermost element is content is kept.
+innermost element is content is kept, without that of inline elements with names of their own that aren't.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ class Node:
     stops: int = 0
     label: int | None = None
     hidden: bool = False
-    last: bool = False
+    #: whether it stands in a link, and the nearest block and named inline element that hold its text (-1: none)
+    link: bool = False
+    block: int = 0
+    named: int = -1
 
 
 @dataclass
@@ -54,6 +57,8 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
     #: (node, text) of the stretches between block edges, in order
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    #: of blocks with named inline elements, by their place: the (element or -1, text) that they are made of
+    pieces: dict[int, list[tuple[int, str]]] = field(default_factory=dict)
 
 
 class _Builder(HTMLParser):
@@ -63,7 +68,8 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page([Node("#root")])
         self.open = [0]
-        self.run: list[str] = []
+        self.count = {"#root": 1}  # open elements by tag
+        self.run: list[tuple[int, str]] = []
         self.owner = 0
         self.blank = True  # nothing but white space in the run so far
 
@@ -78,20 +84,29 @@ class _Builder(HTMLParser):
 
     def flush(self) -> None:
         if self.run:
-            text = " ".join("".join(self.run).split())
+            text = " ".join("".join(t for _, t in self.run).split())
             if text:
+                if any(n >= 0 for n, _ in self.run):
+                    self.page.pieces[len(self.page.blocks)] = self.run
                 self.page.blocks.append((self.owner, text))
             self.run = []
             self.blank = True
 
     def close_to(self, depth: int) -> None:
         for at in self.open[depth:]:
-            if self.page.nodes[at].tag in BLOCK:
+            tag = self.page.nodes[at].tag
+            self.count[tag] -= 1
+            if tag in BLOCK:
                 self.flush()
         del self.open[depth:]
 
+    def is_open(self, tags) -> bool:
+        return any(self.count.get(t) for t in tags)
+
     def end_head(self, within: bool = False) -> None:
         """Closes an open head that is the innermost element, or if `within` one that holds it."""
+        if not self.is_open(("head",)):
+            return
         for d in range(len(self.open) - 1, 0, -1):
             if self.page.nodes[self.open[d]].tag == "head":
                 self.close_to(d)
@@ -104,7 +119,7 @@ class _Builder(HTMLParser):
             self.end_head(within=tag == "body")
         if tag in BLOCK:
             self.flush()
-            for d in range(len(self.open) - 1, 0, -1):
+            for d in range(len(self.open) - 1, 0, -1) if self.is_open(("p",)) else ():
                 t = nodes[self.open[d]].tag
                 if t == "p":
                     self.close_to(d)
@@ -113,7 +128,7 @@ class _Builder(HTMLParser):
                     break
         if tag in CLOSES:
             ended, within = CLOSES[tag]
-            for d in range(len(self.open) - 1, 0, -1):
+            for d in range(len(self.open) - 1, 0, -1) if self.is_open(ended) else ():
                 t = nodes[self.open[d]].tag
                 if t in ended:
                     self.close_to(d)
@@ -127,14 +142,17 @@ class _Builder(HTMLParser):
         names = tuple(dict.fromkeys(w for k in ("class", "id", "role", "itemprop", "aria-label") if k in values for w in WORDS.findall(values[k].lower())))
         # whether these are content is the model's to say
         names += ("@hidden",) * ("hidden" in values) + ("@aria-hidden",) * (values.get("aria-hidden") == "true")
-        nodes.append(Node(tag, names, parent, label=label, hidden=hidden))
+        at, up = len(nodes), nodes[parent]
+        block, named = (at, -1) if tag in BLOCK else (up.block, at if names else up.named)
+        nodes.append(Node(tag, names, parent, label=label, hidden=hidden, link=up.link or tag == "a", block=block, named=named))
         if tag in VOID:
             if tag == "br":
-                self.run.append(" ")
+                self.run.append((-1, " "))
             if tag == "hr":
                 self.flush()
         else:
             self.open.append(len(nodes) - 1)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -143,7 +161,7 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag):
         nodes = self.page.nodes
-        for d in range(len(self.open) - 1, 0, -1):
+        for d in range(len(self.open) - 1, 0, -1) if self.is_open((tag,)) else ():
             if nodes[self.open[d]].tag == tag:
                 self.close_to(d)
                 break
@@ -153,27 +171,17 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         if data.strip():
             self.end_head()
-        at = self.open[-1]
-        nodes = self.page.nodes
-        if nodes[at].hidden:
+        at = self.page.nodes[self.open[-1]]
+        if at.hidden:
             return
         size = len(data.strip())
-        if size:
-            linked, i = False, at
-            while i > 0 and not linked:
-                linked, i = nodes[i].tag == "a", nodes[i].parent
-            i, stops = at, sum(map(data.count, ".!?"))
-            while i >= 0:
-                nodes[i].text += size
-                nodes[i].linked += size * linked
-                nodes[i].stops += stops
-                i = nodes[i].parent
+        at.text += size
+        at.linked += size * at.link
+        at.stops += sum(map(data.count, ".!?")) if size else 0
         if self.blank:
             self.blank = not size
-            while at > 0 and nodes[at].tag not in BLOCK:
-                at = nodes[at].parent
-            self.owner = at
-        self.run.append(data)
+            self.owner = at.block
+        self.run.append((at.named, data))
 
 
 def parse(html: str | None) -> Page:
@@ -181,6 +189,13 @@ def parse(html: str | None) -> Page:
     builder.feed(html or "")
     builder.close()
     builder.flush()
+    # counts of whole subtrees: children stand after parents
+    nodes = builder.page.nodes
+    for n in reversed(nodes[1:]):
+        up = nodes[n.parent]
+        up.text += n.text
+        up.linked += n.linked
+        up.stops += n.stops
     return builder.page
 
 
@@ -316,13 +331,20 @@ def main_text(html: str | None, model: TreeModel) -> str:
     """The kept blocks, white space inside each turned into one space, joined by line breaks; empty for null or if no block is content."""
     page = parse(html)
     p = model.content(page)
-    return "\n".join(text for at, text in page.blocks if p[at] >= 0.5)
+    out = []
+    for i, (at, text) in enumerate(page.blocks):
+        if p[at] >= 0.5:
+            if i in page.pieces:  # what stands in named inline elements is content if they are
+                text = " ".join("".join(t if n < 0 or p[n] >= 0.5 else " " for n, t in page.pieces[i]).split())
+            if text:
+                out.append(text)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     """Adds to page_id and url: text and n_chars (its code points).
 
-    Null and empty html give an empty text. Repeated rows are extracted alike, long pages whole; other columns are ignored and an
+    Parsing and messages take time in proportion to the page, however deep its elements are nested. Null and empty html give an empty text. Repeated rows are extracted alike, long pages whole; other columns are ignored and an
     empty table gives an empty result. A page is handled on its own, so nothing is shuffled.
     """
     model = model or default_model()

@@ -21,7 +21,7 @@ def _page(body: str, head: str = "") -> str:
 _OTHER = (
     "ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "sponsor", "cookie notice", "cookie consent", "notice", "alert", "gdpr", "newsletter", "subscribe", "signup", "popup modal",
     "sidebar", "widget", "related", "recommended", "more stories", "share", "social", "breadcrumbs", "breadcrumb", "pagination", "pager", "menu", "navbar", "nav", "navigation", "topbar", "masthead", "site header", "header", "footer", "site footer", "copyright", "legal",
-    "comments", "comment list", "comment", "discussion", "replies", "respond", "disqus thread", "login", "search", "toolbar", "tags", "author bio", "skip link", "paywall",
+    "comments", "comment list", "comment", "discussion", "replies", "respond", "disqus thread", "login", "search", "toolbar", "tags", "author bio", "skip link", "paywall", "disclosure", "disclaimer", "affiliate notice", "correction policy", "terms", "privacy", "print only", "rating", "byline social", "outbrain", "taboola", "survey", "donate", "app download", "trending", "most read", "feedback", "report",
 )
 #: class or id words of containers of main text
 _MAIN = ("content", "main content", "article body", "post content", "entry content", "story", "article", "post body", "text", "post", "entry", "body copy", "main")
@@ -78,6 +78,27 @@ def _layouts() -> list[str]:
     out.append(_page(f"{nav}<main data-label='main'><p>{_SHORT}</p></main>{footer}"))
     out.append(_page(f"{nav}<article data-label='main'>Wet. {_SHORT}<br>{_SHORT}</article>{footer}"))
     out.append(_page(f"{nav}<div data-label='other'><p>{_SHORT}</p></div><article data-label='main'><p>{_SHORT}</p></article>{footer}"))
+    # pages of nothing but paragraphs, with and without headings
+    for body in (f"<p>{_MID}</p><p>{_LONG}</p>", f"<h1>River</h1>{_P}", f"<p>{_SHORT}</p><p>{_SHORT}</p>", f"{_LINKED}{_P}", f"<h2>River</h2><p>{_LONG}</p><ul><li>{_SHORT}</li></ul>", "<p>Wet.</p><p>Dry.</p>", f"<h1>River</h1><p>{_SHORT}</p>"):
+        out.append(f"<html><body data-label='main'>{body}</body></html>")
+        out.append(f"<html><head><title>T</title><body data-label='main'>{body}{footer}</body></html>")
+        out.append(f"<html><body data-label='main'>{nav}{body}<div class='ad' data-label='other'>{_SHORT}</div></body></html>")
+        out.append(f"<body data-label='main'>{_around('sidebar', f'<p>{_MID}</p>')}{body}{_around('comments', f'<p>{_LONG}</p>')}</body>")
+    # tables that lay out a page
+    for side in (_MENU, "<a href='/'>Home</a> <a href='/n'>News</a>", "<a href='/a'>Home</a><br><a href='/b'>World news</a><br><a href='/c'>About</a>", "<p><a href='/x'>Archive</a></p>"):
+        cell, text = f"<td data-label='other'>{side}</td>", f"<td data-label='main'><h1>River</h1>{_P}</td>"
+        out.append(f"<html><body><table><tr>{cell}{text}</tr></table></body></html>")
+        out.append(f"<html><body><table><tr><td data-label='other'>The Paper</td></tr><tr>{cell}{text}<td class='ads' data-label='other'>{_SHORT}</td></tr><tr><td class='footer' data-label='other'>&copy; 2020 All rights reserved.</td></tr></table></body></html>")
+        out.append(f"<body><table><tr>{cell}<td data-label='main'><p>{_MID}</p><p>{_LONG}</p><table><tr><td>Level</td><td>4 m</td></tr></table></td></tr></table></body>")
+    # inline elements with names: words and links of the text, and what was put in between
+    for i, name in enumerate(("highlight", "term", "person", "quote", "caps", "x1", "date", "link external", "footnote", "mw redirect", "place", "number", "glossary", "strong", "name", "ref")):
+        tag = ("span", "a", "em", "abbr")[i % 4]
+        out.append(f"<article data-label='main'><h1>River</h1><p>{_MID} <{tag} class='{name}' href='/m'>The lower fields</{tag}> and the farms. {_SHORT}</p><p>{_LONG}</p></article>")
+        out.append(f"<html><body>{nav}<div class='content' data-label='main'><p><{tag} id='{name}'>Wet</{tag}> fields. {_SHORT}</p><p>{_MID}</p></div>{footer}</body></html>")
+    for i, name in enumerate(("ad", "advert", "sponsored", "promo", "share", "social", "ads", "newsletter", "related", "advertisement", "comment", "disclosure", "notice", "widget")):
+        tag = ("span", "a", "small", "span")[i % 4]
+        out.append(f"<article data-label='main'><h1>River</h1><p>{_MID} <{tag} class='{name}' data-label='other'>Buy two chairs now.</{tag}> {_SHORT}</p><p>{_LONG}</p></article>")
+        out.append(f"<main data-label='main'><p>{_SHORT} <{tag} class='{name} box' data-label='other'>{_SHORT}</{tag}></p><p>{_LONG}</p></main>")
     return out
 
 
