@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.scorecard import quantile_bins
+from quillon.operators.scorecard import binned_counts
 
 
 def per_score(scored: DataFrame, score: str = "pd", label: str = "bad") -> DataFrame:
@@ -35,7 +35,7 @@ def ks(scored: DataFrame) -> DataFrame:
 
 def gains_table(scored: DataFrame, n: int = 10) -> DataFrame:
     """Per score bin, 1 the lowest: accounts, bads, bad rate, share of all bads in it and the higher ones, and lift."""
-    per = quantile_bins(scored, "pd", n).groupBy("bin").agg(F.count("*").alias("accounts"), F.sum("bad").alias("bads"))
+    per = binned_counts(scored, "pd", n, {"bads": F.sum("bad")}).withColumnRenamed("n", "accounts")
     every, down = Window.partitionBy(), Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     rate = F.col("bads") / F.col("accounts")
     return per.select("bin", "accounts", "bads", F.round(rate, 6).alias("bad_rate"), F.round(F.sum("bads").over(down) / F.sum("bads").over(every), 6).alias("capture"), F.round(rate / (F.sum("bads").over(every) / F.sum("accounts").over(every)), 6).alias("lift"))
@@ -52,7 +52,8 @@ def confusion(scored: DataFrame, thresholds: DataFrame, missed_cost: float = 5.0
 def calibration(scored: DataFrame, n: int = 10) -> DataFrame:
     """Per score bin: accounts, mean score and bad rate; and for all rows the Brier score and the Hosmer-Lemeshow sum."""
     square = (F.col("pd") - F.col("bad")) * (F.col("pd") - F.col("bad"))
-    per = quantile_bins(scored, "pd", n).groupBy("bin").agg(F.count("*").alias("n"), F.sum(F.col("pd").cast("decimal(18,6)")).cast("double").alias("p"), F.sum("bad").alias("b"), F.sum(F.round(square, 12).cast("decimal(24,12)")).cast("double").alias("s"))
+    sums = {"p": F.sum(F.col("pd").cast("decimal(18,6)")), "b": F.sum("bad"), "s": F.sum(F.round(square, 12).cast("decimal(24,12)"))}
+    per = binned_counts(scored, "pd", n, sums).withColumns({"p": F.col("p").cast("double"), "s": F.col("s").cast("double")})
     every = Window.partitionBy()
     hl = (F.col("b") - F.col("p")) * (F.col("b") - F.col("p")) / (F.col("p") * (1 - F.col("p") / F.col("n")))
     return per.select("bin", F.col("n").alias("accounts"), F.round(F.col("p") / F.col("n"), 6).alias("mean_pd"), F.round(F.col("b") / F.col("n"), 6).alias("bad_rate"), F.round(F.sum("s").over(every) / F.sum("n").over(every), 6).alias("brier"), F.round(F.sum(hl).over(every), 4).alias("hosmer_lemeshow"))
@@ -60,7 +61,7 @@ def calibration(scored: DataFrame, n: int = 10) -> DataFrame:
 
 def psi(scored: DataFrame, period: str, base: str, n: int = 10, floor: float = 1e-4) -> DataFrame:
     """Per period: the population stability index of its scores against the base period's, over bins of all scores; shares have a floor."""
-    counts = quantile_bins(scored, "pd", n).groupBy(period, "bin").agg(F.count("*").alias("n"))
+    counts = binned_counts(scored, "pd", n, {}, [period])
     share = counts.select(period, "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(period))).alias("share"))
     expected = share.where(F.col(period) == base).select("bin", F.col("share").alias("e"))
     grid = share.select(period).distinct().crossJoin(F.broadcast(counts.select("bin").distinct()))  # n bins

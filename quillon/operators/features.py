@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.money import discrete, money
+from quillon.functions.money import discrete_cuts, money
 
 
 def account_base(orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -45,15 +45,19 @@ def recency(orders: DataFrame) -> DataFrame:
 def asof_features(left: DataFrame, right: DataFrame, key: str, time: str, tie: str) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time (of equal times the greatest `tie`); right columns are null if there is none.
 
+    A null key meets nothing, nor does a null time on either side; such left rows stay.
+
     Both sides are put under one another and the last right row is carried forward, so each side
     moves once and no range of pairs arises. Right columns other than key and time keep their names; a key's rows are sorted, not held.
     """
     values = [c for c in right.columns if c not in (key, time)]
     a = left.withColumns({"_side": F.lit(1), "_tie": F.lit(None).cast(dict(right.dtypes)[tie]), "_right": F.lit(None).cast(right.select(F.struct(*values, F.col(time).alias(f"asof_{time}")).alias("s")).schema["s"].dataType)})
-    b = right.select(key, time, F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(*values, F.col(time).alias(f"asof_{time}")).alias("_right"))
+    b = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(key, time, F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.struct(*values, F.col(time).alias(f"asof_{time}")).alias("_right"))
     w = Window.partitionBy(key).orderBy(F.col(time), F.col("_side"), F.col("_tie")).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, "_right.*")
+    # rows without key or time need no partner, and no partition of their own
+    placed = F.col(key).isNotNull() & F.col(time).isNotNull()
+    both = a.where(placed).unionByName(b, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(w))
+    return both.where("_side = 1").unionByName(a.where(~placed)).select(*left.columns, "_right.*")
 
 
 def status_pivot(base: DataFrame, statuses: tuple[str, ...] = ("F", "O", "P")) -> DataFrame:
@@ -62,17 +66,17 @@ def status_pivot(base: DataFrame, statuses: tuple[str, ...] = ("F", "O", "P")) -
     return out.select("borrower", *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(f"exposure_{s.lower()}") for s in statuses])
 
 
-def winsorise(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Clamps a column to two of its discrete quantiles, as `<column>_w`. Nulls stay."""
-    cuts = df.agg(discrete(column, low).alias("_lo"), discrete(column, high).alias("_hi"))
-    clamped = F.when(F.col(column).isNotNull(), F.greatest(F.least(column, "_hi"), "_lo"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(f"{column}_w", clamped).drop("_lo", "_hi")  # cuts: one row
+def winsorise(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, approx: bool = False) -> DataFrame:
+    """Clamps a column to two of its discrete quantiles, as `<column>_w`. Nulls stay. `approx` takes the quantiles from a sketch."""
+    cuts = discrete_cuts(df, column, [low, high], approx=approx).withColumnRenamed("cuts", "_cuts")
+    clamped = F.when(F.col(column).isNotNull(), F.greatest(F.least(F.col(column), F.col("_cuts")[1]), F.col("_cuts")[0]))
+    return df.crossJoin(F.broadcast(cuts)).withColumn(f"{column}_w", clamped).drop("_cuts")  # cuts: one row
 
 
-def impute(df: DataFrame, column: str, by: str) -> DataFrame:
-    """Fills nulls with the discrete median of the row's group, with a flag `<column>_missing`. A group without values stays null."""
-    medians = df.groupBy(by).agg(discrete(column, 0.5).alias("_median"))
-    joined = df.alias("d").join(medians.alias("m"), F.expr(f"d.{by} <=> m.{by}")).select("d.*", "m._median")
+def impute(df: DataFrame, column: str, by: str, approx: bool = False) -> DataFrame:
+    """Fills nulls with the discrete median of the row's group, with a flag `<column>_missing`. A group without values stays null. `approx` takes the medians from sketches."""
+    medians = discrete_cuts(df, column, [0.5], [by], approx).select(by, F.col("cuts")[0].alias("_median"))
+    joined = df.alias("d").join(medians.alias("m"), F.expr(f"d.{by} <=> m.{by}"), "left").select("d.*", "m._median")
     return joined.withColumns({f"{column}_missing": F.col(column).isNull(), column: F.coalesce(column, "_median")}).drop("_median")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,10 +11,12 @@ from pyspark.sql.window import Window
 EDGES = (0, 30, 60, 90, 365)
 
 
-def default_label(lineitem: DataFrame) -> DataFrame:
-    """Per account with lines: bad is 1 when at least half of its lines are missed. Compared in integers."""
+def default_label(lineitem: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per account with lines: bad is 1 when at least a share `threshold` of its lines is missed. Compared in integers, the threshold as a fraction of thousandths at most."""
+    share = Fraction(threshold).limit_denominator(1000)
     missed = F.count_if(F.col("l_returnflag") == "R")
-    return lineitem.groupBy(F.col("l_orderkey").alias("account")).agg(F.count("*").alias("lines"), missed.alias("missed"), F.when(2 * missed >= F.count("*"), 1).otherwise(0).cast("long").alias("bad"))
+    bad = F.when(missed * share.denominator >= F.count("*") * share.numerator, 1).otherwise(0).cast("long")
+    return lineitem.groupBy(F.col("l_orderkey").alias("account")).agg(F.count("*").alias("lines"), missed.alias("missed"), bad.alias("bad"))
 
 
 def delinquency_bucket(lines: DataFrame, edges: tuple[int, ...] = EDGES) -> DataFrame:

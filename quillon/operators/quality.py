@@ -14,7 +14,7 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def key_check(df: DataFrame, keys: list[str], parent: DataFrame, on: tuple[str, str]) -> DataFrame:
-    """One row: surplus rows of repeated keys, and rows whose `on[0]` isn't in the parent's `on[1]`."""
+    """One row: surplus rows of repeated keys, and rows whose `on[0]` isn't in the parent's `on[1]`. A null there is in no parent, so it counts; null keys are equal to each other."""
     surplus = df.groupBy(*keys).agg(F.count("*").alias("_rows")).agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("surplus_rows"), F.count_if(F.col("_rows") > 1).alias("repeated_keys"))
     orphans = df.join(parent.select(F.col(on[1]).alias("_k")).distinct(), F.col(on[0]) == F.col("_k"), "left_anti").agg(F.count("*").alias("orphan_rows"))
     return surplus.crossJoin(orphans)  # one row each

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -10,17 +14,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.functions.money import discrete, logistic, points
+from quillon.functions.money import bin_of, discrete_cuts, logistic, points
 
 #: intercept, and per attribute its expression and coefficient
 SCORECARD = (-0.6, (("balance", "balance / 10000", -0.8), ("exposure", "exposure / 500000", 1.2), ("pending", "CASE WHEN status = 'P' THEN 1 ELSE 0 END", 0.3)))
 
 
-def quantile_bins(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Adds `bin`, 1 to n, by discrete quantiles of all rows; a value at a cut is in the lower bin, nulls in bin 0."""
-    cuts = df.agg(F.array(*[discrete(column, round(i / n, 10)) for i in range(1, n)]).alias("_cuts"))
-    above = F.size(F.filter("_cuts", lambda c: c < F.col(column)))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.when(F.col(column).isNull(), 0).otherwise(1 + above).cast("long")).drop("_cuts")  # cuts: one row
+def shares(n: int) -> list[float]:
+    return [round(i / n, 10) for i in range(1, n)]
+
+
+def quantile_bins(df: DataFrame, column: str, n: int, approx: bool = False) -> DataFrame:
+    """Adds `bin`, 1 to n, by discrete quantiles of all rows; a value at a cut is in the lower bin, nulls in bin 0. `approx` takes the cuts from a sketch."""
+    cuts = discrete_cuts(df, column, shares(n), approx=approx).withColumnRenamed("cuts", "_cuts")
+    return df.crossJoin(F.broadcast(cuts)).withColumn("bin", bin_of(column, F.col("_cuts"))).drop("_cuts")  # cuts: one row
+
+
+def binned_counts(df: DataFrame, column: str, n: int, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Per bin of quantile_bins (and `by`): `n` and sums over its rows, from one pass over the rows; nulls are left out. Rows are summed per value before the bins are known, so the column should have few distinct values (rounded scores have at most a million)."""
+    by = by or []
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"), *[f.alias(k) for k, f in sums.items()])
+    # rows below the value, over all groups
+    below = F.coalesce(F.sum("n").over(Window.orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("n").over(Window.partitionBy(column))
+    placed = counts.withColumns({"_below": below, "_all": F.sum("n").over(Window.partitionBy())})
+    # a cut lies below the value if the rows below already reach its share
+    bin_ = (1 + sum((F.col("_below") >= F.lit(p) * F.col("_all")).cast("int") for p in shares(n))).cast("long")
+    return placed.withColumn("bin", bin_).groupBy(*by, "bin").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
 
 
 def woe_iv(binned: DataFrame, label: str) -> DataFrame:
@@ -37,20 +56,63 @@ def split(accounts: DataFrame, as_of: str, key: str = "account", time: str = "op
     return accounts.withColumn("part", part)
 
 
+def woe_table(train: DataFrame, columns: list[str], label: str = "label", n: int = 10) -> dict[str, tuple[list, dict[int, float]]]:
+    """Per column its cuts and the weight of evidence of each bin, from the training rows: a few numbers a column, held by the caller."""
+    out = {}
+    for c in columns:
+        cuts = discrete_cuts(train, c, shares(n)).first()
+        cuts = list(cuts["cuts"]) if cuts else []
+        binned = train.withColumn("bin", bin_of(c, F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")))
+        out[c] = cuts, {r["bin"]: r["woe"] for r in woe_iv(binned, label).collect()}  # at most n + 1 rows
+    return out
+
+
+def with_woe(df: DataFrame, table: dict[str, tuple[list, dict[int, float]]]) -> DataFrame:
+    """Adds `<column>_woe`. A null has the weight of the training nulls; a bin that training never saw has 0, no evidence."""
+    for c, (cuts, weights) in table.items():
+        at = bin_of(c, F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>"))
+        woe = F.lit(0.0)
+        for b, w in weights.items():
+            woe = F.when(at == b, F.lit(w)).otherwise(woe)
+        df = df.withColumn(f"{c}_woe", woe)
+    return df
+
+
 def fit_pd(train: DataFrame, features: list[str], label: str = "label") -> PipelineModel:
-    """Logistic model of the default probability on standardised features."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=label, regParam=1e-4, maxIter=50)]).fit(train)
+    """Logistic model of the default probability on standardised features. Rows with a null feature or label are no training rows."""
+    stages = [VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=label, regParam=1e-4, maxIter=50)]
+    return Pipeline(stages=stages).fit(train.dropna(subset=[*features, label]))
 
 
 def fit_challenger(train: DataFrame, features: list[str], label: str = "label", seed: int = 7) -> PipelineModel:
-    """Gradient-boosted trees on the same features."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=10, maxDepth=3, seed=seed)]).fit(train)
+    """Gradient-boosted trees on the same features, and on the same rows."""
+    stages = [VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep"), GBTClassifier(featuresCol="_x", labelCol=label, maxIter=10, maxDepth=3, seed=seed)]
+    return Pipeline(stages=stages).fit(train.dropna(subset=[*features, label]))
 
 
 def score_batch(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Adds `pd` by a fitted model, partition by partition."""
+    """Adds `pd` by a fitted model, partition by partition. Every row stays; one with a null feature has a null pd (impute or bin it first)."""
     drop = [c for c in ("_x", "_z", "rawPrediction", "probability", "prediction") if c not in df.columns]
-    return model.transform(df).withColumn("pd", vector_to_array("probability")[1]).drop(*drop)
+    features = model.stages[0].getInputCols()
+    known = F.lit(True)
+    for c in features:
+        known &= F.col(c).isNotNull()
+    return model.transform(df).withColumn("pd", F.when(known, vector_to_array("probability")[1])).drop(*drop)
+
+
+def score_foreign(df: DataFrame, predict: Callable[[pd.DataFrame], np.ndarray], features: list[str]) -> DataFrame:
+    """Adds `pd` by a model of another library, given as a function from a frame of the features to scores, in Arrow batches. It is sent to the tasks with them. Rows with a null feature have a null pd."""
+
+    @F.pandas_udf("double")
+    def scored(columns: pd.DataFrame) -> pd.Series:
+        whole = columns.notna().all(axis=1)
+        out = pd.Series(np.nan, index=columns.index)
+        if whole.any():
+            out[whole] = np.asarray(predict(columns[whole]), float)
+        return out
+
+    found = scored(F.struct(*features))
+    return df.withColumn("pd", found).withColumn("pd", F.when(~F.isnan("pd"), F.col("pd")))
 
 
 def log_odds(card=SCORECARD) -> Column:
@@ -62,8 +124,8 @@ def log_odds(card=SCORECARD) -> Column:
 
 def apply_scorecard(accounts: DataFrame, card=SCORECARD) -> DataFrame:
     """Adds pd and points from given coefficients, both rounded to 6 decimals, by column arithmetic alone."""
-    pd = logistic(log_odds(card))
-    return accounts.withColumns({"pd": F.round(pd, 6), "points": F.round(points(pd), 6)})
+    odds = logistic(log_odds(card))
+    return accounts.withColumns({"pd": F.round(odds, 6), "points": F.round(points(odds), 6)})
 
 
 def reason_codes(accounts: DataFrame, k: int = 2, card=SCORECARD) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import evaluation, features, labels, portfolio, quality, scorecard
+from quillon.sources import sinks
 from quillon.sources.tables import event_time, read_stream, read_table
 from quillon.streaming import behaviour
 
@@ -162,17 +163,24 @@ def split(spark, d):
 FEATURES = ["balance", "exposure", "opened_90d"]
 
 
-def model_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled accounts with features known at their opening."""
+def all_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All accounts with features known at their opening, and their label if they have one."""
     opened = features.velocity(read_table(spark, d, "orders")).select("account", F.col("opened").cast("double").alias("opened_90d"))
-    return scorecard.split(labelled(spark, d).join(opened, "account"), "2000-07-01").withColumn("label", F.col("bad").cast("double"))
+    bad = labels.default_label(read_table(spark, d, "lineitem")).select("account", "bad", F.col("bad").cast("double").alias("label"))
+    return scorecard.split(base(spark, d).join(opened, "account").join(bad, "account", "left"), "2000-07-01")
+
+
+def model_rows(spark: SparkSession, d: str) -> DataFrame:
+    return all_rows(spark, d).where("label IS NOT NULL")
 
 
 @query
 def fit_pd(spark, d):
-    """Scores of the holdout by a logistic model of the training part."""
+    """Scores of the holdout by a logistic model on weights of evidence, both of the training part."""
     rows = model_rows(spark, d)
-    model = scorecard.fit_pd(rows.where("part = 'train'"), FEATURES)
+    table = scorecard.woe_table(rows.where("part = 'train'"), FEATURES)
+    rows, names = scorecard.with_woe(rows, table), [f"{c}_woe" for c in FEATURES]
+    model = scorecard.fit_pd(rows.where("part = 'train'"), names)
     return scorecard.score_batch(rows.where("part = 'holdout'"), model).select("account", "bad", F.round("pd", 6).alias("pd"))
 
 
@@ -185,11 +193,21 @@ def fit_challenger(spark, d):
 
 @query
 def score_batch(spark, d):
-    """Every account scored by a model fitted on the training part."""
-    rows = model_rows(spark, d)
+    """Every account, labelled or not, scored by a model fitted on the training part."""
+    rows = all_rows(spark, d)
     return scorecard.score_batch(rows, scorecard.fit_pd(rows.where("part = 'train'"), ["balance", "exposure"])).select("account", F.round("pd", 6).alias("pd"))
 
 
+@query
+def write_scores(spark, d):
+    """Scores of all accounts by year, then those of one year anew with the sign of their points turned; what is read back."""
+    path = behaviour.shared_folder(spark)
+    rows = scorecard.apply_scorecard(base(spark, d)).select("account", "pd", "points", F.date_format("opened", "yyyy").alias("as_of"))
+    sinks.write_scores(rows, path, key="account", files=4)
+    sinks.write_scores(rows.where("as_of = '1997'").withColumn("points", -F.col("points")), path)
+    return spark.read.schema("account long, pd double, points double, as_of string").parquet(path)
+
+
 @query
 def apply_scorecard(spark, d):
     return scorecard.apply_scorecard(base(spark, d)).select("account", "pd", "points")
@@ -304,8 +322,33 @@ def activity_windows_sliding(spark, d):
 
 @query
 def activity_sessions(spark, d):
-    """The batch form of the session operator: over a closed table it leaves no session open."""
-    return behaviour.activity_sessions(event_time(read_table(spark, d, "events"))).select("user_id", day("start").alias("start"), day("last").alias("last"), "n")
+    """Sessions from a stream; a far later event in a batch of its own closes the last ones."""
+    events = behaviour.drained(event_time(read_table(spark, d, "events")))
+    found = behaviour.run_to_end(behaviour.activity_sessions(behaviour.in_files(events, F.col("user_id").isNull().cast("int"))))
+    return found.where("user_id IS NOT NULL").select("user_id", day("start").alias("start"), day("last").alias("last"), "n")
+
+
+#: the newest events come first, then the middle ones, then the old ones, which the watermark has left behind
+NEW, OLD = "2024-01-20 00:00:00", "2024-01-10 00:00:00"
+
+
+@query
+def late_rows(spark, d):
+    """Events that came too late for their day's window. A far later event closes the windows."""
+    events = event_time(read_table(spark, d, "events"))
+    part = F.when(F.col("user_id").isNull(), 3).when(F.col("ts") >= NEW, 0).when(F.col("ts") >= OLD, 1).otherwise(2)
+    windows = behaviour.activity_windows(behaviour.in_files(behaviour.drained(events), part))
+    landed = behaviour.run_to_end(windows).where("event_type IS NOT NULL")
+    return behaviour.late_rows(events, landed)
+
+
+@query
+def upsert_scores(spark, d):
+    """The latest value of each borrower, from a stream in four batches that are not in order of time."""
+    rows = event_time(read_table(spark, d, "events")).select(F.col("user_id").alias("borrower"), "ts", "event_id", "value")
+    path = behaviour.shared_folder(spark)
+    behaviour.upsert_scores(behaviour.in_files(rows, F.pmod(F.col("event_id"), F.lit(4))), path)
+    return behaviour.latest_scores(spark, path).select("borrower", day("ts").alias("at"), "event_id", "value")
 
 
 @query

@@ -183,3 +183,10 @@ SELECT user_id, event_id, n FROM (
   SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
          - (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND x.ts < e.ts - INTERVAL 24 HOURS) AS n FROM events e
 ) WHERE n >= 3"""
+SQL["write_scores"] = f"""
+WITH {_BASE}, {_CARD} SELECT account, pd, CASE WHEN strftime(opened, '%Y') = '1997' THEN -points ELSE points END AS points, strftime(opened, '%Y') AS as_of FROM card"""
+SQL["late_rows"] = """
+SELECT count(*) AS late FROM events, (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+WHERE ts < TIMESTAMP '2024-01-10' AND (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-20') > 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= mark"""
+SQL["upsert_scores"] = f"""
+SELECT user_id AS borrower, strftime(ts, {_STAMP}) AS at, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""

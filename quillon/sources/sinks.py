@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def write_scores(df: DataFrame, path: str, by: str = "as_of") -> None:
-    """Writes scores by date; the dates of `df` replace theirs, others stay. Rows are dealt by date, so each date has few files."""
-    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def write_scores(df: DataFrame, path: str, by: str = "as_of", key: str | None = None, files: int = 1) -> None:
+    """Writes scores by date; the dates of `df` replace theirs, others stay. Rows are dealt by date, so each date has few files: `files`, by a hash of `key`, where a date is too large for one task."""
+    deal = [by] if key is None or files == 1 else [by, F.pmod(F.xxhash64(key), F.lit(files))]
+    df.repartition(*deal).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillon.functions.money import money
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under the session's checkpoint folder, or where none is set (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-stream-")
+    """A new folder that all executors see, under the session's checkpoint folder; only where they are threads of this process (tests) may that be unset and a temporary one be taken."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = tempfile.mkdtemp(prefix="quillon-stream-")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -32,6 +39,23 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/batch=*")
 
 
+def in_files(events: DataFrame, part: Column, per_trigger: int = 1) -> DataFrame:
+    """A table as a stream that takes `per_trigger` of its parts at a time, in order of `part` (small integers). The parts are written to the shared folder, one after another."""
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    numbers = sorted(r[0] for r in events.select(part).distinct().collect())  # few by contract
+    for k in numbers:
+        events.where(part == k).coalesce(1).write.parquet(f"{folder}/part={k:04d}")
+    schema = events.schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/part=*").select(*events.columns)
+
+
+def drained(events: DataFrame, last: Column | str = "TIMESTAMP '2999-01-01 00:00:00'") -> DataFrame:
+    """Events with one far later row, whose other columns are null, so that the watermark passes all others; select it away by its null key. Use with in_files, which puts it into a batch of its own."""
+    ts = F.expr(last) if isinstance(last, str) else last
+    row = events.sparkSession.range(1).select(*[(ts if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in events.dtypes])
+    return events.unionByName(row)
+
+
 def dedup_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The first row of each event_id within the watermark."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
@@ -55,25 +79,36 @@ def score_stream(events: DataFrame, borrowers: DataFrame) -> DataFrame:
     return events.join(borrowers, events["user_id"] == borrowers["borrower"], "left").drop("borrower")
 
 
-def velocity_alerts(events: DataFrame, n: int = 4, span_seconds: int = 6 * 3600) -> DataFrame:
+def velocity_alerts(events: DataFrame, n: int = 4, span_seconds: int = 6 * 3600, delay: str = "1 day") -> DataFrame:
     """An alert for each event that is at least the n-th of its borrower within the span that ends with it.
 
-    The state of a borrower holds the times of the last span only. Events are taken in order of time within a batch.
+    The state of a borrower holds the times of the last span and delay only, and goes once the watermark has passed them. Events are taken in order of time within a
+    batch; one that comes later than its followers counts those before it, and is not counted by alerts already sent. A borrower's events of one batch are
+    one frame, so read many files with a bound per trigger.
     """
+    span = span_seconds * 1_000_000
 
     def step(key: tuple, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
         out = []
-        for us, event in zip(rows["us"], rows["event_id"]):
-            times = [t for t in times if us - t <= span_seconds * 1_000_000] + [int(us)]
-            if len(times) >= n:
-                out.append((key[0], int(event), len(times)))
+        for us, event in zip(rows["us"].tolist(), rows["event_id"].tolist()):
+            insort(times, us)
+            found = bisect_right(times, us) - bisect_left(times, us - span)
+            if found >= n:
+                out.append((key[0], event, found))
+        keep = max(times[-1] - span, 0)
+        watermark = state.getCurrentWatermarkMs() * 1000
+        times = times[bisect_left(times, min(keep, watermark - span) if watermark > 0 else times[0]) :]
         state.update((times,))
+        state.setTimeoutTimestamp(max(times[-1] + span, watermark + 1000) // 1000 + 1)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "n"])
 
-    timed = events.select("user_id", "event_id", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, n long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", delay).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_rows(events: DataFrame, landed: DataFrame) -> DataFrame:
@@ -81,24 +116,44 @@ def late_rows(events: DataFrame, landed: DataFrame) -> DataFrame:
     return events.agg(F.count("*").alias("a")).crossJoin(landed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"))).select((F.col("a") - F.col("b")).alias("late"))  # one row each
 
 
-def upsert_scores(stream: DataFrame, path: str, key: str = "borrower", time: str = "ts", state: str | None = None) -> None:
-    """Keeps the latest score of each borrower under `path`, a version per batch.
+#: parts of a score table by the key's hash
+BUCKETS = 16
+
 
-    A batch merges the version before it with its own rows and writes its own version, so a batch that is
-    run again gives the same result; `latest_scores` reads the last.
+def upsert_scores(stream: DataFrame, path: str, key: str = "borrower", time: str = "ts", state: str | None = None, buckets: int = BUCKETS) -> None:
+    """Keeps the latest score of each borrower under `path`; of equal times the greatest row.
+
+    Borrowers are dealt to buckets. A batch merges the buckets that it touches with their versions before it, and writes these buckets as its own version, so a batch that is run again
+    gives the same result and the others aren't rewritten; `latest_scores` reads each bucket's last. Older versions may be deleted.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        rows = old.unionByName(batch)
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(time, F.xxhash64(*batch.columns))).alias("s")).select("s.*")
-        best.write.mode("overwrite").parquet(f"{path}/v={number}")
+        mine = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most `buckets`
+        rows = mine
+        old = _versions(spark, path, batch.schema)
+        if old is not None and touched:
+            rows = rows.unionByName(_last(old.where((F.col("v") < number) & F.col("bucket").isin(touched))))
+        best = rows.groupBy("bucket", key).agg(F.max(F.struct(time, *[c for c in batch.columns if c not in (key, time)])).alias("s")).select(key, "s.*", "bucket").select(*batch.columns, "bucket")
+        best.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
 
     stream.writeStream.option("checkpointLocation", state or f"{shared_folder(stream.sparkSession)}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
 
 
+def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """All versions of a score table, or None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(StructType([*schema.fields, StructField("v", IntegerType()), StructField("bucket", IntegerType())])).option("basePath", path).parquet(path)
+
+
+def _last(versions: DataFrame) -> DataFrame:
+    """Each bucket's last version; the table of buckets is small."""
+    last = versions.groupBy("bucket").agg(F.max("v").alias("v"))
+    return versions.join(F.broadcast(last), ["bucket", "v"]).drop("v")
+
+
 def latest_scores(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.option("basePath", path).parquet(path)
-    last = table.agg(F.max("v")).first()[0]
-    return table.where(F.col("v") == last).drop("v")
+    return _last(spark.read.option("basePath", path).parquet(path)).drop("bucket")
