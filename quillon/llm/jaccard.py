@@ -155,55 +155,70 @@ def overlap_needed(na, nb, near: tuple[int, int] = NEAR):
 
 
 class PrefixTree:
-    """Sets in the global order, as paths; a node keeps the range of set sizes below it, for the bounds."""
+    """Sets in the global order, as paths; a node holds the stretch of shingles that all sets below it share next, and the range of their sizes, for the bounds."""
 
     def __init__(self) -> None:
-        self.root: list = [{}, 1 << 60, 0, []]
-
-    def add(self, values: list[int], name) -> None:
-        node, n = self.root, len(values)
-        for v in values:
-            node[1], node[2] = min(node[1], n), max(node[2], n)
-            child = node[0].get(v)
+        self.root: list = [np.zeros(0, np.uint64), {}, 1 << 60, 0, []]
+
+    def add(self, values: np.ndarray, name) -> None:
+        node, rest, n = self.root, np.asarray(values, np.uint64), len(values)
+        while True:
+            stretch = node[0]
+            k = min(len(stretch), len(rest))
+            unlike = np.flatnonzero(stretch[:k] != rest[:k])
+            same = int(unlike[0]) if len(unlike) else k
+            if same < len(stretch):  # the stretch ends where the new set leaves it
+                lower = [stretch[same:], node[1], node[2], node[3], node[4]]
+                node[0], node[1], node[4] = stretch[:same], {int(stretch[same]): lower}, []
+            node[2], node[3] = min(node[2], n), max(node[3], n)
+            rest = rest[same:]
+            if not len(rest):
+                node[4].append(name)
+                return
+            child = node[1].get(int(rest[0]))
             if child is None:
-                child = node[0][v] = [{}, 1 << 60, 0, []]
+                node[1][int(rest[0])] = [rest, {}, n, n, [name]]
+                return
             node = child
-        node[1], node[2] = min(node[1], n), max(node[2], n)
-        node[3].append(name)
 
-    def links(self, probe: list[int], near: tuple[int, int] = NEAR):
+    def links(self, probe: np.ndarray, near: tuple[int, int] = NEAR):
         """Names of the sets similar to the probe. Overlap and depth are shared along a path; a subtree is left when neither its remaining nor the probe's remaining shingles can reach the least bound below it."""
-        at, n = {v: i for i, v in enumerate(probe)}, len(probe)
+        probe = np.asarray(probe, np.uint64)
+        n = len(probe)
         stack = [(self.root, 0, 0, 0)]
         while stack:
             node, depth, shared, passed = stack.pop()
-            while True:
-                children, low, high, names = node
-                if names and shared >= overlap_needed(n, depth, near):
-                    yield from names
-                if shared + min(high - depth, n - passed) < overlap_needed(n, low, near):
-                    break
-                if not children:
-                    break
-                items = iter(children.items())
-                v, child = next(items)
-                for w, other in items:
-                    j = at.get(w)
-                    stack.append((other, depth + 1, shared + (j is not None), passed if j is None else j + 1))
-                j = at.get(v)
-                if j is not None:
-                    shared, passed = shared + 1, j + 1
-                node, depth = child, depth + 1
+            stretch, children, low, high, names = node
+            if shared + min(high - depth, n - passed) < overlap_needed(n, low, near):
+                continue
+            if len(stretch) and n:
+                at = np.searchsorted(probe, stretch)
+                found = np.flatnonzero(probe[np.minimum(at, n - 1)] == stretch)
+                if len(found):
+                    shared, passed = shared + len(found), int(at[found[-1]]) + 1
+                depth += len(stretch)
+            if names and shared >= overlap_needed(n, depth, near):
+                yield from names
+            if shared + min(high - depth, n - passed) >= overlap_needed(n, low, near):
+                stack.extend((child, depth, shared, passed) for child in children.values())
 
 
 class Path:
-    """What a text brings to a block: its key, the root of its tied group, size, what is left of its set from the block's item on, its sketch, the block's item, and its items around that in order."""
+    """What a text brings to a block: its key, the root of its tied group, size, what is left of its set from the block's item on, its sketch, the block's item, and its items around that in order, with their weights and tops (as arrays; read when needed)."""
+
+    __slots__ = ("key", "root", "n", "left", "raw", "seen", "meet", "columns")
+
+    def __init__(self, key: int, root: int, n: int, left: int, sketch: bytes, meet: int = 0, *columns: np.ndarray):
+        self.key, self.root, self.n, self.left, self.raw, self.seen, self.meet, self.columns = key, root, n, left, sketch, None, meet, columns
 
-    __slots__ = ("key", "root", "n", "left", "sketch", "meet", "items", "weights", "tops")
+    @property
+    def sketch(self) -> Sketch:
+        if self.seen is None:
+            self.seen = Sketch(self.raw)
+        return self.seen
 
-    def __init__(self, key: int, root: int, n: int, left: int, sketch: bytes, meet: int = 0, items: list[int] = [], weights: list[int] = [], tops: list[int] = []):  # noqa: B006  never changed
-        self.key, self.root, self.n, self.left, self.sketch, self.meet = key, root, n, left, Sketch(sketch), meet
-        self.items, self.weights, self.tops = items, weights, tops
+    def items(self) -> tuple[list[int], list[int], list[int]]:
+        return tuple(c.tolist() for c in self.columns)
 
     def may_reach(self, other: Path, near: tuple[int, int]) -> bool:
         """Whether lengths, places and sketches leave the similarity possible."""
@@ -227,7 +242,7 @@ class ItemTree:
     def add(self, path: Path) -> None:
         node = self.root
         node[1], node[2] = min(node[1], path.n), max(node[2], path.left)
-        for item, weight, top in zip(path.items, path.weights, path.tops):
+        for item, weight, top in zip(*path.items()):
             child = node[0].get(item)
             if child is None:
                 child = node[0][item] = [{}, 1 << 60, 0, [], weight, top]
@@ -240,14 +255,15 @@ class ItemTree:
 
         An item that only one side has is lost to the overlap if all its shingles stand before the other side's last item: were they in the other set, they would be in its prefix.
         """
-        at = {item: j for j, item in enumerate(probe.items)}
-        meet, end, n, left = probe.meet, probe.items[-1], probe.n, probe.left
-        order = sorted((j for j, item in enumerate(probe.items) if item >= meet), key=probe.tops.__getitem__)
-        tops, lost = [probe.tops[j] for j in order], [0]
+        items, weights, ends = probe.items()
+        at = {item: j for j, item in enumerate(items)}
+        meet, end, n, left = probe.meet, items[-1], probe.n, probe.left
+        order = sorted((j for j, item in enumerate(items) if item >= meet), key=ends.__getitem__)
+        tops, lost = [ends[j] for j in order], [0]
         for j in order:
-            lost.append(lost[-1] + probe.weights[j])
+            lost.append(lost[-1] + weights[j])
         # of the probe what is gone once item j is matched: itself, and what ends before it
-        gone = [lost[bisect_left(tops, item)] + probe.weights[j] for j, item in enumerate(probe.items)]
+        gone = [lost[bisect_left(tops, item)] + weights[j] for j, item in enumerate(items)]
         part, whole = near[0], near[0] + near[1]
         stack = [(self.root, 0, 0, 0)]
         while stack:
@@ -483,9 +499,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order,
                 if y is None or g != group:
                     walk()
                     tree, count, group = PrefixTree(), 0, g
-                    probe = (x, np.frombuffer(values, np.uint64).tolist())
+                    probe = (x, np.frombuffer(values, np.uint64))
                 if y is not None:
-                    tree.add(np.frombuffer(values, np.uint64).tolist(), y)
+                    tree.add(np.frombuffer(values, np.uint64), y)
                     count += 1
                     if count == PARTNERS:
                         walk()
@@ -523,11 +539,15 @@ def item_paths(texts: DataFrame) -> tuple[DataFrame, int]:
 
 
 class Block:
-    """Sizes of the paths of a block, to rule out walks: what is left of each set, less its shingles that no other text has, as far as they stand before the end of the other's prefix (were they in the other, they would be shared)."""
+    """The paths of a block, and their sizes to rule out walks: what is left of each set, less its shingles that no other text has, as far as they stand before the end of the other's prefix (were they in the other, they would be shared). The tree is made for the first walk that isn't ruled out."""
+
+    #: so many paths are compared one by one
+    FEW = 24
 
     def __init__(self) -> None:
         self.rows: list = []
-        self.columns = None
+        self.columns = self.tree = None
+        self.inner: dict[int, bool] = {}
 
     @staticmethod
     def least(m, k):
@@ -538,12 +558,16 @@ class Block:
         """The same at most."""
         return np.where(k < MARKS, np.maximum(0, self.least(m, k + 1) - 1), m)
 
-    def add(self, path: Path, m: int, alone: bytes, end: int) -> None:
-        self.rows.append((path.n, path.left, m, end, path.root, alone))
-        self.columns = None
+    def add(self, path: Path, inner: bool, m: int, alone: bytes, end: int) -> None:
+        self.rows.append((path.n, path.left, m, end, path.root, alone, path))
+        self.inner[path.key] = inner
+        self.columns = self.tree = None
 
     def possible(self, mine: Path, m: int, alone: bytes, end: int, near: tuple[int, int]) -> bool:
         """Whether lengths leave any path of another group possible for a walker."""
+        if len(self.rows) <= self.FEW:
+            n, left, whole = mine.n, mine.left, near[0] + near[1]
+            return any(r[4] != mine.root and min(r[0], n) * near[1] >= max(r[0], n) * near[0] and min(r[1], left) * whole >= near[0] * (r[0] + n) for r in self.rows)
         if self.columns is None:
             n, left, ms, ends, roots = (np.array(x, np.int64) for x in list(zip(*self.rows))[:5])
             at = np.frombuffer(b"".join(r[5] for r in self.rows), np.int64).reshape(-1, MARKS)
@@ -555,12 +579,18 @@ class Block:
         fits = (np.minimum(n, mine.n) * near[1] >= np.maximum(n, mine.n) * near[0]) & (roots != mine.root)
         return bool((fits & (np.minimum(theirs, ours) * (near[0] + near[1]) >= near[0] * (n + mine.n))).any())
 
+    def walk(self, mine: Path, near: tuple[int, int]):
+        if self.tree is None:
+            self.tree = ItemTree()
+            for r in self.rows:
+                self.tree.add(r[6])
+        return self.tree.walk(mine, near)
+
 
 def lists(column: pa.Array):
-    """The lists of a column, made from its values all at once."""
-    at, values = column.offsets.to_pylist(), pc.list_flatten(column).to_pylist()
-    base = at[0]
-    return (values[a - base : b - base] for a, b in zip(at, at[1:]))
+    """The lists of a column, as slices of the array of all its values."""
+    at, values = column.offsets.to_pylist(), column.values.to_numpy()
+    return (values[a:b] for a, b in zip(at, at[1:]))
 
 
 def _blocks(texts: Column) -> Column:
@@ -610,21 +640,19 @@ def open_pairs(paths: DataFrame, tied: DataFrame, hot: int, near: tuple[int, int
     rows = dealt.select(F.xxhash64("item", "at.block").alias("g"), "at.stored", "id", "root", (F.col("root") == F.col("main")).alias("inner"), "n", "left", "sketch", "m", "alone", "end", F.col("item").alias("meet"), "path.item", "path.w", "path.top")
 
     def walked(batches):
-        group, block, tree, inner = None, Block(), ItemTree(), {}
+        group, block = None, Block()
         for batch in batches:
             a, b = [], []
-            for g, stored, main, m, alone, end, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "stored", "inner", "m", "alone", "end", "id", "root", "n", "left", "sketch", "meet")), *(lists(batch.column(c)) for c in ("item", "w", "top"))):
+            for g, stored, inner, m, alone, end, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "stored", "inner", "m", "alone", "end", "id", "root", "n", "left", "sketch", "meet")), *(lists(batch.column(c)) for c in ("item", "w", "top"))):
                 if g != group:
-                    group, block, tree, inner = g, Block(), ItemTree(), {}
+                    group, block = g, Block()
                 mine = Path(*row)
                 if stored:
-                    tree.add(mine)
-                    block.add(mine, m, alone, end)
-                    inner[mine.key] = main
+                    block.add(mine, inner, m, alone, end)
                 elif block.possible(mine, m, alone, end, near):
-                    for other in tree.walk(mine, near):
+                    for other in block.walk(mine, near):
                         # two walkers meet twice
-                        if other.root != mine.root and (inner[other.key] or other.key > mine.key):
+                        if other.root != mine.root and (block.inner[other.key] or other.key > mine.key):
                             a.append(min(other.key, mine.key))
                             b.append(max(other.key, mine.key))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
