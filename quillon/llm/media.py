@@ -1,9 +1,9 @@
 """Media columns: content-defined chunks, stored once, read back and verified.
 
 A payload is cut where a rolling gear hash of its last 32 bytes has its low bits zero, so an insertion moves few
-cuts. Chunks are named by their SHA-256 and stored once, compressed; a payload is the ordered list of
-its chunks' names. Reading joins the lists with the store, checks every chunk against its name and puts the payload together.
-Equal payloads are cut once.
+cuts. Chunks are named by their SHA-256 and stored compressed; a payload is the ordered list of
+its chunks' names. One pass cuts all payloads and writes both to the shared folder. Reading joins the lists with the store, in which each
+chunk is once, checks every chunk against its name and puts the payload together.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import written
+
 UNIT = 64
 LEAST, MASK_BITS, MOST = 2 << 10, 13, 64 << 10
 MAGIC = b"GCDC"
@@ -51,66 +53,71 @@ def cuts(data: bytes, least: int = LEAST, bits: int = MASK_BITS, most: int = MOS
     return out
 
 
-def stored_form(chunks: list[bytes]) -> bytes:
-    """The self-contained form of a payload: magic, number of chunks, and each chunk with its length."""
-    return MAGIC + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<I", len(c)) + c for c in chunks)
+def stored_form(parts: list[tuple[bytes, bytes]]) -> bytes:
+    """A payload as it is stored: magic, number of chunks, and of each its digest, the length of its compressed bytes, and these."""
+    return MAGIC + struct.pack("<I", len(parts)) + b"".join(digest + struct.pack("<I", len(packed)) + packed for digest, packed in parts)
 
 
 def read_form(media: bytes) -> bytes:
+    """The payload of a stored form. Raises where a chunk isn't what its name says."""
     if media[:4] != MAGIC:
         raise ValueError("not a chunked payload")
-    (n,), at, out = struct.unpack_from("<I", media, 4), 8, []
+    (n,), at, out, unpack = struct.unpack_from("<I", media, 4), 8, [], zstandard.ZstdDecompressor()
     for _ in range(n):
-        (size,) = struct.unpack_from("<I", media, at)
-        out.append(media[at + 4 : at + 4 + size])
-        at += 4 + size
+        digest, (size,) = media[at : at + 32], struct.unpack_from("<I", media, at + 32)
+        chunk = unpack.decompress(media[at + 36 : at + 36 + size], max_output_size=MOST)
+        if hashlib.sha256(chunk).digest() != digest:
+            raise ValueError("a stored chunk differs from its digest")
+        out.append(chunk)
+        at += 36 + size
     return b"".join(out)
 
 
-def listed(texts: DataFrame) -> DataFrame:
-    """The ordered chunk list of each text: key, at, of (chunks of the payload), digest."""
-
-    def cut(batches):
-        for b in batches:
-            rows = []
-            for key, text in zip(b["key"], b["text"]):
-                data, begin = payload(text), 0
-                ends = cuts(data)
-                for at, end in enumerate(ends):
-                    rows.append((key, at, len(ends), hashlib.sha256(memoryview(data)[begin:end]).digest()))
-                    begin = end
-            yield pd.DataFrame(rows, columns=["key", "at", "of", "digest"])
-
-    return texts.select("key", "text").mapInPandas(cut, "key binary, at int, of int, digest binary").distinct()
-
-
-def stored(texts: DataFrame) -> DataFrame:
-    """The chunk store: digest and compressed bytes, each chunk once. A task drops the chunks that it has just sent."""
+def cut_table(texts: DataFrame) -> DataFrame:
+    """The chunks of each text (key, text): key, at, of (chunks of the payload), digest, and the compressed bytes where the task sends the chunk for the first time (null: sent before)."""
 
     def cut(batches):
         pack = zstandard.ZstdCompressor(level=3)
         seen: set[bytes] = set()
+        done: set[bytes] = set()
         for b in batches:
             rows: list[tuple] = []
             held = 0
-            for text in b["text"]:
+            for key, text in zip(b["key"], b["text"]):
+                if key in done:  # equal payloads of a task are cut once
+                    continue
+                if len(done) > 200_000:
+                    done.clear()
+                done.add(key)
                 data, begin = payload(text), 0
-                for end in cuts(data):
+                ends = cuts(data)
+                for at, end in enumerate(ends):
                     chunk = data[begin:end]
                     digest, begin = hashlib.sha256(chunk).digest(), end
-                    if digest in seen:
-                        continue
-                    if len(seen) > 200_000:  # what is forgotten is sent again and dropped by the aggregation
-                        seen.clear()
-                    seen.add(digest)
-                    rows.append((digest, pack.compress(chunk)))
-                    held += len(chunk)
+                    packed = None
+                    if digest not in seen:
+                        if len(seen) > 200_000:  # what is forgotten is sent again
+                            seen.clear()
+                        seen.add(digest)
+                        packed = pack.compress(chunk)
+                        held += len(packed)
+                    rows.append((key, at, len(ends), digest, packed))
                 if held > 8 << 20:
-                    yield pd.DataFrame(rows, columns=["digest", "packed"])
+                    yield pd.DataFrame(rows, columns=["key", "at", "of", "digest", "packed"])
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["digest", "packed"])
+            yield pd.DataFrame(rows, columns=["key", "at", "of", "digest", "packed"])
+
+    return texts.select("key", "text").mapInPandas(cut, "key binary, at int, of int, digest binary, packed binary")
 
-    return texts.select("text").mapInPandas(cut, "digest binary, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
+
+def stored_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cuts and writes the payloads of all documents: the store (digest, packed; each chunk once), the lists (key, at, of, digest), and the documents' keys (doc_id, n_bytes, key)."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
+    cut = written(cut_table(keyed))
+    store = cut.where("packed IS NOT NULL").groupBy("digest").agg(F.first("packed").alias("packed"))
+    names = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key")
+    return store, cut.select("key", "at", "of", "digest").distinct(), names
 
 
 def describe(data: bytes, chunks: int) -> str:
@@ -121,22 +128,15 @@ def describe(data: bytes, chunks: int) -> str:
 
 
 def reassemble(listed: DataFrame) -> DataFrame:
-    """Per key from its chunks [(at, digest, packed)]: the read payload's digests and features. Raises where a chunk isn't what its name says."""
+    """Per key from its chunks [(at, digest, packed)]: the stored form, and what is read from it: size, digests and features."""
 
     def build(batches):
-        unpack = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
             for key, parts in zip(b["key"], b["parts"]):
-                chunks = []
-                for p in sorted(parts, key=lambda p: p["at"]):
-                    chunk = unpack.decompress(p["packed"], max_output_size=MOST)
-                    if hashlib.sha256(chunk).digest() != p["digest"]:
-                        raise ValueError("a stored chunk differs from its digest")
-                    chunks.append(chunk)
-                media = stored_form(chunks)
+                media = stored_form([(p["digest"], p["packed"]) for p in sorted(parts, key=lambda p: p["at"])])
                 data = read_form(media)
-                out.append((key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(data, len(chunks))))
+                out.append((key, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(data, len(parts))))
             yield pd.DataFrame(out, columns=["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     return listed.mapInPandas(build, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
@@ -148,13 +148,13 @@ def media_columns(docs: DataFrame) -> DataFrame:
     A null text is an empty payload of 64 zeros. Equal texts are stored once and get equal values; null ids and
     repeated rows keep their rows; other columns are ignored; an empty table gives an empty result.
     A payload of one chunk is read right after the join with the store; only the chunks of longer ones are moved once more, to the key
-    that puts them in order. A chunk that many payloads share is one row of the store.
+    that puts them in order. A chunk that many payloads share is one row of the store. The media columns are the size and digest of the form that was
+    stored: names and compressed chunks.
     """
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
-    found = listed(keyed).join(stored(keyed), "digest")
+    store, lists, names = stored_media(docs)
+    found = lists.join(store, "digest")
     part = F.struct("at", "digest", "packed")
     single = found.where("of = 1").select("key", F.array(part).alias("parts"))
     several = found.where("of > 1").groupBy("key").agg(F.collect_list(part).alias("parts"))
     built = reassemble(single.unionByName(several))
-    return keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key").join(built, "key").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return names.join(built, "key").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
