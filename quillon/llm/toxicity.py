@@ -20,10 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import md5_int
+from quillon.llm.common import md5_int, written
 
 GRADE_FROM = (1, 3, 6)  # telling words that make a toxic row grade 1, 2, 3
 PREFIXES = (4, 5, 6)
@@ -103,12 +104,16 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED, features: int = FEATURES) -> OrdinalModel:
-    """Fits on at most about `rows` labelled documents; the labels sent to the executors are bounded by it."""
+    """Fits on at most about `rows` labelled documents; the labels sent to the executors are bounded by it.
+
+    Of labels that repeat for an id the greatest counts; documents that repeat an id are each a row of the sample. Labels or ids that are null teach nothing; null texts have
+    no features. Without rows of both classes the model judges nothing toxic. The sample is written to the checkpoint folder.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     share = 16**8 if total <= rows else int(16**8 * rows / total)
     chosen = known.where(md5_int(F.col("doc_id")) < share)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
 
     def frequencies(batches):
         seen: dict[tuple[str, int], int] = {}
@@ -137,13 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED, features:
                 out.append((doc, int(toxic > 0), [i for i, _ in at], [n for _, n in at]))
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "at", "n"])
 
-    data = sample.mapInPandas(design, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, at array<int>, n array<int>").toPandas()  # bounded by rows
-    data = data.iloc[np.argsort(data["doc_id"].to_numpy(), kind="stable")]
-    hits = [sum(n for i, n in zip(at, ns) if i in telling) for at, ns in zip(data["at"], data["n"])]
-    grades = np.array([0 if not t else max(1, sum(h >= g for g in GRADE_FROM)) for t, h in zip(data["toxic"], hits)])
-    length = [len(a) for a in data["at"]]
-    flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in data[c]]) if len(data) else np.zeros(0, kind)
-    weights, thresholds = fit_cumulative_link(np.repeat(np.arange(len(data)), length), flat("at", np.int64), np.log1p(flat("n", np.float64)), grades, len(index))
+    data = sample.mapInPandas(design, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, at array<int>, n array<int>").toArrow().combine_chunks()  # bounded by rows
+    # in an order that doesn't depend on the tasks
+    data = data.take(np.lexsort((np.asarray([hash(tuple(x)) for x in data["at"].to_pylist()]), data["doc_id"].to_numpy())))
+    length = np.asarray(pc.list_value_length(data["at"]), np.int64)
+    at, n = (np.asarray(pc.list_flatten(data[c])) for c in ("at", "n"))
+    row = np.repeat(np.arange(len(data)), length)
+    hits = np.bincount(row, n * np.isin(at, list(telling)), len(data))
+    grades = np.where(data["toxic"].to_numpy() == 0, 0, np.maximum(1, (hits[:, None] >= np.array(GRADE_FROM)).sum(1)))
+    weights, thresholds = fit_cumulative_link(row, at, np.log1p(n), grades, len(index))
     return OrdinalModel(index, weights, thresholds)
 
 
