@@ -82,18 +82,19 @@ def key_hash(host: Column, path: Column) -> Column:
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or without ://."""
-    rest = F.when(F.locate("://", url) > 0, F.expr("substring({0}, locate('://', {0}) + 3)".format("url"))).otherwise(F.lit(""))
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
 def candidates(pages: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds `keys`: per page every (host suffix, path prefix) under which a rule could fit, the longest first."""
+    """Adds `keys`: per page every (host suffix, path prefix) under which a rule could fit, the longest first; of equal length the one with the longer host."""
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct((-(F.length(h) + F.length(p))).alias("order"), h.alias("host"), p.alias("path"), key_hash(h, p).alias("key")))))
+    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct((-(F.length(h) + F.length(p))).alias("order"), (-F.length(h)).alias("then"), h.alias("host"), p.alias("path"), key_hash(h, p).alias("key")))))
     return pages.withColumn("keys", F.array_sort(pairs))
 
 
@@ -103,18 +104,19 @@ def build_cascade(universe: DataFrame, listed: np.ndarray, size: int) -> Cascade
     if not len(listed):
         return Cascade([])
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * len(listed) / max(1, size)))
-    levels = [Bloom.of(listed, rate)]
-
-    def wrong(batches):
-        for b in batches:
-            k = b["key"].to_numpy()
-            held = levels[0].holds(k) & ~np.isin(k, listed)
-            yield pd.DataFrame({"key": k[held]})
-
     limit = 20 * len(listed) + 10_000
-    false = universe.mapInPandas(wrong, "key long").limit(limit + 1).toPandas()["key"].to_numpy(np.int64)
-    if len(false) > limit:  # far over the expected number: a list this size needs a better first level
-        raise ValueError("too many false positives at level 0")
+    while True:
+        levels = [Bloom.of(listed, rate)]
+
+        def wrong(batches, first=levels[0]):
+            for b in batches:
+                k = b["key"].to_numpy()
+                yield pd.DataFrame({"key": k[first.holds(k) & ~np.isin(k, listed)]})
+
+        false = universe.mapInPandas(wrong, "key long").limit(limit + 1).toPandas()["key"].to_numpy(np.int64)
+        if len(false) <= limit:
+            break
+        rate /= 16  # far over the expected number: a larger first level
     inside, outside = listed, false
     while len(outside):
         level = Bloom.of(outside, 0.5, len(levels))
@@ -128,7 +130,7 @@ def build_cascade(universe: DataFrame, listed: np.ndarray, size: int) -> Cascade
 def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     """Per page: page_id, url, host, path, rule, verdict.
 
-    A rule fits its host and all subdomains when the path starts with the rule's path; the longest rule wins. Null urls and urls
+    A rule fits its host and all subdomains when the path starts with the rule's path; the longest rule wins, of equally long ones that with the longer host. Null urls and urls
     without :// have an empty host and path, and no rule fits. Repeated rows are judged alike; other columns are ignored; an empty table
     gives an empty result. Without a rule the verdict is the default.
     """

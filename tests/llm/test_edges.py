@@ -98,6 +98,33 @@ def test_substrings_against_brute_force(spark, paths):
     assert found == {rows[k][0]: t for k, t in want.items()}
 
 
+def test_substrings_compare_words(spark, monkeypatch):
+    # hashes that collide all the time change nothing
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(6)}" for _ in range(120))) for i in range(12)]
+    rows += [(20, " ".join([*(f"tpl{k}" for k in range(19)), "id152272"])), (21, " ".join([*(f"tpl{k}" for k in range(19)), "id278969"])), (22, rows[3][1])]
+    texts, want = [t.encode() for _, t in rows], brute_kept(rows, 20)
+    monkeypatch.setattr(substrings.Words, "hashes", lambda self: np.array([int(bytes(self.buffer[a:b])[-1]) % 3 for a, b in zip(self.start, self.end)], np.uint64))
+    n = len(rows)
+    zero = np.zeros(n, np.int64)
+    last = np.array([len(t.split()) - 20 for t in texts])
+    row, offset = substrings.subtree_repeats(zero, np.array([i for i, _ in rows]), zero, zero, last, zero, texts)
+    # one suffix a text, whose first window alone has its anchor at the start
+    assert set(zip(row.tolist(), offset.tolist())) <= {(r, o) for r in range(n) for o in range(last[r] + 1)}
+    slow = substrings._in_order(np.arange(n), np.array([i for i, _ in rows]), zero, zero, last, texts, 20)
+    gone: dict[int, set] = {}
+    for r, o in zip(*(x.tolist() for x in slow)):
+        gone.setdefault(r, set()).update(range(o, o + 20))
+    assert {k: b" ".join(w for i, w in enumerate(texts[k].split()) if i not in gone.get(k, ())).decode() for k in range(n)} == want
+
+
+def test_substrings_keep_templated_rows(spark):
+    template = " ".join(f"tpl{k}" for k in range(19))
+    rows = [(i, f"{template} id{i}") for i in range(150_000, 150_600)] + [(None, None)] * 30 + [(None, f"{template} id7")] * 30
+    found = substrings.deduplicated(documents(spark, rows), max_group=50).collect()
+    assert all(r.n_removed == 0 for r in found) and len(found) == len(rows)
+
+
 def test_substring_edges(odd, none):
     found = substrings.deduplicated(odd).collect()
     assert len(found) == len(ODD)
@@ -185,10 +212,11 @@ def test_jaccard_deals_out_a_hot_text_on_either_side(spark, monkeypatch):
 
 def test_jaccard_gives_sets_in_bounded_batches():
     text = " ".join(f"v{i}" for i in range(1254))
-    key = jaccard.Sets(pa.array([text]), np.zeros(0, np.uint64)).key.view(np.int64)
+    sets = jaccard.Sets(pa.array([text]), np.zeros(0, np.uint64))
+    key, more = sets.key.view(np.int64), sets.more.view(np.int64)
     jobs = [{"g": i, "a": i, "b": int(key[0])} for i in range(2000)]
     kind = pa.list_(pa.struct([(c, pa.int64()) for c in "gab"]))
-    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array([text]), pa.array([jobs], kind)], names=["key", "text", "jobs"])
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(more), pa.array([text]), pa.array([jobs], kind)], names=["key", "more", "text", "jobs"])
     made = list(jaccard.merged(jaccard.sets_of_jobs([batch], np.zeros(0, np.uint64))))
     assert sum((b.column("g").to_pylist() for b in made), []) == list(range(2000))
     assert max(b.nbytes for b in made) < 5 * jaccard.CHUNK and all(len(v) == 8 * 1250 for b in made for v in b.column("values").to_pylist())
@@ -209,6 +237,47 @@ def test_jaccard_with_a_hot_text(spark, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(brute_components(rows))
 
 
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    # short texts most of whose pairs lie below the similarity, items of many blocks, and items sent to the rows
+    for name, value in (("BLOCK", 16), ("HOT", 8), ("PATH", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard.Block, "FEW", 2)
+    rng = random.Random(12)
+    middle = [f"m{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        words = list(middle) + [f"end{rng.randrange(3)}"] * (i % 3)
+        for k in rng.sample(range(30), rng.randrange(0, 3)):
+            words[k] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join([f"x{i}_{k}" for k in range(20)] + middle[:12])) for i in range(60)]
+    found = jaccard.near_duplicates(documents(spark, rows)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+
+
+def test_item_tree_loses_no_similar_path():
+    rng = random.Random(3)
+    weight = [rng.randrange(1, 4) for _ in range(40)]
+    base = np.cumsum([0, *weight])  # item j stands for shingles base[j] to base[j + 1]
+    members = [sorted(rng.sample(range(40), rng.randrange(8, 36))) for _ in range(80)]
+    members += [sorted({*rng.sample(m, len(m) - 1), rng.randrange(40)}) for m in members]
+    sets = [{x for j in m for x in range(base[j], base[j + 1])} for m in members]
+    for meet in range(0, 40, 7):
+        paths = []
+        for i, (m, s) in enumerate(zip(members, sets)):
+            if meet in m:
+                left = sum(x >= base[meet] for x in s)
+                columns = (np.array(v, np.int64) for v in ([int(base[j]) for j in m], [weight[j] for j in m], [int(base[j + 1]) - 1 for j in m]))
+                paths.append((i, jaccard.Path(i, i, len(s), left, bytes(1), int(base[meet]), *columns)))
+        tree = jaccard.ItemTree()
+        for _, p in paths:
+            tree.add(p)
+        for i, p in paths:
+            first = lambda j: min(set(members[i]) & set(members[j])) == meet
+            want = {j for j, _ in paths if first(j) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+            assert want <= {q.key for q in tree.walk(p)}
+
+
 def test_prefix_tree_bounds():
     rng = random.Random(2)
     sets = [sorted(rng.sample(range(60), rng.randrange(1, 50))) for _ in range(60)]
@@ -442,6 +511,9 @@ def test_decontamination_edges(spark, odd, none):
     rows = {(r.doc_id, r.n_words): r for r in found}
     assert rows[5, 3000].n_hit == 33 and rows[5, 3000].items == ["3", "5"] and not rows[5, 3000].contaminated
     assert rows[8, 6].items == ["4"] and rows[8, 6].contaminated and rows[1, 0].n_hit == 0
+    unnamed = decontamination.contamination(odd, items.withColumn("item_id", F.lit(None).cast("long")))
+    r = unnamed.where("doc_id = 8 AND n_words = 6").first()
+    assert (r.n_items, r.items, r.contaminated) == (1, [], True)
     shuffled = decontamination.phrase_matches(odd, items, broadcast_chars=0)
     assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, decontamination.phrase_matches(odd, items).collect()))
     assert decontamination.contamination(none, items).count() == 0
@@ -452,3 +524,128 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue y green"), (2, "red " + "x " * 40 + "blue green"), (3, "green red")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "Green, blue red!")], "item_id long, text string")
     assert {r.doc_id for r in decontamination.proximity_matches(docs, items, within=10).collect()} == {1}
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"b{rng.randrange(60)}" for _ in range(n)]
+    items = [(i, words(rng.choice([1, 4, 13, 14, 30]))) for i in range(12)] + [(12, ["b1"] * 20), (13, [])]
+    docs = []
+    for i in range(60):
+        text = words(rng.randrange(0, 60))
+        if i % 3 == 0:
+            piece = rng.choice(items)[1]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = piece[: rng.randrange(len(piece) + 1)] if i % 2 else piece
+        docs.append((i, text + (["b1"] * 25 if i % 20 == 7 else [])))
+    found = decontamination.contamination(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    for r in found.collect():
+        text, hit, held = docs[r.doc_id][1], set(), set()
+        for i, item in items:
+            n = min(13, len(item))
+            windows = {tuple(item[k : k + n]) for k in range(len(item) - n + 1)} if n else set()
+            for k in range(len(text) - n + 1) if n else ():
+                if tuple(text[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    held.add(i)
+        assert (r.n_words, r.n_hit, r.n_items, r["items"]) == (len(text), len(hit), len(held), sorted(map(str, held)))
+
+
+def test_toxicity_scores_against_a_plain_scorer(spark):
+    import math
+    import re
+
+    rng = random.Random(1)
+    bad = [f"nasty{c}" for c in "abcdef"]
+    rows = []
+    for i in range(400):
+        words = [f"plain{rng.randrange(80)}" for _ in range(rng.randrange(3, 30))]
+        rows.append((i, " ".join(words + rng.choices(bad, k=rng.randrange(1, 8))) if i % 5 == 0 else " ".join(words)))
+    docs = documents(spark, [*rows, (1000, None), (1001, ""), (1002, "Nastya " * 3000)])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows] + [(1, None), (None, 1), (0, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert (np.diff(model.thresholds) > 0).all()
+    for r in toxicity.score(docs, model).collect():
+        text = dict(rows).get(r.doc_id, "Nastya " * 3000 if r.doc_id == 1002 else "")
+        counts: dict = {}
+        for w in re.findall(r"\w+", text.lower()):
+            for f in ["=" + w] + ["^" + w[:k] for k in (4, 5, 6) if len(w) > k]:
+                counts[f] = counts.get(f, 0) + 1
+        z = sum(model.weights[model.index[f]] * math.log(1 + n) for f, n in counts.items() if f in model.index)
+        above = [1 / (1 + math.exp(min(50, max(-50, t - z)))) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(above)) and r.p_toxic == pytest.approx(above[0]) and r.toxic == (above[0] >= 0.5)
+        cells = [1 - above[0], above[0] - above[1], above[1] - above[2], above[2]]
+        assert r.grade == cells.index(max(cells))
+    # no step in any direction gains likelihood
+    z = np.array([0.3, -1.0, 2.0, 0.5, -0.2, 1.4])
+    grades = np.array([0, 0, 3, 1, 0, 2])
+    rows_, cols, values = np.arange(6), np.zeros(6, np.int64), z
+
+    def likelihood(w, t):
+        cum = np.hstack([np.ones((6, 1)), 1 / (1 + np.exp(t[None, :] - (z * w)[:, None])), np.zeros((6, 1))])
+        return np.log(cum[rows_, grades] - cum[rows_, grades + 1]).mean() - 0.5 * 0.01 * w * w
+
+    w, t = toxicity.fit_cumulative_link(rows_, cols, values, grades, 1, steps=3000, rate=0.02, decay=0.01)
+    best = likelihood(w[0], t)
+    for dw, dt in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)):
+        for k in range(3):
+            u = t.copy()
+            u[k] += dt
+            assert likelihood(w[0] + dw, u) <= best + 1e-4
+
+
+def test_sharding_against_a_plain_tree(spark):
+    """The same cuts found by sorting: each half holds its goal within the heaviest point."""
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randrange(1, 3000)) for i in range(500)]
+    docs = documents(spark, rows)
+    rows_, points, n = sharding._points(docs, 8)
+    placed = {r.point: r for r in sharding.kd_cells(sharding._coordinates(points), 8).collect()}
+    assert n == 500 and len(placed) == points.count()
+
+    def split(cell, members, leaves):
+        if leaves == 1:
+            assert {placed[p].cell for p in members} == {cell}
+            return
+        d = max(sharding.DIMENSIONS, key=lambda d: max(placed[p][d] for p in members) - min(placed[p][d] for p in members))
+        order = sorted(members, key=lambda p: (placed[p][d], placed[p].tie))
+        low = [p for p in order if placed[p].cell < cell + leaves // 2]
+        assert low == order[: len(low)]
+        goal = sum(placed[p].weight for p in members) * (leaves // 2) / leaves
+        assert abs(sum(placed[p].weight for p in low) - goal) <= max(placed[p].weight for p in members)
+        split(cell, low, leaves // 2)
+        split(cell + leaves // 2, order[len(low) :], leaves - leaves // 2)
+
+    split(0, list(placed), 8)
+
+
+def test_url_ties_and_null_parts(spark):
+    rules = (("allow", "b.org", "/"), ("block", "org", "/xx"), ("block", "a.b.org", "/xy/z"))
+    rows = [(1, "http://A.b.org/xx"), (2, "http://c.org/xxy"), (3, None), (4, "no scheme"), (5, "x://a.b.org/xy/z?q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("keys", F.lit("x"))
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, "none").collect()}
+    assert found == {1: ("b.org/", "allow"), 2: ("org/xx", "block"), 3: (None, "none"), 4: (None, "none"), 5: ("a.b.org/xy/z", "block")}
+    found = {r.page_id: r.rule for r in url_filter.judge(pages, (("allow", "b.org", "/"), ("block", "org", "/x/")), "none").collect()}
+    assert found[1] == "b.org/"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>T</title><body><article><p>The lower fields were under water.</p></article></body></html>", "The lower fields were under water."),
+    ("<html><body><p>First things come first here.</p><p>Second thoughts come later on.</p></body></html>", "First things come first here.\nSecond thoughts come later on."),
+    ("<article><p>Frogs came down on the town, and nobody knew why. <span class='ad'>Buy chairs</span> They stayed all night.</p></article>", "Frogs came down on the town, and nobody knew why. They stayed all night."),
+    ("<article><p>Some <span class='zork'>frogs</span> and <a class='wiki' href='/t'>toads</a> came down on the town, and nobody knew why.</p></article>", "Some frogs and toads came down on the town, and nobody knew why."),
+    ("<article><p>Frogs came down on the town, and nobody knew why they had come.</p><div class='disclosure'>We may earn money.</div></article>", "Frogs came down on the town, and nobody knew why they had come."),
+    ("<body><table><tr><td><a href='/'>Home</a> <a href='/n'>News</a></td><td><p>Frogs came down on the town, and nobody knew why they had come to stay.</p></td></tr></table></body>", "Frogs came down on the town, and nobody knew why they had come to stay."),
+])
+def test_extraction_of_other_layouts(page, want):
+    assert html_extraction.main_text(page, html_extraction.default_model()) == want
+
+
+def test_extraction_takes_deep_pages_in_linear_time():
+    import time
+
+    model = html_extraction.default_model()
+    for page in ("<div>" * 16_000 + "word. " * 9, "".join(f"<div>w{i}. " for i in range(16_000)), "<p>" + "".join(f"<span>w{i}. " for i in range(16_000))):
+        began = time.process_time()
+        html_extraction.main_text(page, model)
+        assert time.process_time() - began < 5

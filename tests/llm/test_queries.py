@@ -5,6 +5,8 @@ import html as entities
 import re
 import zlib
 
+import zstandard
+
 import pandas as pd
 import pytest
 
@@ -62,7 +64,7 @@ def test_media_round_trip(spark, small):
         for end in media.cuts(data):
             chunks.append(data[begin:end])
             begin = end
-        form = media.stored_form(chunks)
+        form = media.stored_form([(hashlib.sha256(c).digest(), zstandard.ZstdCompressor(level=3).compress(c)) for c in chunks])
         assert media.read_form(form) == data
         row = found.loc[doc]
         assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest())
