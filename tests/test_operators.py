@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions.money import discrete_cuts
 from quillon.operators import evaluation, features, labels, portfolio, quality, scorecard
 from quillon.sources.sinks import write_scores
 from quillon.sources.tables import BAD_ROW, read_table
@@ -217,3 +218,63 @@ def test_plans_have_no_cartesian_of_tables(spark, small):
     for df in (base(spark, small), losses(spark, small)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_scores_keep_rows_with_nulls(spark):
+    rows = spark.range(400).select(F.col("id").alias("account"), F.when(F.col("id") % 4 != 0, F.rand(1)).alias("x"), F.rand(2).alias("u"))
+    rows = rows.withColumn("label", (F.col("u") < F.coalesce("x", F.lit(0.9))).cast("double"))
+    for fit in (scorecard.fit_pd, scorecard.fit_challenger):
+        out = scorecard.score_batch(rows, fit(rows, ["x"]))
+        assert out.count() == 400 and out.where("pd IS NULL").count() == 100
+    table = scorecard.woe_table(rows, ["x"], n=4)
+    out = scorecard.with_woe(rows, table)
+    scored_ = scorecard.score_batch(out, scorecard.fit_pd(out, ["x_woe"]))
+    assert scored_.where("pd IS NULL").count() == 0 and set(table["x"][1]) == {0, 1, 2, 3, 4}
+    foreign = scorecard.score_foreign(rows, lambda df: df["x"] / 2, ["x"])
+    assert foreign.where("pd = x / 2").count() == 300 and foreign.where("pd IS NULL").count() == 100
+
+
+def test_asof_ignores_null_keys_and_times(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    left = spark.createDataFrame([(1, "a", at(5)), (2, None, at(5)), (3, "a", None), (4, "b", at(1))], "id int, key string, time timestamp")
+    right = spark.createDataFrame([("a", at(2), 10), ("a", None, 11), (None, at(1), 12), ("a", at(6), 13), ("b", at(2), 14)], "key string, time timestamp, v int")
+    found = {r.id: r.v for r in features.asof_features(left, right, "key", "time", "v").collect()}
+    assert found == {1: 10, 2: None, 3: None, 4: None}
+
+
+def test_null_foreign_keys_are_orphans(spark):
+    child = spark.createDataFrame([(1, 1), (2, None), (3, 9)], "k int, p int")
+    r = quality.key_check(child, ["k"], spark.createDataFrame([(1,)], "id int"), ("p", "id")).first()
+    assert (r.surplus_rows, r.orphan_rows) == (0, 2)
+
+
+def test_cuts_by_counts_and_by_sketch(spark):
+    rows = spark.createDataFrame([(v, "a" if v % 2 else "b") for v in range(1, 101)] + [(None, "a"), (None, "c")], "v int, g string")
+    cuts = discrete_cuts(rows, "v", [0.25, 0.5]).first().cuts
+    assert cuts == [25, 50] == discrete_cuts(rows, "v", [0.25, 0.5], approx=True).first().cuts
+    filled = features.impute(rows, "v", "g").where("v_missing")
+    assert {r.g: r.v for r in filled.collect()} == {"a": 49, "c": None}
+    per = {r.bin: r.n for r in scorecard.binned_counts(rows, "v", 4, {}).collect()}
+    assert per == {1: 25, 2: 25, 3: 25, 4: 25}
+
+
+def test_default_threshold(spark):
+    lines = spark.createDataFrame([(1, "R"), (1, "N"), (1, "N"), (2, "R"), (2, "R"), (2, "N")], "l_orderkey int, l_returnflag string")
+    bad = lambda t: {r.account: r.bad for r in labels.default_label(lines, t).collect()}
+    assert bad(0.5) == {1: 0, 2: 1} and bad(0.3) == {1: 1, 2: 1} and bad(0.7) == {1: 0, 2: 0}
+
+
+def test_alerts_with_late_events_and_expiry(spark, tmp_path):
+    # the late event 4 counts the one before it, not those after; the state goes once the watermark has passed the span
+    stream = files(spark, tmp_path, [[event(1, 0), event(2, 2), event(3, 3)], [event(4, 1), event(9, 200, 2)], [event(8, 400, 2)], [event(5, 401)]])
+    found = behaviour.run_to_end(behaviour.velocity_alerts(stream, 2, 6 * 3600, "4 hours"))
+    assert {(r.event_id, r.n) for r in found.collect()} == {(2, 2), (3, 3), (4, 2)}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    stream = files(spark, tmp_path / "in", [[event(i, i, i) for i in range(1, 40)], [event(99, 50, 7)], [event(98, 49, 7)]]).withColumnRenamed("user_id", "borrower")
+    path = str(tmp_path / "scores")
+    behaviour.upsert_scores(stream, path, buckets=8)
+    found = {r.borrower: r.event_id for r in behaviour.latest_scores(spark, path).collect()}
+    assert found == {**{i: i for i in range(1, 40)}, 7: 99}
+    assert spark.read.parquet(f"{path}/v=1").select("bucket").distinct().count() == 1
