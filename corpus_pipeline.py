@@ -17,27 +17,36 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model doesn't judge toxic. The model is fitted on the labelled ones among `docs`."""
+    """Documents that the ordinal model doesn't judge toxic. The model is fitted on the labelled ones among `docs`.
+
+    Null and empty texts are clean; repeated rows are judged alike; without labelled rows of both classes, and so for an empty table, nothing goes.
+    """
     return toxicity.clean_documents(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id."""
+    """Of each group of near copies the document of the smallest id.
+
+    Null and empty texts are in no group and stay, rows that repeat id and text once; an empty table stays empty.
+    """
     return jaccard.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than one in twenty lies in a benchmark passage."""
+    """Documents of whose words less than one in twenty lies in a benchmark passage. Null and empty texts have no words and stay, repeated rows each; an empty table stays empty."""
     return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as systematic sampling towards the sources' target weights emits it."""
+    """Each document as often as systematic sampling towards the sources' target weights emits it.
+
+    Null texts have no words; a null source is a source, the last; repeated rows are drawn one by one; an empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot; doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """Every row with its shard and slot; doc_id, size, text_crc32, law, shard, slot, grown_shard. Null texts weigh one byte; repeated rows have slots of their own; an empty table gives none."""
     return sharding.shard(docs)
 
 

@@ -56,13 +56,19 @@ WITH turns AS (
 ), sized AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
          length({_ESC}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 16 + length({_ESC_ROLE}) END AS chars FROM turns
+), moves AS (
+  SELECT *, row_number() OVER w - 1 AS spot, lag(role, 1, '') OVER w AS prev, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), judged AS (
+  SELECT conv_id, min(spot) FILTER (WHERE (prev, role) NOT IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))) AS bad,
+         max(n) FILTER (WHERE spot = n - 1 AND role != 'assistant') AS unended FROM moves GROUP BY conv_id
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(chars)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+       sum(chars)::BIGINT AS formatted_chars, any_value(coalesce(bad, unended)) IS NULL AS valid, any_value(coalesce(bad, unended))::BIGINT AS invalid_turn
+FROM sized JOIN judged USING (conv_id) GROUP BY conv_id
 """
 
 OP10 = r"""

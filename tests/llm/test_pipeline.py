@@ -43,3 +43,15 @@ def test_stages(spark, small, tmp_path):
 def test_run_equals_the_stages(spark, small):
     found = corpus_pipeline.run(spark, small)
     assert found.count() > 0 and {"doc_id", "shard", "slot"} <= set(found.columns)
+
+
+def test_stages_on_odd_and_empty_tables(spark, small, tmp_path):
+    rows = [(i, t, "en", None if i == 2 else "s", 0) for i, t in ((1, None), (2, ""), (3, "one"), (3, "one"), (None, "two words"), (4, "w " * 20_000))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in ("key", "n", "row", "_row", "copies", "words", "d", "h")})
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, small)
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == odd.columns
+            out.write.parquet(str(tmp_path / name / stage_name))
+            docs = spark.read.parquet(str(tmp_path / name / stage_name))
+            assert (name == "none") == (docs.count() == 0), stage_name

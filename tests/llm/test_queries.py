@@ -5,10 +5,9 @@ import html as entities
 import re
 import zlib
 
-import zstandard
-
 import pandas as pd
 import pytest
+import zstandard
 
 from quillon.llm import media
 from quillon.llm.queries import QUERIES
