@@ -456,6 +456,13 @@ def sets_of_jobs(batches, frequent: np.ndarray, limit: int = CHUNK):
                     yield pa.RecordBatch.from_arrays([*(pa.array([j[c] for j in some], pa.int64()) for c in ("g", "a", "b")), pa.array([blob] * len(some), pa.binary())], names=["g", "a", "b", "values"])
 
 
+def blobs(column: pa.Array):
+    """Sets as they were packed, as views of the column's buffer."""
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).tolist() if len(column) else [0]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8) if len(column) else np.zeros(0, np.uint8)
+    return (data[a:b].view(np.uint64) for a, b in zip(at, at[1:]))
+
+
 def merged(batches, most: int = 256, limit: int = 4 * CHUNK):
     """Small batches as larger ones, of so many and of about so many bytes at most."""
     held: list[pa.RecordBatch] = []
@@ -495,13 +502,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order,
                 b.extend(found)
 
         for batch in batches:
-            for g, x, y, values in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "b", "values"))):
+            for g, x, y, values in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "b")), blobs(batch.column("values"))):
                 if y is None or g != group:
                     walk()
                     tree, count, group = PrefixTree(), 0, g
-                    probe = (x, np.frombuffer(values, np.uint64))
+                    probe = (x, values)
                 if y is not None:
-                    tree.add(np.frombuffer(values, np.uint64), y)
+                    tree.add(values, y)
                     count += 1
                     if count == PARTNERS:
                         walk()
