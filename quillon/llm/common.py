@@ -70,7 +70,18 @@ def written(df: DataFrame) -> DataFrame:
     It outlives lost executors, is read by column, and later plans show a scan instead of all that made it. The folder's owner
     clears it when the job is done.
     """
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As written, with the table's path, for `cleared`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later plan reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
