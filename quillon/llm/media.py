@@ -2,7 +2,7 @@
 
 A payload is cut where a rolling gear hash of its last 32 bytes has its low bits zero, so an insertion moves few
 cuts. Chunks are named by their SHA-256 and stored compressed; a payload is the ordered list of
-its chunks' names. One pass cuts all payloads and writes both to the shared folder. Reading joins the lists with the store, in which each
+its chunks' names. Reading joins the lists with the store, in which each
 chunk is once, checks every chunk against its name and puts the payload together.
 """
 
@@ -18,8 +18,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
-
 UNIT = 64
 LEAST, MASK_BITS, MOST = 2 << 10, 13, 64 << 10
 MAGIC = b"GCDC"
@@ -73,8 +71,8 @@ def read_form(media: bytes) -> bytes:
     return b"".join(out)
 
 
-def cut_table(texts: DataFrame) -> DataFrame:
-    """The chunks of each text (key, text): key, at, of (chunks of the payload), digest, and the compressed bytes where the task sends the chunk for the first time (null: sent before)."""
+def cut_table(texts: DataFrame, pack_them: bool) -> DataFrame:
+    """The chunks of each text (key, text): key, at, of (chunks of the payload), digest, and with `pack_them` the compressed bytes where the task sends the chunk for the first time (null: sent before)."""
 
     def cut(batches):
         pack = zstandard.ZstdCompressor(level=3)
@@ -95,7 +93,7 @@ def cut_table(texts: DataFrame) -> DataFrame:
                     chunk = data[begin:end]
                     digest, begin = hashlib.sha256(chunk).digest(), end
                     packed = None
-                    if digest not in seen:
+                    if pack_them and digest not in seen:
                         if len(seen) > 200_000:  # what is forgotten is sent again
                             seen.clear()
                         seen.add(digest)
@@ -111,13 +109,13 @@ def cut_table(texts: DataFrame) -> DataFrame:
 
 
 def stored_media(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cuts and writes the payloads of all documents: the store (digest, packed; each chunk once), the lists (key, at, of, digest), and the documents' keys (doc_id, n_bytes, key)."""
+    """The payloads of all documents: the store (digest, packed; each chunk once), the lists (key, at, of, digest), and the documents' keys (doc_id, n_bytes, key). To keep them, write the three."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
-    cut = written(cut_table(keyed))
-    store = cut.where("packed IS NOT NULL").groupBy("digest").agg(F.first("packed").alias("packed"))
+    store = cut_table(keyed, True).where("packed IS NOT NULL").groupBy("digest").agg(F.first("packed").alias("packed"))
+    lists = cut_table(keyed, False).select("key", "at", "of", "digest").distinct()
     names = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key")
-    return store, cut.select("key", "at", "of", "digest").distinct(), names
+    return store, lists, names
 
 
 def describe(data: bytes, chunks: int) -> str:
