@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontamination, html_extraction, jaccard, media, mixing, sharding, substrings, toxicity, url_filter
+from quillon.llm import centroids, chat, decontamination, html_extraction, jaccard, media, mixing, negatives, packing, sharding, substrings, toxicity, url_filter
 from quillon.llm.common import read
 
 
@@ -68,4 +68,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.pack(read(spark, sf_dir, "documents"), lambda: packing.encoder(*files))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination, op11_hard_negatives, op12_best_fit_packing, op13_centroid_clustering)}

@@ -137,4 +137,55 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op2_substring_dedup": OP2, "op3_url_filters": OP3, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_chat_formatting": OP9, "op10_decontamination": OP10}
+OP11 = """
+WITH kept AS (
+  SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS MATERIALIZED (
+  SELECT a.id AS a, a.vec_id AS anchor_id, b.id AS b, b.vec_id, a.label = b.label AS same,
+         coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: coalesce(p[1] * p[2], 0))), 0)::BIGINT AS score
+  FROM kept a JOIN kept b ON a.id != b.id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id NULLS LAST, s.b))::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON p.a = s.a AND NOT s.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def _op13(clusters: int = 8, rounds: int = 10) -> str:
+    steps = [
+        f"""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM kept QUALIFY c < {clusters}
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT k.id, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, c{r} c
+  ) GROUP BY id
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT c, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS v
+    FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) t(i) GROUP BY c, i) GROUP BY c
+  ) m USING (c)
+)""")
+    return ", ".join(steps) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(k.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} k USING (c)
+"""
+
+
+OP13 = _op13()
+
+SQL = {"op2_substring_dedup": OP2, "op3_url_filters": OP3, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_chat_formatting": OP9, "op10_decontamination": OP10, "op11_hard_negatives": OP11, "op13_centroid_clustering": OP13}
