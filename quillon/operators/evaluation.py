@@ -1,4 +1,4 @@
-"""How well scores rank and fit. All start from counts per score at 6 decimals, so what is sorted as a whole has at most a million rows."""
+"""How well scores rank and fit. All start from counts per score at 6 decimals; AUC and KS put these, at most a million, in order as a whole, the others in ranges."""
 
 from __future__ import annotations
 
@@ -13,6 +13,10 @@ def per_score(scored: DataFrame, score: str = "pd", label: str = "bad") -> DataF
     return scored.groupBy(F.round(score, 6).alias("score")).agg(F.count_if(F.col(label) == 0).alias("g"), F.count_if(F.col(label) == 1).alias("b"))
 
 
+def _rounded(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("pd", F.round("pd", 6))
+
+
 def _running(scored: DataFrame) -> DataFrame:
     w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy()
@@ -34,11 +38,11 @@ def ks(scored: DataFrame) -> DataFrame:
 
 
 def gains_table(scored: DataFrame, n: int = 10) -> DataFrame:
-    """Per score bin, 1 the lowest: accounts, bads, bad rate, share of all bads in it and the higher ones, and lift."""
-    per = binned_counts(scored, "pd", n, {"bads": F.sum("bad")}).withColumnRenamed("n", "accounts")
+    """Per score bin, 1 the lowest: accounts, bads, bad rate, share of all bads in it and the higher ones, and lift. Null scores are left out; without bads capture and lift are null."""
+    per = binned_counts(_rounded(scored), "pd", n, {"bads": F.sum("bad")}).withColumnRenamed("n", "accounts")
     every, down = Window.partitionBy(), Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     rate = F.col("bads") / F.col("accounts")
-    return per.select("bin", "accounts", "bads", F.round(rate, 6).alias("bad_rate"), F.round(F.sum("bads").over(down) / F.sum("bads").over(every), 6).alias("capture"), F.round(rate / (F.sum("bads").over(every) / F.sum("accounts").over(every)), 6).alias("lift"))
+    return per.select("bin", "accounts", "bads", F.round(rate, 6).alias("bad_rate"), F.round(F.try_divide(F.sum("bads").over(down), F.sum("bads").over(every)), 6).alias("capture"), F.round(F.try_divide(rate, F.sum("bads").over(every) / F.sum("accounts").over(every)), 6).alias("lift"))
 
 
 def confusion(scored: DataFrame, thresholds: DataFrame, missed_cost: float = 5.0) -> DataFrame:
@@ -50,29 +54,31 @@ def confusion(scored: DataFrame, thresholds: DataFrame, missed_cost: float = 5.0
 
 
 def calibration(scored: DataFrame, n: int = 10) -> DataFrame:
-    """Per score bin: accounts, mean score and bad rate; and for all rows the Brier score and the Hosmer-Lemeshow sum."""
+    """Per score bin: accounts, mean score and bad rate; and for all rows the Brier score and the Hosmer-Lemeshow sum. Null scores are left out; a bin of mean score 0 or 1 expects no variance and adds nothing to the sum, which is null where all bins are such."""
     square = (F.col("pd") - F.col("bad")) * (F.col("pd") - F.col("bad"))
     sums = {"p": F.sum(F.col("pd").cast("decimal(18,6)")), "b": F.sum("bad"), "s": F.sum(F.round(square, 12).cast("decimal(24,12)"))}
-    per = binned_counts(scored, "pd", n, sums).withColumns({"p": F.col("p").cast("double"), "s": F.col("s").cast("double")})
+    per = binned_counts(_rounded(scored), "pd", n, sums).withColumns({"p": F.col("p").cast("double"), "s": F.col("s").cast("double")})
     every = Window.partitionBy()
-    hl = (F.col("b") - F.col("p")) * (F.col("b") - F.col("p")) / (F.col("p") * (1 - F.col("p") / F.col("n")))
+    hl = F.try_divide((F.col("b") - F.col("p")) * (F.col("b") - F.col("p")), F.col("p") * (1 - F.col("p") / F.col("n")))
     return per.select("bin", F.col("n").alias("accounts"), F.round(F.col("p") / F.col("n"), 6).alias("mean_pd"), F.round(F.col("b") / F.col("n"), 6).alias("bad_rate"), F.round(F.sum("s").over(every) / F.sum("n").over(every), 6).alias("brier"), F.round(F.sum(hl).over(every), 4).alias("hosmer_lemeshow"))
 
 
 def psi(scored: DataFrame, period: str, base: str, n: int = 10, floor: float = 1e-4) -> DataFrame:
-    """Per period: the population stability index of its scores against the base period's, over bins of all scores; shares have a floor."""
-    counts = binned_counts(scored, "pd", n, {}, [period])
-    share = counts.select(period, "bin", (F.col("n") / F.sum("n").over(Window.partitionBy(period))).alias("share"))
-    expected = share.where(F.col(period) == base).select("bin", F.col("share").alias("e"))
-    grid = share.select(period).distinct().crossJoin(F.broadcast(counts.select("bin").distinct()))  # n bins
-    both = grid.join(share, [period, "bin"], "left").join(expected, "bin", "left")
+    """Per period: the population stability index of its scores against the base period's, over bins of all scores; shares have a floor. Rows without a period are a period (null), null scores are left out; without rows in the base period the index is null."""
+    counts = binned_counts(_rounded(scored), "pd", n, {}, [period]).withColumnRenamed(period, "_p")
+    share = counts.select("_p", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("_p"))).alias("share"))
+    expected = share.where(F.col("_p") == base).select(F.col("bin").alias("_b"), F.col("share").alias("e"))
+    there = expected.agg((F.count("*") > 0).alias("_there"))
+    bins = counts.select("bin").distinct()  # n at most
+    grid = share.select(F.col("_p").alias("_q")).distinct().crossJoin(F.broadcast(bins.select(F.col("bin").alias("_b")))).crossJoin(F.broadcast(there))
+    both = grid.join(share, F.col("_q").eqNullSafe(F.col("_p")) & (F.col("_b") == F.col("bin")), "left").join(expected, "_b", "left")
     a, e = F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(floor)), F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(floor))
-    return both.groupBy(period).agg(F.round(F.sum((a - e) * F.log(a / e)), 6).alias("psi"))
+    return both.groupBy(F.col("_q").alias(period)).agg(F.round(F.sum(F.when(F.col("_there"), (a - e) * F.log(a / e))), 6).alias("psi"))
 
 
 def segment_outliers(labelled: DataFrame, by: list[str], z: float = 1.0) -> DataFrame:
-    """Segments whose bad rate lies more than z sample deviations of the segments' rates from the portfolio's."""
+    """Segments (nulls are segments) whose bad rate lies more than z sample deviations of the segments' rates from the portfolio's. Where all segments have one rate, or there is one segment, none is."""
     per = labelled.groupBy(*by).agg(F.count("*").alias("n"), F.sum("bad").alias("b")).withColumn("rate", F.col("b") / F.col("n"))
     every = Window.partitionBy()
-    score = (F.col("rate") - F.sum("b").over(every) / F.sum("n").over(every)) / F.stddev_samp("rate").over(every)
+    score = F.try_divide(F.col("rate") - F.sum("b").over(every) / F.sum("n").over(every), F.stddev_samp("rate").over(every))
     return per.withColumn("z", score).where(F.abs("z") > z).select(*by, F.round("rate", 6).alias("bad_rate"), F.round("z", 4).alias("z"))

@@ -36,13 +36,13 @@ def exposure_cube(losses: DataFrame, form: str = "cube") -> DataFrame:
 
 
 def concentration(base: DataFrame, k: int = 3) -> DataFrame:
-    """Per region its k largest borrowers with their share of exposure, and the Herfindahl index of all its borrowers; ties by borrower."""
+    """Per region its k largest borrowers with their share of exposure, and the Herfindahl index of all its borrowers; ties by borrower. A null region is a region; one without exposure has null shares and index."""
     per = base.groupBy("region", "borrower").agg(F.sum(F.col("exposure").cast("decimal(18,2)")).cast("double").alias("exposure"))
-    total = per.groupBy("region").agg(F.sum(F.col("exposure").cast("decimal(18,2)")).cast("double").alias("_t"))
-    share = per.join(F.broadcast(total), "region").withColumn("share", F.col("exposure") / F.col("_t"))
-    index = share.groupBy("region").agg(F.round(F.sum(F.round(F.col("share") * F.col("share"), 15).cast("decimal(30,15)")).cast("double"), 9).alias("herfindahl"))
+    total = per.groupBy(F.col("region").alias("_r")).agg(F.sum(F.col("exposure").cast("decimal(18,2)")).cast("double").alias("_t"))
+    share = per.join(F.broadcast(total), F.col("region").eqNullSafe(F.col("_r"))).withColumn("share", F.try_divide("exposure", "_t")).drop("_r")  # regions are few
+    index = share.groupBy(F.col("region").alias("_r")).agg(F.round(F.sum(F.round(F.col("share") * F.col("share"), 15).cast("decimal(30,15)")).cast("double"), 9).alias("herfindahl"))
     top = rank_within(share, "region", [F.desc("exposure"), "borrower"], k)
-    return top.join(F.broadcast(index), "region").select("region", "rank", "borrower", "exposure", F.round("share", 9).alias("share"), "herfindahl")
+    return top.join(F.broadcast(index), F.col("region").eqNullSafe(F.col("_r"))).select("region", "rank", "borrower", "exposure", F.round("share", 9).alias("share"), "herfindahl")
 
 
 def stress(losses: DataFrame, scenarios=SCENARIOS) -> DataFrame:

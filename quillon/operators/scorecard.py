@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from quillon.functions.money import bin_of, discrete_cuts, logistic, points
+from quillon.functions.money import bin_of, discrete_cuts, logistic, points, unused
+from quillon.sources.sinks import written
 
 #: intercept, and per attribute its expression and coefficient
 SCORECARD = (-0.6, (("balance", "balance / 10000", -0.8), ("exposure", "exposure / 500000", 1.2), ("pending", "CASE WHEN status = 'P' THEN 1 ELSE 0 END", 0.3)))
@@ -26,17 +28,31 @@ def shares(n: int) -> list[float]:
 
 def quantile_bins(df: DataFrame, column: str, n: int, approx: bool = False) -> DataFrame:
     """Adds `bin`, 1 to n, by discrete quantiles of all rows; a value at a cut is in the lower bin, nulls in bin 0. `approx` takes the cuts from a sketch."""
-    cuts = discrete_cuts(df, column, shares(n), approx=approx).withColumnRenamed("cuts", "_cuts")
-    return df.crossJoin(F.broadcast(cuts)).withColumn("bin", bin_of(column, F.col("_cuts"))).drop("_cuts")  # cuts: one row
+    cuts = discrete_cuts(df, column, shares(n), approx=approx)
+    name = unused(df, "_cuts")
+    return df.crossJoin(F.broadcast(cuts.withColumnRenamed("cuts", name))).withColumn("bin", bin_of(column, F.col(name))).drop(name)  # cuts: one row
+
+
+#: ranges of equal width into which values are dealt for a running sum
+RANGES = 1000
 
 
 def binned_counts(df: DataFrame, column: str, n: int, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
-    """Per bin of quantile_bins (and `by`): `n` and sums over its rows, from one pass over the rows; nulls are left out. Rows are summed per value before the bins are known, so the column should have few distinct values (rounded scores have at most a million)."""
+    """Per bin of quantile_bins (and `by`): `n` and sums over its rows, from one pass over the rows; nulls are left out.
+
+    Rows are summed per value, and that table is written, so the column should have few distinct values (rounded scores have at most a million). Values are dealt to ranges of
+    equal width; the running sum goes over one sum per range, and then inside each range by itself.
+    """
     by = by or []
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"), *[f.alias(k) for k, f in sums.items()])
+    counts = written(df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"), *[f.alias(k) for k, f in sums.items()]))
+    least, most = counts.agg(F.min(column), F.max(column)).first()
+    wide = most - least if least is not None and most > least else 1
+    dealt = counts.withColumn("_r", F.floor((F.col(column) - F.lit(least or 0)) / F.lit(wide) * RANGES))
+    per = dealt.groupBy("_r").agg(F.sum("n").alias("_s"))  # RANGES + 1 rows at most
+    starts = per.select("_r", (F.sum("_s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_all"))
     # rows below the value, over all groups
-    below = F.coalesce(F.sum("n").over(Window.orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("n").over(Window.partitionBy(column))
-    placed = counts.withColumns({"_below": below, "_all": F.sum("n").over(Window.partitionBy())})
+    upto = F.sum("n").over(Window.partitionBy("_r").orderBy(column).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumn("_in", upto - F.sum("n").over(Window.partitionBy("_r", column))).join(F.broadcast(starts), "_r").withColumn("_below", F.col("_before") + F.col("_in"))
     # a cut lies below the value if the rows below already reach its share
     bin_ = (1 + sum((F.col("_below") >= F.lit(p) * F.col("_all")).cast("int") for p in shares(n))).cast("long")
     return placed.withColumn("bin", bin_).groupBy(*by, "bin").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums])
@@ -115,6 +131,55 @@ def score_foreign(df: DataFrame, predict: Callable[[pd.DataFrame], np.ndarray],
     return df.withColumn("pd", found).withColumn("pd", F.when(~F.isnan("pd"), F.col("pd")))
 
 
+def score_loaded(df: DataFrame, make_model: Callable[[], Callable[..., np.ndarray]], features: list[str], batch: int = 4096) -> DataFrame:
+    """Adds `pd` by a model of another library, in numpy batches of `batch` rows. `make_model` is called once a worker, so a large model is read there and not sent with the rows; it
+    returns a function from one array per feature to scores. Rows with a null feature are not given to it; their pd is null.
+    """
+
+    def load():
+        model = make_model()
+
+        def predict(rows: np.ndarray) -> np.ndarray:
+            known = ~np.isnan(rows).any(axis=1)
+            out = np.full(len(known), np.nan)
+            if known.any():
+                out[known] = model(*rows[known].T)
+            return out
+
+        return predict
+
+    score = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=[[len(features)]])
+    found = score(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features]))
+    return df.withColumn("pd", found).withColumn("pd", F.when(~F.isnan("pd"), F.col("pd")))
+
+
+def fit_counts(rows: DataFrame, features: list[str], label: str, steps: int = 8) -> dict[str, float]:
+    """Coefficients (`intercept` and one per feature) of the logistic model without a penalty, by `steps` Newton steps.
+
+    Rows are counted once per combination of feature values, which for weights of evidence are few however many rows there are; a step is one aggregate over the combinations: the
+    Gram matrix and the gradient, of a size that the number of features sets. Rows with a null feature or label don't count. Where the matrix has no inverse (a feature that doesn't
+    vary, or a combination of others) the shortest step is taken; without rows all coefficients are 0.
+    """
+    names = ["intercept", *features]
+    known = rows.dropna(subset=[*features, label])
+    counts = known.groupBy(*[F.col(c).alias(f"_x{i}") for i, c in enumerate(features, 1)]).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("double")).alias("_bads"))
+    counts = written(counts).withColumn("_x0", F.lit(1.0))
+    x = [F.col(f"_x{i}") for i in range(len(names))]
+    beta = np.zeros(len(names))
+    for _ in range(steps):
+        p = logistic(sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0)))
+        off, weight = F.col("_bads") - F.col("_n") * p, F.col("_n") * p * (F.lit(1.0) - p)
+        pairs = [(i, j) for i in range(len(x)) for j in range(i + 1)]
+        row = counts.agg(*[F.sum(weight * x[i] * x[j]) for i, j in pairs], *[F.sum(off * c) for c in x]).first()
+        if row[0] is None:
+            break
+        gram = np.zeros((len(x), len(x)))
+        for (i, j), value in zip(pairs, row):
+            gram[i, j] = gram[j, i] = value
+        beta = beta + np.linalg.pinv(gram) @ np.array(row[len(pairs) :], float)
+    return dict(zip(names, beta.tolist()))
+
+
 def log_odds(card=SCORECARD) -> Column:
     z = F.lit(card[0])
     for _, value, weight in card[1]:
@@ -123,14 +188,14 @@ def log_odds(card=SCORECARD) -> Column:
 
 
 def apply_scorecard(accounts: DataFrame, card=SCORECARD) -> DataFrame:
-    """Adds pd and points from given coefficients, both rounded to 6 decimals, by column arithmetic alone."""
+    """Adds pd and points from given coefficients, both rounded to 6 decimals, by column arithmetic alone. Null attributes give nulls; where the probability is 0 or 1 as a double, the points are null."""
     odds = logistic(log_odds(card))
     return accounts.withColumns({"pd": F.round(odds, 6), "points": F.round(points(odds), 6)})
 
 
 def reason_codes(accounts: DataFrame, k: int = 2, card=SCORECARD) -> DataFrame:
-    """Per account the k attributes that add most to its log-odds of default, in order; ties by name."""
-    parts = F.array(*[F.struct((-F.round(F.lit(w) * F.expr(v), 9)).alias("order"), F.lit(name).alias("name")) for name, v, w in card[1]])
+    """Per account the k attributes that add most to its log-odds of default, in order; ties by name. A null attribute adds nothing."""
+    parts = F.array(*[F.struct((-F.coalesce(F.round(F.lit(w) * F.expr(v), 9), F.lit(0.0))).alias("order"), F.lit(name).alias("name")) for name, v, w in card[1]])
     return accounts.select("account", F.array_join(F.transform(F.slice(F.array_sort(parts), 1, k), lambda p: p["name"]), ",").alias("reasons"))
 
 

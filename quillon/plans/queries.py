@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import evaluation, features, labels, portfolio, quality, scorecard
 from quillon.sources import sinks
-from quillon.sources.tables import event_time, read_stream, read_table
+from quillon.sources.tables import BAD_ROW, event_time, read_stream, read_table
 from quillon.streaming import behaviour
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,37 @@ def read_orders(spark, d):
     return read_table(spark, d, "orders").where("o_orderdate >= TIMESTAMP_NTZ '2000-01-01 00:00:00' AND o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+def spoiled(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """Orders, and which of them are spoiled when they are written as text."""
+    return read_table(spark, d, "orders"), F.col("o_orderkey") % 7 == 0
+
+
+def told_apart(read: DataFrame) -> DataFrame:
+    """Rows that fit and rows that don't, with what could be read of them."""
+    return read.groupBy(F.col(BAD_ROW).isNull().alias("fits")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.count("o_totalprice").alias("prices"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("price"))
+
+
+@query
+def read_csv_orders(spark, d):
+    """Orders as CSV in which every seventh has a price that is no number, read by their schema."""
+    rows, bad = spoiled(spark, d)
+    folder = behaviour.shared_folder(spark)
+    price = F.when(bad, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    text = rows.withColumns({"o_totalprice": price, "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")})
+    text.write.option("header", True).csv(f"{folder}/orders.csv")
+    return told_apart(read_table(spark, folder, "orders", "csv"))
+
+
+@query
+def read_json_orders(spark, d):
+    """Orders as lines of JSON of which every seventh is cut off, read by their schema."""
+    rows, bad = spoiled(spark, d)
+    folder = behaviour.shared_folder(spark)
+    line = F.to_json(F.struct(*rows.columns))
+    rows.select(F.when(bad, F.left(line, F.length(line) - 5)).otherwise(line).alias("value")).write.text(f"{folder}/orders.json")
+    return told_apart(read_table(spark, folder, "orders", "json"))
+
+
 @query
 def profile_customer(spark, d):
     return quality.profile(read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
@@ -198,6 +229,29 @@ def score_batch(spark, d):
     return scorecard.score_batch(rows, scorecard.fit_pd(rows.where("part = 'train'"), ["balance", "exposure"])).select("account", F.round("pd", 6).alias("pd"))
 
 
+@query
+def score_foreign(spark, d):
+    """Every account scored by a plain linear model, loaded once a worker and given numpy batches."""
+    return scorecard.score_loaded(base(spark, d), lambda: linear_model(-0.5, (-0.00008, 0.000002)), ["balance", "exposure"]).select("account", F.round("pd", 6).alias("pd"))
+
+
+def linear_model(intercept: float, weights: tuple[float, ...]) -> Callable[..., object]:
+    """A logistic model as another library might give it: from one array per feature to scores."""
+    import numpy as np
+
+    return lambda *columns: 1 / (1 + np.exp(-(intercept + sum(w * np.asarray(c, float) for w, c in zip(weights, columns)))))
+
+
+@query
+def fit_pd_counts(spark, d):
+    """Coefficients of the logistic model on weights of evidence, by Newton steps on counts per combination of bins."""
+    train = sinks.written(labelled(spark, d).where("account % 10 >= 3").select("balance", "exposure", "bad"))
+    names = ["balance", "exposure"]
+    rows = scorecard.with_woe(train, scorecard.woe_table(train, names, "bad"))
+    found = scorecard.fit_counts(rows, [f"{c}_woe" for c in names], "bad")
+    return spark.createDataFrame([(k, round(v, 5)) for k, v in found.items()], "name string, coefficient double")
+
+
 @query
 def write_scores(spark, d):
     """Scores of all accounts by year, then those of one year anew with the sign of their points turned; what is read back."""
@@ -324,7 +378,7 @@ def activity_windows_sliding(spark, d):
 def activity_sessions(spark, d):
     """Sessions from a stream; a far later event in a batch of its own closes the last ones."""
     events = behaviour.drained(event_time(read_table(spark, d, "events")))
-    found = behaviour.run_to_end(behaviour.activity_sessions(behaviour.in_files(events, F.col("user_id").isNull().cast("int"))))
+    found = behaviour.run_in_parts(events, F.col("user_id").isNull().cast("int"), behaviour.activity_sessions)
     return found.where("user_id IS NOT NULL").select("user_id", day("start").alias("start"), day("last").alias("last"), "n")
 
 
@@ -337,8 +391,7 @@ def late_rows(spark, d):
     """Events that came too late for their day's window. A far later event closes the windows."""
     events = event_time(read_table(spark, d, "events"))
     part = F.when(F.col("user_id").isNull(), 3).when(F.col("ts") >= NEW, 0).when(F.col("ts") >= OLD, 1).otherwise(2)
-    windows = behaviour.activity_windows(behaviour.in_files(behaviour.drained(events), part))
-    landed = behaviour.run_to_end(windows).where("event_type IS NOT NULL")
+    landed = behaviour.run_in_parts(behaviour.drained(events), part, behaviour.activity_windows).where("event_type IS NOT NULL")
     return behaviour.late_rows(events, landed)
 
 
@@ -346,8 +399,8 @@ def late_rows(spark, d):
 def upsert_scores(spark, d):
     """The latest value of each borrower, from a stream in four batches that are not in order of time."""
     rows = event_time(read_table(spark, d, "events")).select(F.col("user_id").alias("borrower"), "ts", "event_id", "value")
-    path = behaviour.shared_folder(spark)
-    behaviour.upsert_scores(behaviour.in_files(rows, F.pmod(F.col("event_id"), F.lit(4))), path)
+    path, state = behaviour.shared_folder(spark), behaviour.shared_folder(spark)
+    behaviour.in_parts(rows, F.pmod(F.col("event_id"), F.lit(4)), lambda stream: behaviour.upsert_scores(stream, path, state=state))
     return behaviour.latest_scores(spark, path).select("borrower", day("ts").alias("at"), "event_id", "value")
 
 
@@ -359,4 +412,33 @@ def score_stream(spark, d):
 
 @query
 def velocity_alerts(spark, d):
-    return behaviour.run_to_end(behaviour.velocity_alerts(stream(spark, d), 3, 24 * 3600))
+    """Alerts from a stream in three batches that are not in order of time; a far later event sends the last ones."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, behaviour.ROCKSDB)
+    try:
+        # times reach Python as nanoseconds, which end in 2262
+        events = behaviour.drained(event_time(read_table(spark, d, "events")), "TIMESTAMP '2200-01-01 00:00:00'")
+        far = F.col("ts") >= F.lit("2200-01-01").cast("timestamp")
+        # a null borrower has no alert, so the closing event needs a key of its own
+        events = events.withColumns({"user_id": F.when(far, F.lit(-1)).otherwise(F.col("user_id")), "event_id": F.when(far, F.lit(-1)).otherwise(F.col("event_id"))})
+        part = F.when(far, 3).otherwise(F.pmod(F.col("event_id"), F.lit(3)))
+        found = behaviour.run_in_parts(events, part, lambda stream: behaviour.ordered_alerts(stream, 3, 24 * 3600, "40 days", 10 * 24 * 3600))
+    finally:
+        spark.conf.set(provider, before)
+    return found.where("user_id >= 0")
+
+
+@query
+def dedup_repeats(spark, d):
+    """Events of which every third is sent again in a later batch, and every fifth once more long after its id is forgotten: what the stream lets through."""
+    events = event_time(read_table(spark, d, "events")).select("event_id", "ts")
+    again = events.where("event_id % 3 = 0")
+    late = events.where("event_id % 5 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 DAYS"))
+    # two later events: the first moves the watermark past what the ids are kept for, the batch of the second forgets them
+    marks = spark.sql("SELECT * FROM VALUES (-1L, TIMESTAMP '2024-04-25 00:00:00', 1), (-2L, TIMESTAMP '2024-04-26 00:00:00', 2) AS t(event_id, ts, part)")
+    rows = marks
+    for k, sent in ((0, events), (1, again), (3, late)):
+        rows = rows.unionByName(sent.withColumn("part", F.lit(k)))
+    found = behaviour.run_in_parts(rows, F.col("part"), lambda stream: behaviour.dedup_events(stream, "40 days"))
+    return found.where("event_id >= 0").groupBy("event_id").agg(F.count("*").alias("times"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))

@@ -190,3 +190,41 @@ SELECT count(*) AS late FROM events, (SELECT max(ts) - INTERVAL 1 DAY AS mark FR
 WHERE ts < TIMESTAMP '2024-01-10' AND (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-20') > 0 AND date_trunc('day', ts) + INTERVAL 1 DAY <= mark"""
 SQL["upsert_scores"] = f"""
 SELECT user_id AS borrower, strftime(ts, {_STAMP}) AS at, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+SQL["dedup_repeats"] = f"""
+SELECT event_id, 1 + (event_id % 5 = 0)::BIGINT AS times, strftime(ts + CASE WHEN event_id % 5 = 0 THEN INTERVAL 100 DAYS ELSE INTERVAL 0 DAYS END, {_STAMP}) AS last FROM events"""
+SQL["read_csv_orders"] = """
+SELECT o_orderkey % 7 != 0 AS fits, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, CASE WHEN o_orderkey % 7 != 0 THEN count(*) ELSE 0 END AS prices,
+       CASE WHEN o_orderkey % 7 != 0 THEN sum(o_totalprice::DECIMAL(18,2))::DOUBLE END AS price FROM orders GROUP BY o_orderkey % 7 != 0"""
+# of a line of JSON that is cut off nothing can be read
+SQL["read_json_orders"] = SQL["read_csv_orders"].replace("sum(o_orderkey)::BIGINT AS keys", "CASE WHEN o_orderkey % 7 != 0 THEN sum(o_orderkey) END::BIGINT AS keys")
+SQL["score_foreign"] = f"WITH {_BASE} SELECT account, round(1 / (1 + exp(-(-0.5::DOUBLE - 0.00008::DOUBLE * balance + 0.000002::DOUBLE * exposure))), 6) AS pd FROM base"
+
+
+def _newton(steps: int = 8) -> str:
+    """Weights of evidence of two attributes, counts per pair of them, and Newton steps, each solved by Cramer's rule."""
+    woe = """{0}_woe AS (
+  SELECT bin, round(ln(((g + 0.5::DOUBLE) / (sum(g) OVER () + 0.5::DOUBLE)) / ((b + 0.5::DOUBLE) / (sum(b) OVER () + 0.5::DOUBLE))), 6) AS w
+  FROM (SELECT {0}_bin AS bin, count(*) FILTER (WHERE bad = 0) AS g, count(*) FILTER (WHERE bad = 1) AS b FROM binned GROUP BY 1)
+)"""
+    parts = [
+        f"{_SCORED}, train AS (SELECT balance, exposure, bad FROM scored WHERE account % 10 >= 3)",
+        f"binned AS (SELECT bad, {_bin('balance').replace('(1 + len(list_filter(q', '(1 + len(list_filter(c1.q')} AS balance_bin, {_bin('exposure').replace('(1 + len(list_filter(q', '(1 + len(list_filter(c2.q')} AS exposure_bin FROM train, {_cuts('train', 'balance', 10)} c1, {_cuts('train', 'exposure', 10)} c2)",
+        woe.format("balance"),
+        woe.format("exposure"),
+        "counts AS MATERIALIZED (SELECT x.w AS x, y.w AS y, count(*) AS n, sum(bad) AS b FROM binned JOIN balance_woe x ON x.bin = balance_bin JOIN exposure_woe y ON y.bin = exposure_bin GROUP BY 1, 2)",
+        "b0 AS (SELECT 0.0::DOUBLE AS u, 0.0::DOUBLE AS v, 0.0::DOUBLE AS w)",
+    ]
+    for k in range(steps):
+        parts.append(f"""s{k} AS (
+  SELECT any_value(u) AS u, any_value(v) AS v, any_value(w) AS w, sum(h) AS a, sum(h * x) AS d, sum(h * y) AS e, sum(h * x * x) AS f, sum(h * x * y) AS i, sum(h * y * y) AS j,
+         sum(r) AS p, sum(r * x) AS q, sum(r * y) AS t
+  FROM (SELECT *, n * z * (1 - z) AS h, b - n * z AS r FROM (SELECT *, 1 / (1 + exp(-(u + v * x + w * y))) AS z FROM counts, b{k}))
+), b{k + 1} AS MATERIALIZED (
+  SELECT u + (p * (f * j - i * i) - d * (q * j - i * t) + e * (q * i - f * t)) / m AS u, v + (a * (q * j - i * t) - p * (d * j - i * e) + e * (d * t - q * e)) / m AS v,
+         w + (a * (f * t - q * i) - d * (d * t - q * e) + p * (d * i - f * e)) / m AS w
+  FROM (SELECT *, a * (f * j - i * i) - d * (d * j - i * e) + e * (d * i - f * e) AS m FROM s{k})
+)""")
+    return f"WITH {', '.join(parts)} SELECT unnest(['intercept', 'balance_woe', 'exposure_woe']) AS name, unnest([round(u, 5), round(v, 5), round(w, 5)]) AS coefficient FROM b{steps}"
+
+
+SQL["fit_pd_counts"] = _newton()

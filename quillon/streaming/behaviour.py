@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quillon.functions.money import money
+from quillon.sources.sinks import shared_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see, under the session's checkpoint folder; only where they are threads of this process (tests) may that be unset and a temporary one be taken."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        base = tempfile.mkdtemp(prefix="quillon-stream-")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns what it wrote. Batches go to a table; in complete mode the last replaces the others."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+def run_to_end(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns all that it wrote. Batches go to a table; in complete mode the last replaces the others. With the `folder` of an earlier run it goes on from there."""
+    spark = stream.sparkSession
+    folder = folder or shared_folder(spark)
     out = f"{folder}/out"
 
     def put(batch: DataFrame, number: int) -> None:
@@ -39,18 +30,37 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/batch=*")
 
 
-def in_files(events: DataFrame, part: Column, per_trigger: int = 1) -> DataFrame:
-    """A table as a stream that takes `per_trigger` of its parts at a time, in order of `part` (small integers). The parts are written to the shared folder, one after another."""
+_NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def in_parts(events: DataFrame, part: Column, run: Callable[[DataFrame], None]) -> None:
+    """Feeds a table to a stream in parts, in order of `part` (a few small integers).
+
+    Each part is added to the stream's folder, as many files as tasks write it, and then `run` is called with the stream; it must go on from its checkpoint, so
+    the part is one batch of many tasks. Batches without data wait for the last part: till then each part is judged by the watermark of those before it, as
+    if the parts had come one after another in one run.
+    """
     spark, folder = events.sparkSession, shared_folder(events.sparkSession)
-    numbers = sorted(r[0] for r in events.select(part).distinct().collect())  # few by contract
-    for k in numbers:
-        events.where(part == k).coalesce(1).write.parquet(f"{folder}/part={k:04d}")
-    schema = events.schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{folder}/part=*").select(*events.columns)
+    numbers = sorted(r[0] for r in events.select(part).distinct().collect()) or [0]  # few by contract
+    before = spark.conf.get(_NO_DATA)
+    try:
+        for k in numbers:
+            events.where(part == k).write.parquet(f"{folder}/part={k:04d}")
+            spark.conf.set(_NO_DATA, str(k == numbers[-1]).lower())
+            run(spark.readStream.schema(events.schema).parquet(f"{folder}/part=*").select(*events.columns))
+    finally:
+        spark.conf.set(_NO_DATA, before)
+
+
+def run_in_parts(events: DataFrame, part: Column, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All that the stream `build` makes of a table writes when it is fed in parts."""
+    folder, out = shared_folder(events.sparkSession), []
+    in_parts(events, part, lambda stream: out.append(run_to_end(build(stream), folder=folder)))
+    return out[-1]
 
 
 def drained(events: DataFrame, last: Column | str = "TIMESTAMP '2999-01-01 00:00:00'") -> DataFrame:
-    """Events with one far later row, whose other columns are null, so that the watermark passes all others; select it away by its null key. Use with in_files, which puts it into a batch of its own."""
+    """Events with one far later row, whose other columns are null, so that the watermark passes all others; select it away by its null key. Feed it in a part of its own."""
     ts = F.expr(last) if isinstance(last, str) else last
     row = events.sparkSession.range(1).select(*[(ts if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in events.dtypes])
     return events.unionByName(row)
@@ -111,6 +121,80 @@ def velocity_alerts(events: DataFrame, n: int = 4, span_seconds: int = 6 * 3600,
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class OrderedAlerts(StatefulProcessor):
+    """Per borrower, events wait in cells of time until the watermark has passed the cell; then they are counted in order of time.
+
+    State: the waiting events per cell, and the times of the last span. Rows come in Arrow batches, each put into its cells before the next is read, so what a
+    task holds is one Arrow batch and one cell of a borrower. A timer per cell counts it; one a span later clears what is left.
+    """
+
+    def __init__(self, n: int, span: int, cell: int):
+        self.n, self.span, self.cell = n, span, cell
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "cell long", "us array<long>, ids array<long>")
+        self.recent = handle.getValueState("recent", "times array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = set()
+        for frame in rows:
+            us, ids = frame["us"].to_numpy(), frame["event_id"].to_numpy()
+            cells = us // self.cell
+            for c in np.unique(cells).tolist():
+                more_us, more_ids = us[cells == c].tolist(), ids[cells == c].tolist()
+                if self.waiting.containsKey((c,)):
+                    have = self.waiting.getValue((c,))
+                    more_us, more_ids = [*have[0], *more_us], [*have[1], *more_ids]
+                self.waiting.updateValue((c,), (more_us, more_ids))
+                if c not in known:
+                    known.add(c)
+                    self.handle.registerTimer((c + 1) * self.cell // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        own = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.cell - 1
+        # the first of a batch's timers counts all cells that are passed
+        ready = sorted(c for (c,) in self.waiting.keys() if (c + 1) * self.cell <= mark) if self.waiting.containsKey((own,)) else []
+        times = list(self.recent.get()[0]) if self.recent.exists() else []
+        for c in ready:
+            us, ids = self.waiting.getValue((c,))
+            self.waiting.removeKey((c,))
+            out = []
+            for at, event in sorted(zip(us, ids)):
+                times.append(at)
+                found = len(times) - bisect_left(times, at - self.span)
+                if found >= self.n:
+                    out.append((key[0], event, found))
+            times = times[bisect_left(times, times[-1] - self.span) :]
+            if out:
+                yield pd.DataFrame(out, columns=["user_id", "event_id", "n"])
+        if ready:
+            self.handle.registerTimer((times[-1] + self.span) // 1000 + 1)
+            self.recent.update((times,))
+        elif times and times[-1] + self.span < mark:
+            self.recent.clear()
+
+    def close(self) -> None:
+        pass
+
+
+#: what transformWithState needs
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ordered_alerts(events: DataFrame, n: int = 4, span_seconds: int = 6 * 3600, delay: str = "1 day", cell_seconds: int | None = None) -> DataFrame:
+    """An alert for each event that is at least the n-th of its borrower within the span that ends with it; of equal times the smaller event_id counts first.
+
+    Unlike velocity_alerts it is sent when the watermark has passed the event, so it counts every event that came in time, in whatever order. Events behind the watermark are
+    dropped; null borrowers and times have no alerts. Events wait in cells of `cell_seconds` (the span): longer ones mean fewer calls to the state store, shorter ones less memory. The session's state store must be ROCKSDB, as transformWithState needs it.
+    """
+    span = span_seconds * 1_000_000
+    timed = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("user_id").transformWithStateInPandas(OrderedAlerts(n, span, max(1, cell_seconds or span_seconds) * 1_000_000), "user_id long, event_id long, n long", "Append", "EventTime")
+
+
 def late_rows(events: DataFrame, landed: DataFrame) -> DataFrame:
     """Rows of the input that no window holds: one row, late. `landed` is the output of activity_windows over the same input."""
     return events.agg(F.count("*").alias("a")).crossJoin(landed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("b"))).select((F.col("a") - F.col("b")).alias("late"))  # one row each
@@ -121,39 +205,66 @@ BUCKETS = 16
 
 
 def upsert_scores(stream: DataFrame, path: str, key: str = "borrower", time: str = "ts", state: str | None = None, buckets: int = BUCKETS) -> None:
-    """Keeps the latest score of each borrower under `path`; of equal times the greatest row.
+    """Keeps the latest score of each borrower under `path`; of equal times the greatest row. A null borrower is a borrower.
 
-    Borrowers are dealt to buckets. A batch merges the buckets that it touches with their versions before it, and writes these buckets as its own version, so a batch that is run again
-    gives the same result and the others aren't rewritten; `latest_scores` reads each bucket's last. Older versions may be deleted.
+    Borrowers are dealt to buckets. A batch merges the buckets that it touches with their live versions, writes them as its own version, and then a manifest that names every bucket's live
+    version. What a batch reads is the live version of the buckets it touches, however many batches there were. A batch that is run again starts from the
+    manifest before its own and gives the same result; versions that neither the last manifest nor the one before it names are deleted.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         mine = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most `buckets`
-        rows = mine
-        old = _versions(spark, path, batch.schema)
-        if old is not None and touched:
-            rows = rows.unionByName(_last(old.where((F.col("v") < number) & F.col("bucket").isin(touched))))
+        if not touched:
+            return
+        before = max((n for n in _numbers(spark, f"{path}/manifest", "n") if n < number), default=None)
+        live = {} if before is None else _manifest(spark, path, before)
+        old = _at(path, {b: v for b, v in live.items() if b in touched})
+        rows = mine.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))) if old else mine
         best = rows.groupBy("bucket", key).agg(F.max(F.struct(time, *[c for c in batch.columns if c not in (key, time)])).alias("s")).select(key, "s.*", "bucket").select(*batch.columns, "bucket")
         best.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+        now = live | dict.fromkeys(touched, number)
+        spark.createDataFrame(list(now.items()), "bucket int, v int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/n={number}")
+        _clear(spark, path, before, {*now.items(), *live.items()})
 
     stream.writeStream.option("checkpointLocation", state or f"{shared_folder(stream.sparkSession)}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
 
 
-def _versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """All versions of a score table, or None before the first."""
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers k of the folders `name`=k under a path."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema(StructType([*schema.fields, StructField("v", IntegerType()), StructField("bucket", IntegerType())])).option("basePath", path).parquet(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [int(f.split("=")[1]) for f in found if f.startswith(f"{name}=")]
+
+
+def _manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
+    """Each bucket's live version; a row per bucket."""
+    return {r["bucket"]: r["v"] for r in spark.read.schema("bucket int, v int").parquet(f"{path}/manifest/n={number}").collect()}
+
+
+def _at(path: str, live: dict[int, int]) -> list[str]:
+    return [f"{path}/v={v}/bucket={b}" for b, v in sorted(live.items())]
 
 
-def _last(versions: DataFrame) -> DataFrame:
-    """Each bucket's last version; the table of buckets is small."""
-    last = versions.groupBy("bucket").agg(F.max("v").alias("v"))
-    return versions.join(F.broadcast(last), ["bucket", "v"]).drop("v")
+def _clear(spark: SparkSession, path: str, before: int | None, keep: set[tuple[int, int]]) -> None:
+    """Deletes manifests older than `before`, and the versions which they name and `keep` doesn't."""
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(conf)
+    for n in _numbers(spark, f"{path}/manifest", "n") if before is not None else []:
+        if n < before:
+            for b, v in _manifest(spark, path, n).items():
+                if (b, v) not in keep:
+                    fs.delete(path_of(f"{path}/v={v}/bucket={b}"), True)
+                if v not in {v for _, v in keep}:
+                    fs.delete(path_of(f"{path}/v={v}"), True)
+            fs.delete(path_of(f"{path}/manifest/n={n}"), True)
 
 
 def latest_scores(spark: SparkSession, path: str) -> DataFrame:
-    return _last(spark.read.option("basePath", path).parquet(path)).drop("bucket")
+    """The live scores. Raises where nothing was ever written."""
+    numbers = _numbers(spark, f"{path}/manifest", "n")
+    if not numbers:
+        raise ValueError(f"no scores under {path}")
+    return spark.read.parquet(*_at(path, _manifest(spark, path, max(numbers))))

@@ -278,3 +278,261 @@ def test_upsert_rewrites_touched_buckets_only(spark, tmp_path):
     found = {r.borrower: r.event_id for r in behaviour.latest_scores(spark, path).collect()}
     assert found == {**{i: i for i in range(1, 40)}, 7: 99}
     assert spark.read.parquet(f"{path}/v=1").select("bucket").distinct().count() == 1
+
+
+def test_portfolios_without_bads_spread_or_exposure(spark):
+    good = scored(spark, [(i / 100, 0) for i in range(40)])
+    assert {(r.bads, r.capture, r.lift) for r in evaluation.gains_table(good, 4).collect()} == {(0, None, None)}
+    sure = scored(spark, [(0.0, 0)] * 5 + [(1.0, 1)] * 5 + [(0.5, 1)] * 2).unionByName(spark.createDataFrame([(99, None, 1)], SCORED))
+    found = evaluation.calibration(sure, 3).collect()
+    assert {r.hosmer_lemeshow for r in found} == {round((7 - 6) ** 2 / (6 * (1 - 6 / 7)), 4)} and sum(r.accounts for r in found) == 12
+    assert {r.hosmer_lemeshow for r in evaluation.calibration(scored(spark, [(0.0, 0), (1.0, 1)]), 2).collect()} == {None}
+    equal = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1), ("b", 0), (None, 1), (None, 0)], "region string, bad int")
+    assert evaluation.segment_outliers(equal, ["region"]).count() == 0
+    assert evaluation.segment_outliers(equal.where("region = 'a'"), ["region"]).count() == 0
+    base = spark.createDataFrame([("r", 1, 0.0), ("r", 2, 0.0), (None, 3, 5.0), (None, 4, 15.0)], "region string, borrower int, exposure double")
+    assert {(r.region, r.borrower, r.share, r.herfindahl) for r in portfolio.concentration(base).collect()} == {("r", 1, None, None), ("r", 2, None, None), (None, 3, 0.25, 0.625), (None, 4, 0.75, 0.625)}
+
+
+def test_scores_at_the_ends_of_doubles(spark):
+    rows = spark.createDataFrame([(1, 1e8, 0.0, "F"), (2, -1e9, 0.0, "F"), (3, 0.0, 0.0, "P"), (4, None, 1.0, "F")], "account int, balance double, exposure double, status string")
+    found = {r.account: (r.pd, r.points) for r in scorecard.apply_scorecard(rows).collect()}
+    assert found[1] == (0.0, None) and found[2] == (1.0, None) and found[4] == (None, None) and found[3][1] is not None
+    assert {r.account: r.reasons for r in scorecard.reason_codes(rows, 1).collect()}[4] == "exposure"
+
+
+def test_psi_of_null_and_missing_periods(spark):
+    df = scored(spark, [((i % 50) / 50, 0) for i in range(200)])
+    both = df.withColumn("year", F.lit("a")).union(df.withColumn("year", F.lit(None).cast("string")))
+    assert {r.year: r.psi for r in evaluation.psi(both, "year", "a").collect()} == {"a": 0.0, None: 0.0}
+    assert {r.year: r.psi for r in evaluation.psi(both, "year", "z").collect()} == {"a": None, None: None}
+
+
+def disc(values, share):
+    """The least value at which a share of the values is reached."""
+    values = sorted(values)
+    return next(v for i, v in enumerate(values, 1) if i >= share * len(values))
+
+
+@pytest.mark.parametrize("shape", ["even", "tied", "tails", "dates"])
+def test_cuts_equal_sorted_values(spark, shape):
+    import random
+
+    rng = random.Random(shape)
+    make = {"even": lambda: rng.random(), "tied": lambda: float(rng.randint(0, 5)), "tails": lambda: rng.random() ** -3, "dates": lambda: dt.date(2020, 1, 1) + dt.timedelta(rng.randint(0, 2000))}[shape]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), make() if rng.random() > 0.1 else None) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, f"g string, v {'date' if shape == 'dates' else 'double'}").repartition(5)
+    shares = [0.9, 0.0, 0.05, 0.5, 0.5003, 1.0]
+    known = [v for _, v in rows if v is not None]
+    assert discrete_cuts(df, "v", shares).first().cuts == [disc(known, p) for p in shares]
+    for r in discrete_cuts(df, "v", shares, ["g"]).collect():
+        assert r.cuts == [disc([v for g, v in rows if g == r.g and v is not None], p) for p in shares]
+    assert discrete_cuts(df.limit(0), "v", shares, ["g"]).count() == 0
+
+
+def windows_in_one_task(df):
+    """Plans of the sorts that a single task makes, without what a broadcast or an aggregate has made small."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [plan[i + 1].strip() for i, line in enumerate(plan) if "Exchange SinglePartition" in line and i + 1 < len(plan) and "partial_" not in plan[i + 1] and "LocalLimit" not in plan[i + 1]]
+
+
+def test_quantiles_have_no_task_for_all_values(spark, small):
+    from quillon.plans.queries import QUERIES
+
+    for name in ("quantile_bins", "winsorise", "impute"):
+        assert windows_in_one_task(QUERIES[name](spark, small)) == [], name
+    per = scorecard.binned_counts(spark.range(1000).select((F.col("id") / 1000).alias("pd")), "pd", 10, {})
+    text = per._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange SinglePartition") <= 2 and all("_r" in line and "_s" in line for line in windows_in_one_task(per))
+
+
+def test_columns_with_the_names_inside_are_kept(spark):
+    df = spark.createDataFrame([("a", 1.0, 7), ("a", None, 8)], "s string, x double, _median int").withColumn("_cuts", F.lit(9))
+    assert sorted((r.x, r["_median"], r["_cuts"]) for r in features.impute(df, "x", "s").collect()) == [(1.0, 7, 9), (1.0, 8, 9)]
+    assert {r["_cuts"] for r in features.winsorise(df, "x").collect()} == {9} == {r["_cuts"] for r in scorecard.quantile_bins(df, "x", 2).collect()}
+    left = spark.createDataFrame([(1, dt.datetime(2024, 1, 2), 5)], "key int, time timestamp, v int")
+    found = features.asof_features(left, left.withColumn("v", F.lit(6)), "key", "time", "v").first()
+    assert (found["v"], found["v_right"]) == (5, 6)
+
+
+def hot_rows(seed, n=3000):
+    """Keys of which one has a third of all rows, one is null, and the others few; times with ties and nulls."""
+    import random
+
+    rng = random.Random(seed)
+    start = dt.datetime(2020, 1, 1)
+    return [(i, rng.choice([1, None] + [rng.randint(2, 900)] * 2), None if rng.random() < 0.02 else start + dt.timedelta(hours=rng.randint(0, 9000))) for i in range(n)]
+
+
+def test_hot_keys_in_asof_joins(spark):
+    schema = "id int, key int, time timestamp"
+    a, b = hot_rows(1), [r for r in hot_rows(2) if r[0] % 4 == 0]
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema).withColumnRenamed("id", "v")
+    assert features.hot_keys(left, "key", "time").count() >= 1
+    want = {}
+    for i, k, t in a:
+        fits = [(u, v) for v, j, u in b if None not in (k, t, u) and j == k and u <= t]
+        want[i] = max(fits)[1] if fits else None
+    found = features.asof_features(left, right, "key", "time", "v")
+    assert {r.id: r.v for r in found.collect()} == want
+    # the hot key's rows meet in ranges, none of which has them all
+    dealt = features.in_ranges(left.where("key = 1 AND time IS NOT NULL"), "key", "time", features.hot_keys(left, "key", "time"))
+    sizes = [r["count"] for r in dealt.groupBy("_r").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < sum(sizes) / 20
+
+
+def test_hot_borrowers_in_velocity_and_recency(spark):
+    rows = hot_rows(3)
+    orders = spark.createDataFrame([(i, k, t, float(i)) for i, k, t in rows], "o_orderkey int, o_custkey int, o_orderdate timestamp_ntz, o_totalprice double")
+    found = {r.account: (r.opened, r.opened_exposure) for r in features.velocity(orders, 30).collect()}
+    for i, k, t in rows[::7]:
+        seen = [j for j, m, u in rows if m == k and ((t is None and u is None) or (None not in (t, u) and t - dt.timedelta(30) <= u <= t))]
+        assert found[i] == (len(seen), float(sum(seen))), i
+    got = {r.account: (r.sequence, r.days_since) for r in features.recency(orders).collect()}
+    by = {}
+    for i, k, t in rows:
+        by.setdefault(k, []).append((t is not None, t or dt.datetime.min, i))
+    for mine in by.values():
+        for n, (has, t, i) in enumerate(sorted(mine)):
+            before = sorted(mine)[n - 1] if n else (False, None, None)
+            assert got[i] == (n + 1, (t.date() - before[1].date()).days if has and before[0] else None), i
+
+
+def test_profile_by_sketches(spark):
+    df = spark.range(50_000).select("id", (F.col("id") % 7).alias("few"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("half"), F.lit(None).cast("int").alias("none"), F.array("id").alias("odd.name"))
+    exact = {r.column_name: r for r in quality.profile(df).collect()}
+    assert [exact[c].n_distinct for c in df.columns] == [50_000, 7, 25_000, 0, 50_000] and exact["half"].n_null == 25_000 and exact["none"].least is None
+    rough = {r.column_name: r.n_distinct for r in quality.profile(df, exact=100).collect()}
+    assert rough["few"] == 7 and abs(rough["id"] / 50_000 - 1) < 0.05 and abs(rough["half"] / 25_000 - 1) < 0.05 and rough["none"] == 0
+    assert {r.n_distinct for r in quality.profile(df, exact=0).where("column_name = 'few'").collect()} == {7}
+
+
+def test_fit_on_counts_equals_spark_ml(spark):
+    rows = spark.range(6000).select((F.col("id") % 5 / 2).alias("x1"), (F.col("id") % 7 / 3).alias("x2"), F.rand(3).alias("u"))
+    rows = rows.withColumn("label", (F.col("u") < 1 / (1 + F.exp(-(0.5 + F.col("x1") - 2 * F.col("x2"))))).cast("double"))
+    found = scorecard.fit_counts(rows, ["x1", "x2"], "label")
+    model = scorecard.fit_pd(rows, ["x1", "x2"])
+    w, s = model.stages[2].coefficients, model.stages[1].std
+    assert found["x1"] == pytest.approx(w[0] / s[0], abs=0.01) and found["x2"] == pytest.approx(w[1] / s[1], abs=0.01)
+    assert scorecard.fit_counts(rows.limit(0), ["x1"], "label") == {"intercept": 0.0, "x1": 0.0}
+    flat = scorecard.fit_counts(rows.withColumn("x2", F.lit(1.0)), ["x1", "x2"], "label")
+    assert math.isfinite(flat["x2"])
+
+
+def test_foreign_models_are_loaded_and_see_no_nulls(spark):
+    def load():
+        def model(a, b):
+            assert not (a != a).any() and not (b != b).any()
+            return a + 2 * b
+
+        return model
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 3 != 0, F.col("id").cast("double")).alias("a"), F.lit(1.0).alias("b"))
+    found = scorecard.score_loaded(df, load, ["a", "b"], batch=64)
+    assert found.where("pd = a + 2").count() == 333 and found.where("pd IS NULL").count() == 167
+
+
+def part_of(rows):
+    """The part that each row is in, as a column, from rows (part, ...)."""
+    return F.element_at(F.create_map(*[F.lit(x) for i, p in rows for x in (i, p)]), F.col("event_id").cast("int"))
+
+
+def test_parts_are_batches_of_many_files(spark):
+    rows = [event(i, i, i % 3) for i in range(60)]
+    seen = []
+
+    def run(stream):
+        def put(batch, number):
+            seen.append((batch.count(), batch.rdd.getNumPartitions() if batch.count() else 0))
+
+        stream.writeStream.option("checkpointLocation", folder).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+
+    from quillon.sources.sinks import shared_folder
+
+    folder = shared_folder(spark)
+    table = spark.createDataFrame(rows, EVENTS).repartition(6)
+    behaviour.in_parts(table, F.pmod(F.col("event_id"), F.lit(2)), run)
+    assert [n for n, _ in seen] == [30, 30] and all(parts > 1 for _, parts in seen)
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+    behaviour.in_parts(table.limit(0), F.lit(0), run)
+    assert [n for n, _ in seen][2:] in ([], [0])
+
+
+@pytest.fixture()
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, behaviour.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_ordered_alerts_count_in_order_of_time(spark, rocksdb):
+    """Events out of order within the delay count in order; one behind the watermark is dropped; a borrower with a third of all rows, and null borrowers."""
+    import random
+
+    rng = random.Random(5)
+    rows = [event(i, rng.randint(0, 300), 1 if i % 3 == 0 else rng.choice([None, 2, 3, 4, 5])) for i in range(400)]
+    parts = [(i, rng.randint(0, 1)) for i in range(400)] + [(1000, 2), (1002, 3), (1001, 4)]
+    # a batch is judged by the watermark of the one before the last
+    rows += [event(1000, 5000, 9), event(1002, 5001, 9), event(1001, 10, 1)]
+    found = behaviour.run_in_parts(spark.createDataFrame(rows, EVENTS), part_of(parts), lambda s: behaviour.ordered_alerts(s, 3, 6 * 3600, "20 days", 3600))
+    want = set()
+    for i, t, u, *_ in rows[:400]:
+        n = sum(1 for j, s, v, *_ in rows[:400] if v == u and (s, j) <= (t, i) and s >= t - dt.timedelta(hours=6))
+        if u is not None and n >= 3:
+            want.add((u, i, n))
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_ordered_alerts_forget(spark, rocksdb):
+    """What a span has passed isn't counted again after the state is cleared."""
+    rows = [event(1, 0), event(2, 1), event(3, 500, 2), event(4, 501), event(5, 502), event(6, 2000, 2)]
+    found = behaviour.run_in_parts(spark.createDataFrame(rows, EVENTS), part_of([(1, 0), (2, 0), (3, 1), (4, 2), (5, 2), (6, 3)]), lambda s: behaviour.ordered_alerts(s, 2, 3 * 3600, "4 hours"))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 2), (1, 5, 2)}
+
+
+def test_upsert_reads_and_keeps_live_versions_only(spark, tmp_path):
+    """However many batches there were, a batch reads one version of a bucket; a batch that is run again changes nothing."""
+    import os
+
+    path, state = str(tmp_path / "scores"), str(tmp_path / "state")
+    rows = spark.createDataFrame([event(i, i % 37, i % 5) for i in range(120)], EVENTS).withColumnRenamed("user_id", "borrower")
+    kept = []
+
+    def run(stream):
+        behaviour.upsert_scores(stream, path, state=state, buckets=4)
+        kept.append((sum(len([f for f in fs if f.endswith(".parquet")]) for d, _, fs in os.walk(path) if "/bucket=" in d), len(os.listdir(f"{path}/manifest"))))
+
+    behaviour.in_parts(rows, F.pmod(F.col("event_id"), F.lit(8)), run)
+    want = {}
+    for i in range(120):
+        want[i % 5] = max(want.get(i % 5, (-1, -1)), (i % 37, i))
+    latest = lambda: {r.borrower: r.event_id for r in behaviour.latest_scores(spark, path).collect()}
+    assert latest() == {k: v for k, (_, v) in want.items()}
+    assert max(files for files, _ in kept) <= 8 and {n for _, n in kept[1:]} == {2}
+    with pytest.raises(ValueError, match="no scores"):
+        behaviour.latest_scores(spark, str(tmp_path / "nothing"))
+
+
+def test_upsert_batch_run_again_changes_nothing(spark, tmp_path):
+    """The last batch's commit is lost, as when a driver dies before it is written."""
+    import os
+
+    path, state, folder = str(tmp_path / "scores"), str(tmp_path / "state"), str(tmp_path / "in")
+    latest = lambda: {r.borrower: r.event_id for r in behaviour.latest_scores(spark, path).collect()}
+
+    def run():
+        stream = spark.readStream.schema(EVENTS).parquet(f"{folder}/*").withColumnRenamed("user_id", "borrower")
+        behaviour.upsert_scores(stream, path, state=state, buckets=3)
+
+    for k in range(4):
+        spark.createDataFrame([event(10 * k + i, 10 * k + i, i) for i in range(4)], EVENTS).write.parquet(f"{folder}/{k}")
+        run()
+    before, versions = latest(), sorted(os.listdir(path))
+    assert before == {i: 30 + i for i in range(4)}
+    for name in ("3", ".3.crc"):
+        if os.path.exists(f"{state}/commits/{name}"):
+            os.remove(f"{state}/commits/{name}")
+    run()
+    assert latest() == before and sorted(os.listdir(path)) == versions
