@@ -104,16 +104,24 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, values: np.ndarray,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_LABELLED, features: int = FEATURES) -> OrdinalModel:
-    """Fits on at most about `rows` labelled documents; the labels sent to the executors are bounded by it.
+    """Fits on about `rows` labelled documents at most; the labels sent to the executors and the rows taken to the driver are bounded by it.
 
-    Of labels that repeat for an id the greatest counts; documents that repeat an id are each a row of the sample. Labels or ids that are null teach nothing; null texts have
+    Of labels that repeat for an id the greatest counts; documents that repeat an id are each a row. Where ids repeat so much that the chosen labels have more than twice `rows` documents, these are
+    sampled in turn: of n documents of one id and text n * share are taken, rounded down or up by the text's hash. Labels or ids that are null teach nothing; null texts have
     no features. Without rows of both classes the model judges nothing toxic. The sample is written to the checkpoint folder.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     share = 16**8 if total <= rows else int(16**8 * rows / total)
     chosen = known.where(md5_int(F.col("doc_id")) < share)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    found = docs.select("doc_id").join(F.broadcast(chosen), "doc_id").count()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    if found > 2 * rows:
+        same = sample.groupBy("doc_id", "text", "toxic").agg(F.count("*").alias("n"))
+        spread = md5_int(F.concat_ws("\n", F.col("doc_id").cast("string"), "text")) / float(16**8)
+        take = F.floor(F.col("n") * (rows / found) + spread).cast("int")
+        sample = same.withColumn("take", take).where("take > 0").select("doc_id", "text", "toxic", F.explode(F.sequence(F.lit(1), F.col("take")))).drop("col")
+    sample = written(sample)
 
     def frequencies(batches):
         seen: dict[tuple[str, int], int] = {}
