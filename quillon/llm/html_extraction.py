@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -33,6 +34,8 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: an opening element ends an open paragraph; these end their like within the nearest container
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: elements that only their own end tag ends, or that of the body
+WALLS = frozenset("article main body table".split())
 WORDS = re.compile(r"[a-z]+")
 
 
@@ -50,6 +53,11 @@ class Node:
     link: bool = False
     block: int = 0
     named: int = -1
+    #: text before it and in no block inside it; siblings of its tag and names, where it has names; the most of such siblings among its children
+    before: int = 0
+    direct: int = 0
+    alike: int = 0
+    listed: int = 0
 
 
 @dataclass
@@ -68,10 +76,14 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page([Node("#root")])
         self.open = [0]
-        self.count = {"#root": 1}  # open elements by tag
+        # depths of the open elements by tag, of those that begin a line, and of those that an end tag inside doesn't end
+        self.depths: dict[str, list[int]] = {}
+        self.lines: list[int] = [0]
+        self.walls: list[int] = [0]
         self.run: list[tuple[int, str]] = []
         self.owner = 0
         self.blank = True  # nothing but white space in the run so far
+        self.seen = 0
 
     def updatepos(self, i, j):
         return j  # line numbers aren't used
@@ -93,25 +105,25 @@ class _Builder(HTMLParser):
             self.blank = True
 
     def close_to(self, depth: int) -> None:
-        for at in self.open[depth:]:
+        for at in reversed(self.open[depth:]):
             tag = self.page.nodes[at].tag
-            self.count[tag] -= 1
+            self.depths[tag].pop()
             if tag in BLOCK:
+                self.lines.pop()
                 self.flush()
+            if tag in WALLS:
+                self.walls.pop()
         del self.open[depth:]
 
-    def is_open(self, tags) -> bool:
-        return any(self.count.get(t) for t in tags)
+    def deepest(self, tags) -> int:
+        """Depth of the innermost open element of these tags, 0 for none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
 
     def end_head(self, within: bool = False) -> None:
         """Closes an open head that is the innermost element, or if `within` one that holds it."""
-        if not self.is_open(("head",)):
-            return
-        for d in range(len(self.open) - 1, 0, -1):
-            if self.page.nodes[self.open[d]].tag == "head":
-                self.close_to(d)
-            if not within:
-                break
+        head = self.deepest(("head",))
+        if head and (within or head == len(self.open) - 1):
+            self.close_to(head)
 
     def handle_starttag(self, tag, attrs):
         nodes = self.page.nodes
@@ -119,21 +131,14 @@ class _Builder(HTMLParser):
             self.end_head(within=tag == "body")
         if tag in BLOCK:
             self.flush()
-            for d in range(len(self.open) - 1, 0, -1) if self.is_open(("p",)) else ():
-                t = nodes[self.open[d]].tag
-                if t == "p":
-                    self.close_to(d)
-                    break
-                if t in BLOCK:
-                    break
+            if self.lines[-1] and nodes[self.open[self.lines[-1]]].tag == "p":
+                self.close_to(self.lines[-1])
         if tag in CLOSES:
             ended, within = CLOSES[tag]
-            for d in range(len(self.open) - 1, 0, -1) if self.is_open(ended) else ():
-                t = nodes[self.open[d]].tag
-                if t in ended:
-                    self.close_to(d)
-                if t in within:
-                    break
+            wall = self.deepest(within)
+            inside = [d[k] for t in ended if (d := self.depths.get(t)) and (k := bisect_right(d, wall)) < len(d)]
+            if inside:
+                self.close_to(min(inside))
         values, label = {k: v or "" for k, v in attrs}, None
         if "data-label" in values:
             label = int(values["data-label"] == "main")
@@ -144,15 +149,20 @@ class _Builder(HTMLParser):
         names += ("@hidden",) * ("hidden" in values) + ("@aria-hidden",) * (values.get("aria-hidden") == "true")
         at, up = len(nodes), nodes[parent]
         block, named = (at, -1) if tag in BLOCK else (up.block, at if names else up.named)
-        nodes.append(Node(tag, names, parent, label=label, hidden=hidden, link=up.link or tag == "a", block=block, named=named))
+        nodes.append(Node(tag, names, parent, label=label, hidden=hidden, link=up.link or tag == "a", block=block, named=named, before=self.seen))
         if tag in VOID:
             if tag == "br":
                 self.run.append((-1, " "))
             if tag == "hr":
                 self.flush()
         else:
+            depth = len(self.open)
             self.open.append(len(nodes) - 1)
-            self.count[tag] = self.count.get(tag, 0) + 1
+            self.depths.setdefault(tag, []).append(depth)
+            if tag in BLOCK:
+                self.lines.append(depth)
+            if tag in WALLS:
+                self.walls.append(depth)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -160,13 +170,9 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        nodes = self.page.nodes
-        for d in range(len(self.open) - 1, 0, -1) if self.is_open((tag,)) else ():
-            if nodes[self.open[d]].tag == tag:
-                self.close_to(d)
-                break
-            if nodes[self.open[d]].tag in ("article", "main", "body", "table") and tag not in ("body", "html"):
-                break
+        depth = self.deepest((tag,))
+        if depth and (depth >= self.walls[-1] or tag in ("body", "html")):
+            self.close_to(depth)
 
     def handle_data(self, data):
         if data.strip():
@@ -176,6 +182,8 @@ class _Builder(HTMLParser):
             return
         size = len(data.strip())
         at.text += size
+        self.page.nodes[at.block].direct += size
+        self.seen += size
         at.linked += size * at.link
         at.stops += sum(map(data.count, ".!?")) if size else 0
         if self.blank:
@@ -196,26 +204,33 @@ def parse(html: str | None) -> Page:
         up.text += n.text
         up.linked += n.linked
         up.stops += n.stops
+    groups = Counter((n.parent, n.tag, n.names) for n in nodes if n.names and n.tag in BLOCK)
+    for n in nodes[1:]:
+        if n.names and n.tag in BLOCK:
+            n.alike = groups[n.parent, n.tag, n.names]
+            nodes[n.parent].listed = max(nodes[n.parent].listed, n.alike)
     return builder.page
 
 
 SIZES = (1, 4, 10, 40, 100, 400)
 
 
-def node_key(node: Node, parent: Node | None) -> tuple:
-    """All that the features of a node depend on."""
+def node_key(node: Node, parent: Node | None, total: int) -> tuple:
+    """All that the features of a node depend on; `total` is the page's text."""
     links = min(3, 4 * node.linked // node.text) if node.text else 0
-    return node.tag, node.names, bisect_right(SIZES, node.text), links, min(3, node.stops), parent.tag if parent is not None else ""
+    place = min(3, 4 * node.before // total) if total else 0
+    return node.tag, node.names, bisect_right(SIZES, node.text), links, min(3, node.stops), parent.tag if parent is not None else "", place, min(3, node.alike), min(3, node.listed), min(3, 4 * node.text // total) if total else 0, min(2, 1 + 2 * node.direct // node.text) if node.direct else 0
 
 
-def node_features(node: Node, parent: Node | None) -> list[str]:
-    tag, names, size, links, stops, up = node_key(node, parent)
-    return ["bias", "tag=" + tag, f"size={size}", f"links={links}", f"stops={stops}", "up=" + up, *("name=" + n for n in names)]
+def node_features(node: Node, parent: Node | None, total: int) -> list[str]:
+    tag, names, size, links, stops, up, place, alike, listed, share, direct = node_key(node, parent, total)
+    section = tag if tag in ("article", "main", "body", "#root") else "section" if edge_kind(node) in ("div", "section") else edge_kind(node)
+    return ["bias", "tag=" + tag, f"size={size}", f"links={links}", f"stops={stops}", "up=" + up, f"place={section}{place}", f"alike={section}{alike}", f"listed={section}{listed}", f"share={section}{share}", f"direct={section}{direct}", *("name=" + n for n in names)]
 
 
 def edge_kind(node: Node) -> str:
     """What the strength of a tie to the parent depends on: sections may differ from their parent, running text hardly does."""
-    if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dd", "dt", "dl", "figure", "figcaption"):
+    if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "table", "dd", "dt", "dl", "figure", "figcaption", "summary", "details"):
         return "flow"
     if node.tag in ("article", "main", "div"):
         return node.tag
@@ -235,15 +250,15 @@ class TreeModel:
 
     def potentials(self, page: Page) -> list[float]:
         """Log-potential of content, over boilerplate, of each node."""
-        nodes, out = page.nodes, []
+        nodes, out, total = page.nodes, [], page.nodes[0].text
         for n in nodes:
             parent = nodes[n.parent] if n.parent >= 0 else None
-            key = node_key(n, parent)
+            key = node_key(n, parent, total)
             x = self.known.get(key)
             if x is None:
                 if len(self.known) > 100_000:
                     self.known.clear()
-                x = self.known[key] = sum(self.weights.get(f, 0.0) for f in node_features(n, parent))
+                x = self.known[key] = sum(self.weights.get(f, 0.0) for f in node_features(n, parent, total))
             out.append(x)
         return out
 
@@ -290,36 +305,71 @@ def _log_add(a: float, b: float) -> float:
 
 
 def labelled(page: Page) -> np.ndarray:
-    """Labels of the nodes: an element's own, else that of its parent; the root is boilerplate."""
+    """Labels of the nodes: an element's own, else that of its parent. The root is boilerplate, but content in a page without any label, which is main text as a whole."""
     out = np.zeros(len(page.nodes), int)
-    for i, n in enumerate(page.nodes):
-        out[i] = n.label if n.label is not None else out[n.parent] if i else 0
+    out[0] = all(n.label is None for n in page.nodes)
+    for i, n in enumerate(page.nodes[1:], 1):
+        out[i] = n.label if n.label is not None else out[n.parent]
     return out
 
 
+class _Forest:
+    """The nodes of many pages in arrays, for messages in all pages at once, depth by depth."""
+
+    def __init__(self, pages: list[Page]):
+        nodes = [n for p in pages for n in p.nodes]
+        first = np.repeat(np.cumsum([0, *(len(p.nodes) for p in pages)])[:-1], [len(p.nodes) for p in pages])
+        own = np.array([n.parent for n in nodes])
+        self.inner = np.flatnonzero(own >= 0)
+        self.parent = np.where(own >= 0, own + first, 0)
+        self.kind = np.array([KINDS.index(edge_kind(n)) for n in nodes])
+        depth = np.zeros(len(nodes), int)
+        for i in self.inner:
+            depth[i] = depth[self.parent[i]] + 1
+        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max(initial=0) + 1)]
+
+    def marginals(self, own: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(content) of each node, and P(parent's label, node's label) of each that has a parent."""
+        ties, parent = edges[self.kind], self.parent
+        up = np.stack([np.zeros(len(own)), own], 1)
+        sent = np.zeros_like(up)
+        for at in reversed(self.levels):
+            sent[at] = np.logaddexp(ties[at, :, 0] + up[at, :1], ties[at, :, 1] + up[at, 1:])
+            np.add.at(up, parent[at], sent[at])
+        full = up.copy()
+        for at in self.levels:
+            rest = full[parent[at]] - sent[at]  # the parent without this child
+            full[at] += np.logaddexp(rest[:, :1] + ties[at, 0], rest[:, 1:] + ties[at, 1])
+        at = self.inner
+        joint = (full[parent[at]] - sent[at])[:, :, None] + ties[at] + up[at][:, None, :]
+        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+        return 1 / (1 + np.exp(np.clip(full[:, 0] - full[:, 1], -60, 60))), joint / joint.sum(axis=(1, 2), keepdims=True)
+
+
+#: names that begin so stand for any that the model doesn't know
+UNKNOWN = "zz"
+
+
 def fit(pages: tuple[str, ...] = PAGES, steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> TreeModel:
     """Fits node and edge weights to labelled pages, elements of which carry data-label="main" or "other"."""
     parsed = [parse(p) for p in pages]
-    labels = [labelled(p) for p in parsed]
-    names = [[node_features(n, p.nodes[n.parent] if n.parent >= 0 else None) for n in p.nodes] for p in parsed]
-    index = {f: i for i, f in enumerate(sorted({f for page in names for node in page for f in node}))}
-    flat = [(np.repeat(np.arange(len(page)), [len(x) for x in page]), np.array([index[f] for x in page for f in x])) for page in names]
-    w = np.zeros(len(index) + 4 * len(KINDS))
+    y = np.concatenate([labelled(p) for p in parsed])
+    names = [[f for f in node_features(n, p.nodes[n.parent] if n.parent >= 0 else None, p.nodes[0].text) if not f.startswith("name=" + UNKNOWN)] for p in parsed for n in p.nodes]
+    index = {f: i for i, f in enumerate(sorted({f for node in names for f in node}))}
+    rows, cols = np.repeat(np.arange(len(names)), [len(x) for x in names]), np.array([index[f] for x in names for f in x])
+    forest, k = _Forest(parsed), len(index)
+    seen = np.zeros((len(KINDS), 2, 2))
+    np.add.at(seen, (forest.kind[forest.inner], y[forest.parent[forest.inner]], y[forest.inner]), 1)
+    w = np.zeros(k + seen.size)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        g = -decay * w * len(parsed)
-        model = TreeModel({}, {k: w[len(index) + 4 * i :][:4].reshape(2, 2) for i, k in enumerate(KINDS)})
-        for page, y, (rows, cols) in zip(parsed, labels, flat):
-            own = np.bincount(rows, w[cols], len(y))
-            p, joint = np.array(model.content(page, own)), model.joints(page, own)
-            g[: len(index)] += np.bincount(cols, (y - p)[rows], len(index))
-            for i, n in enumerate(page.nodes[1:], 1):
-                k = len(index) + 4 * KINDS.index(edge_kind(n))
-                g[k : k + 4] -= joint[i].ravel()
-                g[k + 2 * y[n.parent] + y[i]] += 1
+        p, joint = forest.marginals(np.bincount(rows, w[cols], len(y)), w[k:].reshape(seen.shape))
+        expected = np.zeros_like(seen)
+        np.add.at(expected, forest.kind[forest.inner], joint)
+        g = np.concatenate([np.bincount(cols, (y - p)[rows], k), (seen - expected).ravel()]) - decay * w * len(parsed)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return TreeModel({f: float(w[i]) for f, i in index.items()}, {k: w[len(index) + 4 * i :][:4].reshape(2, 2).copy() for i, k in enumerate(KINDS)})
+    return TreeModel({f: float(w[i]) for f, i in index.items()}, {kind: w[k + 4 * i :][:4].reshape(2, 2).copy() for i, kind in enumerate(KINDS)})
 
 
 @lru_cache(maxsize=1)

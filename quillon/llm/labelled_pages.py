@@ -99,6 +99,61 @@ def _layouts() -> list[str]:
         tag = ("span", "a", "small", "span")[i % 4]
         out.append(f"<article data-label='main'><h1>River</h1><p>{_MID} <{tag} class='{name}' data-label='other'>Buy two chairs now.</{tag}> {_SHORT}</p><p>{_LONG}</p></article>")
         out.append(f"<main data-label='main'><p>{_SHORT} <{tag} class='{name} box' data-label='other'>{_SHORT}</{tag}></p><p>{_LONG}</p></main>")
+    # pages of bare text, text right in the body or in divisions without names
+    for text in (_SHORT, _MID, _LONG, f"{_MID}<br>{_SHORT}", f"{_MID}<br><br>{_LONG}", "Wet fields", f"<b>River</b> {_MID}"):
+        out.append(text)  # a page without labels is main text as a whole
+        out.append(f"<html><body data-label='main'>{text}</body></html>")
+        out.append(f"<html><head><title>T</title></head><body data-label='main'>{text}<p>{_SHORT}</p></body></html>")
+        out.append(f"<html><body data-label='other'><div data-label='main'><h2>River</h2>{text}</div></body></html>")
+        out.append(f"<html><body data-label='other'>{nav}<div data-label='main'>{text}</div>{footer}</body></html>")
+        out.append(f"<body data-label='other'><center data-label='main'><h1>River</h1></center><div data-label='main'>{text}</div><hr><a href='/' data-label='other'>Home</a></body>")
+        out.append(f"<body data-label='main'><center><h1>River</h1></center>{text}<p>{_MID}</p><hr><a href='/' data-label='other'>Home</a></body>")
+    for links in ("<a href='/a'>Home</a> <a href='/b'>News</a>", "<a href='/a'>Home</a> | <a href='/b'>News</a> | <a href='/c'>About</a>", _MENU):
+        for last in ("Powered by Farm", "&copy; 2020 The Paper", "All rights reserved.", f"{links}"):
+            out.append(f"<body><div data-label='other'>{links}</div><div data-label='main'><p>{_MID}</p></div><div data-label='other'>{last}</div></body>")
+            out.append(f"<html><body><div><div class='zz1' data-label='other'>{links}</div><div class='zz2' data-label='main'><h1>River</h1>{_P}</div><div class='zz3' data-label='other'>{last}</div></div></body></html>")
+            out.append(f"<body><div data-label='other'>{links}</div><div data-label='main'><h2>River</h2>{_MID}<br>{_SHORT}</div><div data-label='other'>{last}</div></body>")
+    # readers and notices by what they look like: names that say nothing, repeated blocks after the text, short notices before it
+    for i, (one, two) in enumerate(((_SHORT, _MID), (_MID, _SHORT), ("Wet!", _SHORT), (_LONG, _MID))):
+        for who in ("<b>Ann</b>", "<span>Ann, 3 May</span>", "<h4>Ann</h4>", "<a href='/u/1'>Ann</a> "):
+            replies = f"<div class='zz2'>{who}<p>{one}</p></div><div class='zz2'>{who}<p>{two}</p></div>" + f"<div class='zz2'>{who}<p>{_SHORT}</p></div>" * (i % 3)
+            items = replies.replace("<div", "<li").replace("</div", "</li")
+            out.append(f"<body><article data-label='main'><h1>River</h1>{_P}</article><div class='zz1' data-label='other'>{replies}</div></body>")
+            out.append(f"<body>{nav}<div class='content' data-label='main'><h1>River</h1>{_P}</div><section class='zz1' data-label='other'><h3>Voices</h3>{replies}</section>{footer}</body>")
+            out.append(f"<article data-label='main'><h1>River</h1>{_P}<div class='zz1' data-label='other'>{replies}</div></article>")
+            out.append(f"<main data-label='main'><h1>River</h1><p>{_LONG}</p><section id='zz1' data-label='other'><h2>2 voices</h2><ul>{items}</ul></section></main>")
+            out.append(f"<body><div class='zz3' data-label='main'><h1>River</h1>{_P}</div><div class='zz1' data-label='other'>{replies}</div></body>")
+    for ask in ("<button>Yes</button>", "<a href='/p'>More</a> <button>Yes</button>", "<form><button>Yes</button></form>"):
+        for text in (_SHORT, _MID):
+            out.append(f"<body><div class='zz1' data-label='other'><p>{text}</p>{ask}</div><main data-label='main'><h1>River</h1>{_P}</main></body>")
+            out.append(f"<body><div class='zz1 consent layer' data-label='other'><p>{text}</p>{ask}</div><article data-label='main'><h1>River</h1>{_P}</article>{footer}</body>")
+            out.append(f"<body>{nav}<article data-label='main'><h1>River</h1>{_P}</article><div class='zz1' data-label='other'><div class='zz2'>{text} {ask}</div></div></body>")
+    # sections of a text, to its end
+    part = "<{0}><h2>{1}</h2><p>{2}</p></{0}>"
+    for tag in ("section", "div"):
+        for texts in ((_LONG, _MID), (_MID, _SHORT, _MID), (_MID, _LONG, _SHORT, _MID), (_SHORT, _LONG)):
+            parts = "".join(part.format(tag, f"Day {k}", text) for k, text in enumerate(texts))
+            out.append(f"<article data-label='main'><h1>River</h1>{parts}</article>")
+            out.append(f"<body>{nav}<article data-label='main'><h1>River</h1>{parts}<aside data-label='other'><p>{_MID}</p></aside></article>{footer}</body>")
+            out.append(f"<html><body>{nav}<main data-label='main'>{parts}</main><aside data-label='other'><h3>More</h3><p>{_LONG}</p></aside>{footer}</body></html>")
+            out.append(f"<body><div class='zz1' data-label='main'><h1>River</h1>{parts}</div>{footer}</body>")
+    for side in (_MENU, "<a href='/'>Home</a> <a href='/n'>News</a>", "<a href='/a'>Home</a><br><a href='/b'>World news</a>"):
+        for text in (f"<p>{_MID}</p>", f"<p>{_SHORT}</p>", f"<h2>River</h2><p>{_MID}</p>", _MID, f"{_MID}<br>{_SHORT}"):
+            out.append(f"<body><table><tr><td data-label='other'>{side}</td><td data-label='main'>{text}</td></tr></table></body>")
+    for name, lines in (("zz1", (_MID, _LONG, _MID)), ("zz1 par", (_MID, _SHORT)), ("zz1", (_SHORT, _MID, _SHORT, _MID)), ("zz1", (_MID, _MID, _MID)), ("zz1", (_SHORT, _SHORT, _SHORT))):  # divisions for paragraphs
+        texts = "".join(f"<div class='{name}'>{t}</div>" for t in lines)
+        out.append(f"<html><body data-label='main'>{texts}</body></html>")
+        out.append(f"<body><div class='zz2' data-label='main'>{texts}</div></body>")
+        out.append(f"<body>{nav}<div class='zz2' data-label='main'><h1>River</h1>{texts}</div>{footer}</body>")
+        out.append(f"<article data-label='main'><h1>River</h1>{texts}</article>")
+    # repeated named blocks that are the text itself, and boxes in it
+    for name in ("zz1", "zz1 step"):
+        out.append(f"<article data-label='main'><h1>River</h1><ol class='zz2'><li class='{name}'>{_SHORT}</li><li class='{name}'>Wet fields.</li><li class='{name}'>{_SHORT}</li></ol><p>{_MID}</p></article>")
+        out.append(f"<body>{nav}<article data-label='main'><h1>River</h1><p class='{name}'>{_MID}</p><p class='{name}'>{_LONG}</p><p class='{name}'>{_SHORT}</p></article>{footer}</body>")
+        out.append(f"<body>{nav}<div data-label='main'><div class='{name}'><h2>River</h2>{_P}</div><div class='{name}'><h2>Night</h2><p>{_LONG}</p></div><div class='{name}'><p>{_MID}</p></div></div>{footer}</body>")
+        out.append(f"<body><section data-label='main'><h2>River</h2><p>{_LONG}</p></section><section data-label='main'><h2>Night</h2><p>{_MID}</p></section>{footer}</body>")
+        out.append(f"<article data-label='main'><h1>River</h1><p>{_LONG}</p><details><summary>In short</summary><p>{_SHORT}</p></details><div class='{name}'><p>{_MID}</p></div></article>")
+        out.append(f"<article data-label='main'><h1>River</h1><p>{_LONG}</p><figure class='{name}'><figcaption>{_SHORT}</figcaption></figure><blockquote class='{name}'>{_MID}</blockquote></article>")
     return out
 
 
