@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -63,14 +64,18 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     """
     template = template or Template()
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", role.alias("role"), text.alias("text")))).alias("turns"))
     a, b, c = template.other
+    opened = _mark(F.col("role"), template.opens, F.concat(F.lit(a), escape(F.col("role"), template), F.lit(b)))
+    closed = _mark(F.col("role"), template.closes, F.lit(c))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumns({"opened": opened, "body": escape(F.col("text"), template), "closed": closed})
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = F.length("opened") + F.length("body") + F.length("closed")
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumns({"k": F.row_number().over(order), "start": (before + F.length("opened")).cast("int"), "loss": F.col("role").isin(*template.loss)})
+    per = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "role", "opened", "body", "closed", "start", "loss"))).alias("turns"))
 
     def segments(t: Column) -> Column:
-        opened = _mark(t["role"], template.opens, F.concat(F.lit(a), escape(t["role"], template), F.lit(b)))
-        closed = _mark(t["role"], template.closes, F.lit(c))
-        flag = t["role"].isin(*template.loss)
-        return F.array(F.struct(opened.alias("text"), F.lit(False).alias("loss")), F.struct(escape(t["text"], template).alias("text"), flag.alias("loss")), F.struct(closed.alias("text"), F.lit(False).alias("loss")))
+        return F.array(F.struct(t["opened"].alias("text"), F.lit(False).alias("loss")), F.struct(t["body"].alias("text"), t["loss"].alias("loss")), F.struct(t["closed"].alias("text"), F.lit(False).alias("loss")))
 
     moves = F.create_map(*[F.lit(x) for k, v in template.follows.items() for x in (k, "|" + "|".join(v) + "|")])
 
@@ -81,15 +86,10 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 
     start = F.struct(F.lit("").alias("role"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
     final = F.aggregate("turns", start, step)
-    spans_start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def span(state: Column, s: Column) -> Column:
-        end = state["at"] + F.length(s["text"])
-        return F.struct(end.alias("at"), F.when(s["loss"], F.concat(state["spans"], F.array(F.struct(state["at"].alias("start"), end.alias("end"))))).otherwise(state["spans"]).alias("spans"))
-
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["body"])).alias("end")))
     out = per.withColumns({"segments": F.flatten(F.transform("turns", segments)), "_final": final})
     invalid = F.when(F.col("_final.bad").isNotNull(), F.col("_final.bad")).when(~F.col("_final.role").isin(*template.ends), F.col("_final.at"))
-    return out.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), F.aggregate("segments", spans_start, span)["spans"].alias("loss_spans"), "segments", invalid.isNull().alias("valid"), invalid.alias("invalid_turn"))
+    return out.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), spans.alias("loss_spans"), "segments", invalid.isNull().alias("valid"), invalid.alias("invalid_turn"))
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
