@@ -80,13 +80,16 @@ class Index:
         # a window with a term that no document has can't match
         lists = lists.where((F.col("has") == span) & (F.col("at") + span <= F.col("n")))
         two = lists.select("row", F.col("rarest")[0].alias("a"), F.get("rarest", F.lit(1)).alias("b")).select("row", F.col("a.at").alias("at"), F.col("a.term").alias("term"), F.col("b.at").alias("at2"), F.col("b.term").alias("term2")).distinct()
-        two = written(two)
-        key = ["d", "h", "row", "at", "at2", "shift"]
-        shift = (F.col("pos") - F.col("at")).alias("shift")
-        first = self.listed(two.drop("term2")).select(*key[:-1], shift)
-        second = self.listed(two.where("at2 IS NOT NULL").select("row", "at", "at2", F.col("term2").alias("term"))).select(*key[:-1], (F.col("pos") - F.col("at2")).alias("shift"))
-        both = first.where("at2 IS NOT NULL").join(second, key, "left_semi").union(first.where("at2 IS NULL"))
-        shifts = written(both.select("d", "h", "row", "shift").distinct())
+        two = written(two.withColumn("apart", F.col("at2") - F.col("at")))
+        # windows that many items share are looked up once: as two terms and how far they stand apart
+        pairs = two.select(F.col("term").alias("a"), F.col("term2").alias("b"), "apart").distinct()
+        key = ["d", "h", "a", "b", "apart", "pos"]
+        first = self.listed(pairs.withColumn("term", F.col("a"))).select(*key)
+        second = self.listed(pairs.where("b IS NOT NULL").withColumn("term", F.col("b"))).select(*key[:-1], (F.col("pos") - F.col("apart")).alias("pos"))
+        met = first.where("b IS NOT NULL").join(second, key, "left_semi").union(first.where("b IS NULL"))
+        places = two.select("row", "at", F.col("term").alias("a"), F.coalesce("term2", F.lit("")).alias("b"), F.coalesce("apart", F.lit(0)).alias("apart"))
+        both = met.withColumns({"b": F.coalesce("b", F.lit("")), "apart": F.coalesce("apart", F.lit(0))}).join(_side(places, self.small), ["a", "b", "apart"]).select("d", "h", "row", (F.col("pos") - F.col("at")).alias("shift"))
+        shifts = written(both.distinct())
         some = shifts.select("d", "h").distinct()
         few = some.limit(MAX_DOCS + 1).count() <= MAX_DOCS
         lists = self.postings.where("term != ''").join(_side(some, few), ["d", "h"], "left_semi").select("d", "h", "term", (F.col("pos") - 1).alias("pos"))
