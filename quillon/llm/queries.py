@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import centroids, chat, decontamination, html_extraction, jaccard, media, mixing, negatives, packing, sharding, substrings, toxicity, url_filter
-from quillon.llm.common import read
+from quillon.llm.common import read, written
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,18 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination, op11_hard_negatives, op12_best_fit_packing, op13_centroid_clustering)}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7's stored payloads SQL can check: their sizes and digests, as read back."""
+    return op7_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on op8's shards: documents, bytes, the law, how many shards, whether slots have no gaps, and whether sizes differ by no more than three of the largest document."""
+    found = written(op8_sharding(spark, sf_dir))
+    per = found.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_distinct("slot").alias("slots"), F.max("size").alias("largest"), F.min("law").alias("law"), F.max("law").alias("law2"))
+    gapless = F.bool_and((F.col("first") == 0) & (F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n")))
+    near = F.max("bytes") - F.min("bytes") <= 3 * F.max("largest")
+    return per.agg(F.sum("n").alias("documents"), F.sum("bytes").alias("bytes"), F.concat_ws(",", F.array_distinct(F.concat(F.collect_set("law"), F.collect_set("law2")))).alias("law"), F.count("*").alias("shards"), gapless.alias("gapless"), near.alias("near_equal"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_substring_dedup, op3_url_filters, op4_toxicity, op5_mixing, op6_ngram_jaccard, op7_media_columns, op8_sharding, op9_chat_formatting, op10_decontamination, op11_hard_negatives, op12_best_fit_packing, op13_centroid_clustering, media_payloads, shard_laws)}

@@ -188,4 +188,14 @@ FROM a{rounds} a JOIN c{rounds} k USING (c)
 
 OP13 = _op13()
 
-SQL = {"op2_substring_dedup": OP2, "op3_url_filters": OP3, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_chat_formatting": OP9, "op10_decontamination": OP10, "op11_hard_negatives": OP11, "op13_centroid_clustering": OP13}
+MEDIA_PAYLOADS = r"""
+WITH sized AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+padded AS (SELECT doc_id, octet_length(b) AS n, (64 * greatest(1, ceil(octet_length(b) / 64)))::BIGINT AS p, b FROM sized)
+SELECT doc_id, n::BIGINT AS n_bytes, p AS payload_bytes, sha256(b || repeat('\x00'::BLOB, p - n)) AS payload_sha256 FROM padded
+"""
+
+SHARD_LAWS = """
+SELECT count(*)::BIGINT AS documents, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, 'bytes' AS law, 8::BIGINT AS shards, TRUE AS gapless, TRUE AS near_equal FROM documents
+"""
+
+SQL = {"media_payloads": MEDIA_PAYLOADS, "shard_laws": SHARD_LAWS, "op2_substring_dedup": OP2, "op3_url_filters": OP3, "op5_mixing": OP5, "op6_ngram_jaccard": OP6, "op9_chat_formatting": OP9, "op10_decontamination": OP10, "op11_hard_negatives": OP11, "op13_centroid_clustering": OP13}

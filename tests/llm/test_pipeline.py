@@ -1,10 +1,17 @@
 """Each stage of the pipeline against brute force on what it was given."""
 
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import decontamination, mixing, toxicity
 from quillon.llm.common import read
+from quillon.llm.sql import OP5, OP10
 from tests.llm.test_edges import brute_components
 
 
@@ -40,6 +47,48 @@ def test_stages(spark, small, tmp_path):
     assert sharded.agg(F.count_distinct("shard")).first()[0] == 8
 
 
+def test_stages_against_plain_rules(spark, small, tmp_path):
+    """Toxicity by loops over words, decontamination and mixing by SQL in another engine, sharding by its law, each on what its predecessor kept."""
+    docs, kept = read(spark, small, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, small).write.parquet(str(tmp_path / name))
+        kept[name] = docs = spark.read.parquet(str(tmp_path / name))
+
+    source = read(spark, small, "documents")
+    model = toxicity.fit(source, read(spark, small, "labels"))
+
+    def toxic(text):
+        counts = Counter()
+        for word in re.findall(r"\w+", (text or "").lower()):
+            counts.update(f for f in ["=" + word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)] if f in model.index)
+        z = sum(model.weights[model.index[f]] * math.log1p(n) for f, n in counts.items())
+        return 1 / (1 + math.exp(model.thresholds[0] - z)) >= 0.5
+
+    want = sorted(r.doc_id for r in source.collect() if not toxic(r.text))
+    assert sorted(r.doc_id for r in kept["toxicity"].collect()) == want and len(want) < source.count()
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{small}/benchmark.parquet'")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/near_copies/*.parquet'")
+    clean = sorted(r[0] for r in con.sql(f"SELECT doc_id FROM ({OP10}) WHERE NOT contaminated").fetchall())
+    assert sorted(r.doc_id for r in kept["decontamination"].collect()) == clean and len(clean) < kept["near_copies"].count()
+
+    con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/decontamination/*.parquet'")
+    copies = con.sql(f"SELECT doc_id, taken FROM ({OP5.replace('(size * (floor', '(1 * (floor')}) WHERE taken > 0").fetchall()
+    assert {r.doc_id: r["count"] for r in kept["mixing"].groupBy("doc_id").count().collect()} == dict(copies)
+
+    texts = {r.doc_id: (r.text or "").encode() for r in kept["mixing"].collect()}
+    rows = kept["sharding"].collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in kept["mixing"].collect())
+    assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id])) for r in rows)
+    sizes, slots = Counter(), {}
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 3 * max(r.size for r in rows)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_run_equals_the_stages(spark, small):
     found = corpus_pipeline.run(spark, small)
     assert found.count() > 0 and {"doc_id", "shard", "slot"} <= set(found.columns)
