@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from quillon.operators.scorecard import binned_counts
 
 
+#: least and greatest score
+ENDS = (0.0, 1.0)
+
+
 def per_score(scored: DataFrame, score: str = "pd", label: str = "bad") -> DataFrame:
     return scored.groupBy(F.round(score, 6).alias("score")).agg(F.count_if(F.col(label) == 0).alias("g"), F.count_if(F.col(label) == 1).alias("b"))
 
@@ -39,7 +43,7 @@ def ks(scored: DataFrame) -> DataFrame:
 
 def gains_table(scored: DataFrame, n: int = 10) -> DataFrame:
     """Per score bin, 1 the lowest: accounts, bads, bad rate, share of all bads in it and the higher ones, and lift. Null scores are left out; without bads capture and lift are null."""
-    per = binned_counts(_rounded(scored), "pd", n, {"bads": F.sum("bad")}).withColumnRenamed("n", "accounts")
+    per = binned_counts(_rounded(scored), "pd", n, {"bads": F.sum("bad")}, ends=ENDS).withColumnRenamed("n", "accounts")
     every, down = Window.partitionBy(), Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     rate = F.col("bads") / F.col("accounts")
     return per.select("bin", "accounts", "bads", F.round(rate, 6).alias("bad_rate"), F.round(F.try_divide(F.sum("bads").over(down), F.sum("bads").over(every)), 6).alias("capture"), F.round(F.try_divide(rate, F.sum("bads").over(every) / F.sum("accounts").over(every)), 6).alias("lift"))
@@ -57,7 +61,7 @@ def calibration(scored: DataFrame, n: int = 10) -> DataFrame:
     """Per score bin: accounts, mean score and bad rate; and for all rows the Brier score and the Hosmer-Lemeshow sum. Null scores are left out; a bin of mean score 0 or 1 expects no variance and adds nothing to the sum, which is null where all bins are such."""
     square = (F.col("pd") - F.col("bad")) * (F.col("pd") - F.col("bad"))
     sums = {"p": F.sum(F.col("pd").cast("decimal(18,6)")), "b": F.sum("bad"), "s": F.sum(F.round(square, 12).cast("decimal(24,12)"))}
-    per = binned_counts(_rounded(scored), "pd", n, sums).withColumns({"p": F.col("p").cast("double"), "s": F.col("s").cast("double")})
+    per = binned_counts(_rounded(scored), "pd", n, sums, ends=ENDS).withColumns({"p": F.col("p").cast("double"), "s": F.col("s").cast("double")})
     every = Window.partitionBy()
     hl = F.try_divide((F.col("b") - F.col("p")) * (F.col("b") - F.col("p")), F.col("p") * (1 - F.col("p") / F.col("n")))
     return per.select("bin", F.col("n").alias("accounts"), F.round(F.col("p") / F.col("n"), 6).alias("mean_pd"), F.round(F.col("b") / F.col("n"), 6).alias("bad_rate"), F.round(F.sum("s").over(every) / F.sum("n").over(every), 6).alias("brier"), F.round(F.sum(hl).over(every), 4).alias("hosmer_lemeshow"))
@@ -65,7 +69,7 @@ def calibration(scored: DataFrame, n: int = 10) -> DataFrame:
 
 def psi(scored: DataFrame, period: str, base: str, n: int = 10, floor: float = 1e-4) -> DataFrame:
     """Per period: the population stability index of its scores against the base period's, over bins of all scores; shares have a floor. Rows without a period are a period (null), null scores are left out; without rows in the base period the index is null."""
-    counts = binned_counts(_rounded(scored), "pd", n, {}, [period]).withColumnRenamed(period, "_p")
+    counts = binned_counts(_rounded(scored), "pd", n, {}, [period], ENDS).withColumnRenamed(period, "_p")
     share = counts.select("_p", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("_p"))).alias("share"))
     expected = share.where(F.col("_p") == base).select(F.col("bin").alias("_b"), F.col("share").alias("e"))
     there = expected.agg((F.count("*") > 0).alias("_there"))

@@ -38,10 +38,10 @@ HOT = 64
 def hot_keys(keys: DataFrame, key: str, time: str, parts: int = HOT) -> DataFrame | None:
     """The keys that have more than one in `parts` of the rows, so fewer than `parts`, as a table (`_hot`, `_edges`: times that cut the key's rows into about `parts` equal ranges); None if there are none."""
     counts = keys.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    hot = counts.where(F.col("_n") > max(total / parts, parts)).select("_hot").collect()
-    if not hot:
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    if not total or most <= max(total / parts, parts):
         return None
+    hot = counts.where(F.col("_n") > max(total / parts, parts)).select("_hot").collect()
     named = keys.sparkSession.createDataFrame(hot, counts.select("_hot").schema)
     rows = keys.join(F.broadcast(named), F.col(key).eqNullSafe(F.col("_hot")))
     shares = [i / parts for i in range(1, parts)]

@@ -37,15 +37,15 @@ def quantile_bins(df: DataFrame, column: str, n: int, approx: bool = False) -> D
 RANGES = 1000
 
 
-def binned_counts(df: DataFrame, column: str, n: int, sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+def binned_counts(df: DataFrame, column: str, n: int, sums: dict[str, Column], by: list[str] | None = None, ends: tuple[float, float] | None = None) -> DataFrame:
     """Per bin of quantile_bins (and `by`): `n` and sums over its rows, from one pass over the rows; nulls are left out.
 
     Rows are summed per value, and that table is written, so the column should have few distinct values (rounded scores have at most a million). Values are dealt to ranges of
-    equal width; the running sum goes over one sum per range, and then inside each range by itself.
+    equal width, between `ends` if they are known; the running sum goes over one sum per range, and then inside each range by itself.
     """
     by = by or []
     counts = written(df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"), *[f.alias(k) for k, f in sums.items()]))
-    least, most = counts.agg(F.min(column), F.max(column)).first()
+    least, most = ends or counts.agg(F.min(column), F.max(column)).first()
     wide = most - least if least is not None and most > least else 1
     dealt = counts.withColumn("_r", F.floor((F.col(column) - F.lit(least or 0)) / F.lit(wide) * RANGES))
     per = dealt.groupBy("_r").agg(F.sum("n").alias("_s"))  # RANGES + 1 rows at most

@@ -28,11 +28,13 @@ def read_table(spark: SparkSession, directory: str, name: str, fmt: str = "parqu
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
 
 
-def read_stream(spark: SparkSession, directory: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """A table as a stream of its files."""
-    reader = spark.readStream.schema(SCHEMAS[name])
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
+#: files of a batch
+PER_TRIGGER = 1000
+
+
+def read_stream(spark: SparkSession, directory: str, name: str, per_trigger: int = PER_TRIGGER) -> DataFrame:
+    """A table as a stream of its files, at most `per_trigger` a batch."""
+    reader = spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", per_trigger)
     # a pattern, so that the table may be a file or a folder
     return reader.parquet(f"{directory}/{name}.parque[t]")
 
