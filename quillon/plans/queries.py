@@ -183,7 +183,8 @@ def quantile_bins(spark, d):
 
 @query
 def woe_iv(spark, d):
-    return scorecard.woe_iv(scorecard.quantile_bins(labelled(spark, d), "balance", 10), "bad")
+    rows = sinks.written(labelled(spark, d).select("account", "balance", "bad"))  # read for the cuts and for the bins
+    return scorecard.woe_iv(scorecard.quantile_bins(rows, "balance", 10), "bad")
 
 
 @query
