@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, UPPER
+from quillon.llm.common import LOWER, UPPER, written
 
 #: (verdict, host, path prefix)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -142,29 +143,28 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     lengths = sorted({len(p) for _, _, p in rules})
     keyed = candidates(parts, lengths)
     table = spark.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, host string, path string").select("verdict", key_hash(F.col("host"), F.col("path")).alias("key")).toPandas()
-    # distinct hosts and path prefixes first: the universe is far smaller than the pages
-    universe = keyed.select(F.explode("keys.key").alias("key")).distinct()
+    # distinct hosts and path prefixes: the universe is far smaller than the pages; it is read once for its size and once per list
+    universe = written(keyed.select(F.explode("keys.key").alias("key")).distinct())
     size = universe.count()
     lists = {v: build_cascade(universe, table["key"][table["verdict"] == v].to_numpy(np.int64), size) for v in sorted({r[0] for r in rules})}
 
-    def verdicts(batches):
-        for b in batches:
-            keys = b["keys"]
-            n = np.array([0 if k is None else len(k) for k in keys], np.int64)
-            flat = np.array([x["key"] for k in keys if k is not None for x in k], np.int64)
-            page = np.repeat(np.arange(len(b)), n)
-            first, verdict = np.full(len(b), -1), np.full(len(b), default, object)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            best = np.full(len(b), np.iinfo(np.int64).max)
-            for name, cascade in lists.items():
-                held = cascade.holds(flat)
-                np.minimum.at(best, page[held], place[held])
-                mine = np.full(len(b), np.iinfo(np.int64).max)
-                np.minimum.at(mine, page[held], place[held])
-                take = (mine == best) & (mine < np.iinfo(np.int64).max)
-                first[take], verdict[take] = mine[take], name
-            rule = [None if f < 0 else keys.iloc[i][f]["host"] + keys.iloc[i][f]["path"] for i, f in enumerate(first)]
-            yield b[["page_id", "url", "host", "path"]].assign(rule=pd.Series(rule, dtype=object, index=b.index), verdict=verdict)
-
-    kind = dict(pages.dtypes)["page_id"]
-    return keyed.mapInPandas(verdicts, f"page_id {kind}, url string, host string, path string, rule string, verdict string")
+    @F.arrow_udf("place int, verdict string")
+    def first_listed(keys: pa.Array) -> pa.Array:
+        """Per page the place of its first key that a list holds, null if none does, and the list."""
+        ends = keys.offsets.to_numpy()
+        flat = keys.values.to_numpy()[ends[0] : ends[-1]]
+        n = np.diff(ends)
+        page, place = np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], n)
+        none = np.iinfo(np.int32).max
+        best, verdict = np.full(len(n), none), np.full(len(n), default, object)
+        for name, cascade in lists.items():
+            held, mine = cascade.holds(flat), np.full(len(n), none)
+            np.minimum.at(mine, page[held], place[held])
+            verdict[mine < best] = name
+            best = np.minimum(best, mine)
+        return pa.StructArray.from_arrays([pa.array(best.astype(np.int32), mask=best == none), pa.array(verdict, pa.string())], names=["place", "verdict"])
+
+    # only the keys go to Python, and come back as a place among the page's keys
+    judged = keyed.withColumn("first", first_listed(F.col("keys.key")))
+    won = F.get("keys", F.col("first.place"))
+    return judged.select("page_id", "url", "host", "path", F.concat(won["host"], won["path"]).alias("rule"), F.col("first.verdict").alias("verdict"))
