@@ -81,6 +81,22 @@ def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def in_order(df: DataFrame, order: list, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the place of each row in the order of all, from 0, as `at`, and per column of `sums` its sum over earlier rows as `before_<column>`.
+
+    Rows are sorted by ranges and written with their places inside the ranges; one count and one sum per range and column go through one task. `order` leaves no ties.
+    """
+    rows = written(df.sort(*order).withColumn("_place", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_place", 33))  # the sorted partition
+    per = rows.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", *[f"_s_{c}" for c in sums])])
+    inside = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumns({"_k": F.row_number().over(Window.partitionBy("_range").orderBy("_place")) - 1, **{f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums}})
+    placed = run.join(F.broadcast(starts), "_range")  # a row per sorted partition
+    return placed.select(*df.columns, (F.col("_n") + F.col("_k")).alias("at"), *[(F.col(f"_s_{c}") + F.col(f"before_{c}")).alias(f"before_{c}") for c in sums])
+
+
 def cleared(spark: SparkSession, path: str) -> None:
     """Deletes a table that no later plan reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

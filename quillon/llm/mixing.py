@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import fan_out, md5_int, named, offsets, word_count, written
+from quillon.llm.common import fan_out, in_order, md5_int, named, offsets, word_count, written
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -33,19 +33,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     times its source's size; what is over goes to the others by weight until none is
     above. In order of cap per weight the capped sources come first, so the level that
     the others reach follows from running sums, without iterating. With no words at
-    all every target is 0. The table of sources is small, so one sorted pass is fine.
+    all every target is 0. Sources may be many (sites): both orders are made range by range.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    by_level = Window.orderBy("_level", "_at")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ranked = sizes.withColumns({"_w": weight, "_at": F.row_number().over(by_name), "_cap": (F.col("source_size") * cap).cast("double")}).withColumn("_level", F.col("_cap") / F.col("_w"))
-    everything = Window.partitionBy()
-    levelled = ranked.withColumn("_lambda", (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(rest))
-    level = F.min(F.when(F.col("_lambda") <= F.col("_level"), F.col("_lambda"))).over(everything)
-    first = F.min(F.when(F.col("_lambda") <= F.col("_level"), F.struct("_level", "_at", "_lambda"))).over(everything)
-    return levelled.withColumn("_first", first).select("source", "source_size", F.when(F.col("_first").isNull() | (F.struct("_level", "_at") < F.struct(F.col("_first._level"), F.col("_first._at"))), F.col("_cap")).otherwise(F.col("_w") * F.col("_first._lambda")).alias("target"))
+    of = F.array(*[F.lit(float(w)) for w in weights])
+    by_name = in_order(sizes.select("source", "source_size"), [F.col("source").isNull(), F.col("source").cast("binary")]).withColumnRenamed("at", "_at")
+    capped = by_name.withColumns({"_w": F.get(of, (F.col("_at") % len(weights)).cast("int")), "_cap": (F.col("source_size") * cap).cast("double")}).withColumn("_level", F.col("_cap") / F.col("_w"))
+    ranked = in_order(capped, ["_level", "_at"], ("_cap", "_w"))
+    every = ranked.agg(F.sum("source_size").alias("_words"), F.sum("_w").alias("_weight"))
+    levelled = ranked.crossJoin(F.broadcast(every)).withColumn("_lambda", (F.col("_words") - F.col("before__cap")) / (F.col("_weight") - F.col("before__w")))
+    first = levelled.agg(F.min(F.when(F.col("_lambda") <= F.col("_level"), F.struct("_level", "_at", "_lambda"))).alias("_first"))
+    full = F.col("_first").isNull() | (F.struct("_level", "_at") < F.struct(F.col("_first._level"), F.col("_first._at")))
+    return levelled.crossJoin(F.broadcast(first)).select("source", "source_size", F.when(full, F.col("_cap")).otherwise(F.col("_w") * F.col("_first._lambda")).alias("target"))  # one row each
 
 
 def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_REPEATS) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import byte_size, fan_out, named, offsets, written
+from quillon.llm.common import byte_size, fan_out, in_order, named, offsets, written
 
 DIMENSIONS = ("source", "lang", "log_size")
 LAW = "bytes"
@@ -45,9 +45,11 @@ def _points(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int]:
 
 
 def _coordinates(points: DataFrame) -> DataFrame:
-    """Names become ranks from 0 to 1, sizes are scaled to the same range. The tables of names are dimension tables."""
+    """Names become ranks from 0 to 1, sizes are scaled to the same range. Names may be many (sites): they are put in order range by range."""
     for name in ("source", "lang"):
-        ranks = points.select(name).distinct().withColumn("_r", F.percent_rank().over(Window.orderBy(name)))
+        ranks = in_order(points.select(name).distinct(), [name])
+        last = ranks.agg(F.max("at")).first()[0] or 1
+        ranks = ranks.select(name, (F.col("at") / F.lit(float(last))).alias("_r"))
         points = points.join(ranks, name).drop(name).withColumnRenamed("_r", name)
     low, high = points.agg(F.min("log_size"), F.max("log_size")).first()
     span = (high - low) if high is not None and high > low else 1.0
