@@ -693,8 +693,10 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     ids = texts.select("id", "key", "more", "doc_id").join(tied, "id", "left").select("key", "more", "doc_id", F.coalesce("root", "id").alias("root"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     owner = ids.select("key", "more", "root").join(least, "root").select("key", "more", "component_id")
-    out = rows.select("doc_id", "key", "more", "n").join(owner, ["key", "more"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # texts without words are in no group; were they joined, all would have one key
+    linked = rows.where("n > 0").join(owner, ["key", "more"]).select("doc_id", "n", "component_id")
+    out = linked.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicated(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
