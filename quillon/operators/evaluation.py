@@ -1,4 +1,4 @@
-"""How well scores rank and fit. All start from counts per score at 6 decimals; AUC and KS put these, at most a million, in order as a whole, the others in ranges."""
+"""How well scores rank and fit. All start from counts per score at 6 decimals, at most a million, which are put in order range by range."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.scorecard import binned_counts
+from quillon.operators.scorecard import RANGES, binned_counts
+from quillon.sources.sinks import written
 
 
 #: least and greatest score
@@ -22,10 +23,15 @@ def _rounded(scored: DataFrame) -> DataFrame:
 
 
 def _running(scored: DataFrame) -> DataFrame:
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    counts = per_score(scored)
-    return counts.select("score", "g", "b", F.sum("g").over(w).alias("cg"), F.sum("b").over(w).alias("cb"), F.sum("g").over(every).alias("goods"), F.sum("b").over(every).alias("bads"))
+    """Counts per score with those up to it, `cg` and `cb`, and of all. Scores are dealt to ranges of equal width: a running sum over one sum per range, then inside each range."""
+    counts = written(per_score(scored)).withColumn("_r", F.coalesce(F.floor(F.col("score") * RANGES), F.lit(-1)))
+    per = counts.groupBy("_r").agg(F.sum("g").alias("_g"), F.sum("b").alias("_b"))  # RANGES + 2 rows at most, as scores lie between 0 and 1
+    before, every = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    below = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before{c}") for c in ("_g", "_b")]
+    starts = per.select("_r", *below, F.sum("_g").over(every).alias("goods"), F.sum("_b").over(every).alias("bads"))
+    w = Window.partitionBy("_r").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumns({"cg": F.sum("g").over(w), "cb": F.sum("b").over(w)}).join(F.broadcast(starts), "_r")
+    return run.select("score", "g", "b", (F.col("cg") + F.col("_before_g")).alias("cg"), (F.col("cb") + F.col("_before_b")).alias("cb"), "goods", "bads")
 
 
 def auc_gini(scored: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -536,3 +537,22 @@ def test_upsert_batch_run_again_changes_nothing(spark, tmp_path):
             os.remove(f"{state}/commits/{name}")
     run()
     assert latest() == before and sorted(os.listdir(path)) == versions
+
+
+def test_ranks_have_no_task_for_all_scores(spark):
+    rows = spark.range(1000).select((F.col("id") / 1000).alias("pd"), (F.col("id") % 2).alias("bad"))
+    for found in (evaluation.auc_gini(rows), evaluation.ks(rows)):
+        assert all("_r" in line and "_g" in line for line in windows_in_one_task(found))
+
+
+def test_ranks_over_ranges_against_plain_counts(spark):
+    """Scores at the edges of ranges, at 0 and 1, repeated, and null (below all)."""
+    rng = random.Random(12)
+    rows = [(rng.choice([0.0, 1.0, 0.001, 0.002, 0.0019999, None, round(rng.random(), 4)]), rng.randrange(2)) for _ in range(600)]
+    at = [-1.0 if p is None else round(p, 6) for p, _ in rows]
+    goods, bads = [a for a, (_, y) in zip(at, rows) if not y], [a for a, (_, y) in zip(at, rows) if y]
+    area = sum((g < b) + (g == b) / 2 for g in goods for b in bads) / len(goods) / len(bads)
+    gap = max(abs(sum(g <= x for g in goods) / len(goods) - sum(b <= x for b in bads) / len(bads)) for x in set(at))
+    frame = spark.createDataFrame(rows, "pd double, bad long")
+    assert evaluation.auc_gini(frame).first().auc == pytest.approx(area, abs=1e-6)
+    assert evaluation.ks(frame).first().ks == pytest.approx(gap, abs=1e-6)
