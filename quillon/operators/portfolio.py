@@ -53,10 +53,14 @@ def stress(losses: DataFrame, scenarios=SCENARIOS) -> DataFrame:
 
 
 def watchlist(before: DataFrame, after: DataFrame, paid: DataFrame) -> DataFrame:
-    """Names (one column, borrower) that are new, kept or cleared between two lists, without those that have paid up."""
-    a, b, gone = (x.select("borrower").distinct() for x in (before, after, paid))
-    moves = b.exceptAll(a).withColumn("move", F.lit("new")).unionByName(a.intersect(b).withColumn("move", F.lit("kept"))).unionByName(a.exceptAll(b).withColumn("move", F.lit("cleared")))
-    return moves.join(gone, "borrower", "left_anti").select("borrower", "move")
+    """Names (one column, borrower) that are new, kept or cleared between two lists, without those that have paid up; a null name never has.
+
+    One aggregate tells on which lists a name stands, so a task holds a number per name, and no list is joined with another.
+    """
+    lists = [x.select("borrower", F.lit(bit).alias("_on")) for bit, x in ((1, before), (2, after), (4, paid.where("borrower IS NOT NULL")))]
+    seen = lists[0].union(lists[1]).union(lists[2]).groupBy("borrower").agg(F.bit_or("_on").alias("_on"))
+    move = F.when(F.col("_on") == 1, "cleared").when(F.col("_on") == 2, "new").otherwise("kept")
+    return seen.where("_on < 4").select("borrower", move.alias("move"))
 
 
 def risk_bands(scored: DataFrame, bands=BANDS) -> DataFrame:

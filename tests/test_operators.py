@@ -162,6 +162,15 @@ def test_watchlist_moves(spark):
     assert found == {1: "cleared", 2: "kept", 3: "new"}
 
 
+def test_watchlist_of_null_names_and_one_aggregate(spark):
+    """A null name moves like others and is never paid up; each list is read once and none is joined with another."""
+    name = lambda *x: spark.createDataFrame([(i,) for i in x], "borrower int")
+    found = portfolio.watchlist(name(1, None, 1, 6), name(2, None, 6), name(None, 2, 7))
+    assert {r.borrower: r.move for r in found.collect()} == {1: "cleared", None: "kept", 6: "kept"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 3
+
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
