@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.functions.money import money
@@ -121,66 +120,30 @@ def velocity_alerts(events: DataFrame, n: int = 4, span_seconds: int = 6 * 3600,
     return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, n long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class OrderedAlerts(StatefulProcessor):
-    """Per borrower, events wait in cells of time until the watermark has passed the cell; then they are counted in order of time.
+def counted(held: np.ndarray, n: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (borrower, time, event) in order of borrower, time and event the rows that are at least the n-th of their borrower within the span that ends with them, and which they are."""
+    held = held[np.lexsort((held[:, 2], held[:, 1], held[:, 0]))]
+    if not len(held):
+        return held, np.zeros(0, np.int64)
+    who = np.cumsum(np.diff(held[:, 0], prepend=held[0, 0]) != 0)
+    at = held[:, 1] - held[:, 1].min() + span
+    # borrowers one after another on one axis, so that no span reaches back into another's; as many at once as 62 bits hold
+    wide = int(at.max()) + 1
+    most = max(1, (1 << 62) // wide)
+    begun = np.zeros(len(held), np.int64)
+    for k in range(0, int(who[-1]) + 1, most):
+        i, j = np.searchsorted(who, [k, k + most])
+        line = (who[i:j] - k) * wide + at[i:j]
+        begun[i:j] = i + np.searchsorted(line, line - span)
+    found = np.arange(1, len(held) + 1) - begun
+    return held[found >= n], found[found >= n]
 
-    State: the waiting events per cell, and the times of the last span. Rows come in Arrow batches, each put into its cells before the next is read, so what a
-    task holds is one Arrow batch and one cell of a borrower. A timer per cell counts it; one a span later clears what is left.
-    """
 
-    def __init__(self, n: int, span: int, cell: int):
-        self.n, self.span, self.cell = n, span, cell
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "cell long", "us array<long>, ids array<long>")
-        self.recent = handle.getValueState("recent", "times array<long>")
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = set()
-        for frame in rows:
-            us, ids = frame["us"].to_numpy(), frame["event_id"].to_numpy()
-            cells = us // self.cell
-            for c in np.unique(cells).tolist():
-                more_us, more_ids = us[cells == c].tolist(), ids[cells == c].tolist()
-                if self.waiting.containsKey((c,)):
-                    have = self.waiting.getValue((c,))
-                    more_us, more_ids = [*have[0], *more_us], [*have[1], *more_ids]
-                self.waiting.updateValue((c,), (more_us, more_ids))
-                if c not in known:
-                    known.add(c)
-                    self.handle.registerTimer((c + 1) * self.cell // 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        own = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.cell - 1
-        # the first of a batch's timers counts all cells that are passed
-        ready = sorted(c for (c,) in self.waiting.keys() if (c + 1) * self.cell <= mark) if self.waiting.containsKey((own,)) else []
-        times = list(self.recent.get()[0]) if self.recent.exists() else []
-        for c in ready:
-            us, ids = self.waiting.getValue((c,))
-            self.waiting.removeKey((c,))
-            out = []
-            for at, event in sorted(zip(us, ids)):
-                times.append(at)
-                found = len(times) - bisect_left(times, at - self.span)
-                if found >= self.n:
-                    out.append((key[0], event, found))
-            times = times[bisect_left(times, times[-1] - self.span) :]
-            if out:
-                yield pd.DataFrame(out, columns=["user_id", "event_id", "n"])
-        if ready:
-            self.handle.registerTimer((times[-1] + self.span) // 1000 + 1)
-            self.recent.update((times,))
-        elif times and times[-1] + self.span < mark:
-            self.recent.clear()
-
-    def close(self) -> None:
-        pass
-
-
-#: what transformWithState needs
+#: groups into which borrowers are dealt, by a hash, for their waiting events
+WAITING = 1024
+
+
+#: a state store that needn't hold what waits in memory
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -188,11 +151,39 @@ def ordered_alerts(events: DataFrame, n: int = 4, span_seconds: int = 6 * 3600,
     """An alert for each event that is at least the n-th of its borrower within the span that ends with it; of equal times the smaller event_id counts first.
 
     Unlike velocity_alerts it is sent when the watermark has passed the event, so it counts every event that came in time, in whatever order. Events behind the watermark are
-    dropped; null borrowers and times have no alerts. Events wait in cells of `cell_seconds` (the span): longer ones mean fewer calls to the state store, shorter ones less memory. The session's state store must be ROCKSDB, as transformWithState needs it.
+    dropped; null borrowers and times have no alerts.
+
+    Events wait in cells of `cell_seconds` (the span) until the watermark has passed the cell. The state is a cell of one of WAITING groups of borrowers, as packed numbers, so a batch
+    makes a call for each cell that it touches and not for each borrower. An event also waits, to be counted but not judged, in the later cells that its span reaches: longer cells mean fewer
+    copies, shorter ones less memory. What a task holds is one such cell: all events of the cell's time divided by WAITING, or the largest borrower's. With the store ROCKSDB the other cells aren't held in memory.
     """
-    span = span_seconds * 1_000_000
-    timed = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("user_id").transformWithStateInPandas(OrderedAlerts(n, span, max(1, cell_seconds or span_seconds) * 1_000_000), "user_id long, event_id long, n long", "Append", "EventTime")
+    span, cell = span_seconds * 1_000_000, max(1, cell_seconds or span_seconds) * 1_000_000
+    columns = ["user_id", "us", "event_id"]
+
+    def step(key: tuple, batches, state: GroupState):
+        mine = int(key[1])
+        end = (mine + 1) * cell // 1000
+        held = [np.frombuffer(state.get[0], np.int64).reshape(-1, 3)] if state.exists else []
+        if not state.hasTimedOut:
+            held += [b[columns].to_numpy(np.int64) for b in batches]
+        held = np.concatenate(held)
+        # a batch may hold rows of cells that its own watermark has passed, if that of the batch before hadn't
+        if state.hasTimedOut or end <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            rows, found = counted(held, n, span)
+            own = rows[:, 1] // cell == mine
+            yield pd.DataFrame({"user_id": rows[own, 0], "event_id": rows[own, 2], "n": found[own]})
+        else:
+            state.update((held.tobytes(),))
+            state.setTimeoutTimestamp(end - 1)
+
+    def of(us: Column) -> Column:
+        return ((us - F.pmod(us, F.lit(cell))) / F.lit(cell)).cast("long")  # whole numbers below 2 ** 53 divide exactly
+
+    us = F.unix_micros("ts")
+    timed = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select("user_id", "event_id", "ts", us.alias("us"), F.pmod(F.xxhash64("user_id"), F.lit(WAITING)).alias("_group"), F.explode(F.sequence(of(us), of(us + F.lit(span)))).alias("_cell"))
+    return timed.groupBy("_group", "_cell").applyInPandasWithState(step, "user_id long, event_id long, n long", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_rows(events: DataFrame, landed: DataFrame) -> DataFrame:

@@ -507,6 +507,37 @@ def test_ordered_alerts_forget(spark, rocksdb):
     assert {tuple(r) for r in found.collect()} == {(1, 2, 2), (1, 5, 2)}
 
 
+def test_ordered_alerts_keep_a_state_per_group_not_per_borrower(spark, rocksdb, monkeypatch):
+    """Many borrowers with events on both sides of a cell's edge: rows of state stay few, and what a span before the cell brings is counted once."""
+    monkeypatch.setattr(behaviour, "WAITING", 3)
+    rows = [event(10 * u + k, t, u) for u in range(1, 60) for k, t in enumerate((1, 9, 11, 30))] + [event(0, 5000, 0)]
+    states, put = [], behaviour.run_to_end
+
+    def kept(stream, *a, **k):
+        found = put(stream, *a, **k)
+        states.append(spark.read.format("statestore").load(f"{k['folder']}/state").count())
+        return found
+
+    monkeypatch.setattr(behaviour, "run_to_end", kept)
+    part = F.when(F.col("event_id") == 0, 1).otherwise(0)
+    found = behaviour.run_in_parts(spark.createDataFrame(rows, EVENTS), part, lambda s: behaviour.ordered_alerts(s, 2, 3 * 3600, "4 hours", 10 * 3600))
+    assert {tuple(r) for r in found.collect()} == {(u, 10 * u + 2, 2) for u in range(1, 60)}
+    assert states[0] <= 3 * 4
+
+
+def test_counted_is_each_borrowers_span():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    held = np.stack([rng.integers(-2, 5, 300), rng.integers(-50, 50, 300), np.arange(300)], axis=1)
+    for far in (0, 1 << 60):  # with far times only a few borrowers fit on one axis
+        some = np.concatenate([held, [[9, far, 300]]])
+        rows, n = behaviour.counted(some, 2, 10)
+        want = {(u, t, i, k) for u, t, i in some.tolist() if (k := sum(v == u and t - 10 <= s and (s, j) <= (t, i) for v, s, j in some.tolist())) >= 2}
+        assert {(*r, k) for r, k in zip(rows.tolist(), n.tolist())} == {(u, t, i, k) for u, t, i, k in want}
+    assert len(behaviour.counted(held[:0], 1, 10)[0]) == 0
+
+
 def test_upsert_reads_and_keeps_live_versions_only(spark, tmp_path):
     """However many batches there were, a batch reads one version of a bucket; a batch that is run again changes nothing."""
     import os
