@@ -196,10 +196,11 @@ FEATURES = ["balance", "exposure", "opened_90d"]
 
 
 def all_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All accounts with features known at their opening, and their label if they have one."""
+    """All accounts with features known at their opening, and their label if they have one. Written once, as cuts, weights, fits and scores each read them."""
     opened = features.velocity(read_table(spark, d, "orders")).select("account", F.col("opened").cast("double").alias("opened_90d"))
     bad = labels.default_label(read_table(spark, d, "lineitem")).select("account", "bad", F.col("bad").cast("double").alias("label"))
-    return scorecard.split(base(spark, d).join(opened, "account").join(bad, "account", "left"), "2000-07-01")
+    rows = scorecard.split(base(spark, d).join(opened, "account").join(bad, "account", "left"), "2000-07-01")
+    return sinks.written(rows.select("account", "bad", "label", "part", *FEATURES))
 
 
 def model_rows(spark: SparkSession, d: str) -> DataFrame:

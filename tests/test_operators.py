@@ -601,3 +601,11 @@ def test_ranks_over_ranges_against_plain_counts(spark):
     frame = spark.createDataFrame(rows, "pd double, bad long")
     assert evaluation.auc_gini(frame).first().auc == pytest.approx(area, abs=1e-6)
     assert evaluation.ks(frame).first().ks == pytest.approx(gap, abs=1e-6)
+
+
+def test_model_rows_are_made_once(spark, small):
+    """Cuts, weights, fits and scores scan what was written; none repeats the joins of four tables."""
+    from quillon.plans import queries
+
+    plan = queries.model_rows(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
