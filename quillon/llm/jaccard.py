@@ -11,8 +11,8 @@ the rest by hash. Two sets can only reach the similarity when the first quarter
    shares is one item, not hundreds. A text is a path of items in the global order.
 4. Texts meet at their items, dealt out in blocks of BLOCK. In each block a text is tried against the block's leaders and emits the first that
    its length, place and sketch leave possible (all three are exact bounds), so a block emits no more pairs than it has texts.
-5. These pairs are verified on whole sets: the partners of a text are stored in a prefix tree, which is walked once with the
-   text's set. What is similar is tied together.
+5. Pairs of long texts, whose sketches are too short to tell much, first meet with finer ones, of some slots a shingle. What these leave possible is verified on
+   whole sets: the partners of a text are stored in a prefix tree, which is walked once with the text's set. What is similar is tied together.
 6. Where an item's texts aren't all tied, their paths from that item on are stored in a prefix tree, one a block, and the texts outside the largest tied group
    walk it: paths that begin alike share their partial overlap, and a subtree goes as soon as what remains of it, or of the
    walker, can't reach the bound. What is left has its sketch compared and is verified as before.
@@ -60,8 +60,8 @@ HOT, HOT_ITEMS = 4096, 50_000
 PATH = 64
 #: places at which the shingles of a prefix that no other text has are counted
 MARKS = 8
-#: bytes of a sketch at most; a shorter one rules out less
-SKETCH = 128
+#: bytes of a sketch at most, where texts meet at items and where pairs are sifted; a shorter one rules out less
+SKETCH, FINE = 128, 2048
 
 
 def slices(batches, limit: int = CHUNK):
@@ -125,6 +125,11 @@ class Sets:
         return [bits[a // 8 : b // 8] for a, b in zip(base[:-1], base[1:])]
 
 
+def folded(sketch: bytes, most: int = SKETCH) -> bytes:
+    """A sketch with `most` bytes at most, the one that `sketches` makes for that bound."""
+    return sketch if len(sketch) <= most else np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, most), axis=0).tobytes()
+
+
 class Sketch:
     """A parity sketch as one integer. Slots are taken modulo a power of two, so a sketch folds to fewer slots by adding parities."""
 
@@ -320,7 +325,7 @@ class Order:
 
 
 def _texts(docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
-    """Per document: doc_id, key and more, n, sketch its prefix as shingles `t` (signed, so that their order is the global one) and places `pos`, without those known to be in one text only; how many those are (`m`), marks of where they stand (`alone`), and the prefix's last shingle (`end`)."""
+    """Per document: doc_id, key and more, n, sketch, if that had to be shortened its fine form, its prefix as shingles `t` (signed, so that their order is the global one) and places `pos`, without those known to be in one text only; how many those are (`m`), marks of where they stand (`alone`), and the prefix's last shingle (`end`)."""
     kind, frequent, sieve = dict(docs.dtypes)["doc_id"], order.frequent, order.repeated
 
     def made(batches):
@@ -338,9 +343,12 @@ def _texts(docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
             signed = signed[first]
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed, sets.rank[first].astype(np.int32))]
             names = [pa.array(x.view(np.int64)) for x in (sets.key, sets.more)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *names, pa.array(sets.size.astype(np.int64)), pa.array(sets.sketches(), pa.binary()), pa.array(np.bincount(sets.doc[whole & ~first], minlength=len(sets.size))), pa.array([x.tobytes() for x in alone], pa.binary()), pa.array(end), *lists], names=["doc_id", "key", "more", "n", "sketch", "m", "alone", "end", "t", "pos"])
+            fine = sets.sketches(FINE)
+            short = [folded(x) for x in fine]
+            fine = [x if len(x) > len(y) else None for x, y in zip(fine, short)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *names, pa.array(sets.size.astype(np.int64)), pa.array(short, pa.binary()), pa.array(fine, pa.binary()), pa.array(np.bincount(sets.doc[whole & ~first], minlength=len(sets.size))), pa.array([x.tobytes() for x in alone], pa.binary()), pa.array(end), *lists], names=["doc_id", "key", "more", "n", "sketch", "fine", "m", "alone", "end", "t", "pos"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key long, more long, n long, sketch binary, m long, alone binary, end long, t array<long>, pos array<int>")
+    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, key long, more long, n long, sketch binary, fine binary, m long, alone binary, end long, t array<long>, pos array<int>")
 
 
 def _fresh(sets: Sets) -> np.ndarray:
@@ -477,9 +485,23 @@ def merged(batches, most: int = 256, limit: int = 4 * CHUNK):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def sifted(pairs: DataFrame, texts: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
+    """Those of the pairs (a, b) that fine sketches leave possible. Pairs of which a text has none (its sketch was whole) have been compared as finely as can be."""
+    long = texts.where("fine IS NOT NULL").select("id", "n", "fine")
+    met = pairs.join(long.toDF("a", "na", "fa"), "a", "left").join(long.toDF("b", "nb", "fb"), "b", "left")
+
+    def possible(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "fa", "nb", "fb")))
+            keep = [fa is None or fb is None or may_reach(fa, na, fb, nb, overlap_needed(na, nb, near)) for na, fa, nb, fb in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.select("a", "b", "na", "fa", "nb", "fb").mapInArrow(possible, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, order: Order, near: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) of texts that are similar, by prefix trees over whole sets."""
-    left = written(pairs)
+    left = written(sifted(pairs, texts, near))
     # a text and its partners meet in groups of about PARTNERS
     needed = dealt_jobs(left).withColumnRenamed("key", "id").join(texts.select("id", "key", "more", F.col("doc_id").alias("d")), "id").drop("id")
     if left.count() <= MAX_NAMED // 2:
@@ -679,7 +701,7 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     wide, path = written_at(_texts(docs, order, near))
     order.forget_slots()
     # equal texts, however many, are one text from here on; its number is fixed as it is written
-    texts = wide.where("n > 0").groupBy("key", "more").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "sketch", "m", "alone", "end", "t", "pos")).alias("s")).select("key", "more", "doc_id", "s.*")
+    texts = wide.where("n > 0").groupBy("key", "more").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "sketch", "fine", "m", "alone", "end", "t", "pos")).alias("s")).select("key", "more", "doc_id", "s.*")
     texts = written(texts.withColumn("id", F.monotonically_increasing_id()))
     rows = written(wide.select("doc_id", "key", "more", "n"))
     cleared(docs.sparkSession, path)  # all that is read from here on is in these two

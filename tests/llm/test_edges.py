@@ -301,6 +301,33 @@ def test_sketch_is_a_bound():
             assert jaccard.may_reach(a, len(x), b, len(y), len(x & y))
 
 
+def test_long_pairs_are_sifted_before_their_sets_move(spark, monkeypatch):
+    """Long texts with a passage in common, whose short sketches are full: without fine ones pairs of them are verified on whole sets, with them near copies only, and none is lost."""
+    rng, rows, counts, deal = random.Random(8), [], [], jaccard.dealt_jobs
+    shared = [f"s{k}" for k in range(500)]
+    for i in range(12):
+        words = shared + [f"v{i}_{k}" for k in range(1500)]
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(600, 1900)] = "other"
+        rows.append((100 + i, " ".join(words)))
+
+    def counting(left):
+        counts[-1] += left.count()
+        return deal(left)
+
+    monkeypatch.setattr(jaccard, "dealt_jobs", counting)
+    for fine in (jaccard.SKETCH, jaccard.FINE):
+        monkeypatch.setattr(jaccard, "FINE", fine)
+        counts.append(0)
+        assert sorted(map(tuple, jaccard.near_duplicates(documents(spark, rows)).collect())) == sorted(brute_components(rows))
+    assert counts[1] == 12 < counts[0]
+
+
+def test_folded_sketch_is_the_shorter_one():
+    sets = jaccard.Sets(pa.array([" ".join(f"w{k}" for k in range(n)) for n in (0, 3, 90, 3000, 9000)]), np.zeros(0, np.uint64))
+    assert [jaccard.folded(x) for x in sets.sketches(jaccard.FINE)] == sets.sketches()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     random.Random(1).shuffle(edges)
