@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 #: A run of anything but ASCII white space is a word.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: short rows of a table that one task writes
+ROWS_A_FILE = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,6 +83,14 @@ def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written_short(df: DataFrame, rows: int) -> DataFrame:
+    """As written, for a table of about so many rows of a few numbers: as many tasks write it as its rows need, whatever the number of shuffle partitions.
+
+    On a local folder Hadoop starts three processes (chmod) for each file that a task writes, so a small table in hundreds of files takes time and memory for nothing.
+    """
+    return written(df.coalesce(max(1, -(-rows // ROWS_A_FILE))))
+
+
 def in_order(df: DataFrame, order: list, sums: tuple[str, ...] = ()) -> DataFrame:
     """Adds the place of each row in the order of all, from 0, as `at`, and per column of `sums` its sum over earlier rows as `before_<column>`.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import written_short
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
     """For links (a, b) of longs: node and root, the least node that it is tied to; roots themselves have no row.
 
     Each round ties the nodes of a chain to lesser ones, so the rounds grow with the logarithm of a chain's length; the
-    table is written to the checkpoint folder after each, until a round changes nothing. An edge table without rows gives none.
+    table is written to the checkpoint folder after each, in files as its rows need, until a round changes nothing. An edge table without rows gives none.
+    Links are read twice, so they should be a written table.
     """
-    state = written(edges.select("a", "b").where("a != b").distinct())
+    state = written_short(edges.select("a", "b").where("a != b").distinct(), edges.count())
     before = None
     while True:
         now = state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first()
         if now[0] == 0 or before == now:
             return state.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before, state = now, written(_small_star(_large_star(state)))
+        before, state = now, written_short(_small_star(_large_star(state)), now[0])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import cleared, written, written_at
+from quillon.llm.common import cleared, written, written_at, written_short
 from quillon.llm.components import components
 from quillon.llm.words import Words, grams, inside, mixed
 
@@ -703,7 +703,7 @@ def near_duplicates(docs: DataFrame, near: tuple[int, int] = NEAR) -> DataFrame:
     # equal texts, however many, are one text from here on; its number is fixed as it is written
     texts = wide.where("n > 0").groupBy("key", "more").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "sketch", "fine", "m", "alone", "end", "t", "pos")).alias("s")).select("key", "more", "doc_id", "s.*")
     texts = written(texts.withColumn("id", F.monotonically_increasing_id()))
-    rows = written(wide.select("doc_id", "key", "more", "n"))
+    rows = written_short(wide.select("doc_id", "key", "more", "n"), wide.count())
     cleared(docs.sparkSession, path)  # all that is read from here on is in these two
     paths, hot = item_paths(texts)
     links = written(_verified(led_pairs(paths, near), texts, docs, order, near))

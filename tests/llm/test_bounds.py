@@ -1,11 +1,14 @@
-"""What may not grow: rows taken to the driver, and the time of deeply nested pages."""
+"""What may not grow: rows taken to the driver, files of small tables, and the time of deeply nested pages."""
 
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import html_extraction, toxicity
+from quillon.llm import common, html_extraction, toxicity
+from quillon.llm.common import shared_folder
+from quillon.llm.components import components
 
 
 @pytest.mark.parametrize("texts", [1, 50_000])
@@ -40,3 +43,26 @@ def test_time_of_a_page_is_in_proportion_to_its_size(shape):
     began = time.time()
     html_extraction.parse(shape(16_000))
     assert time.time() - began < 2.5
+
+
+@pytest.mark.parametrize("rows", [None, 100])
+def test_files_of_components_grow_with_links_and_not_with_partitions(spark, monkeypatch, rows):
+    """Each file that a task writes starts processes on its executor; 300 links in 40 shuffle partitions need one file, or a file for each `rows`."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    known = set(folder.iterdir())
+    if rows:
+        monkeypatch.setattr(common, "ROWS_A_FILE", rows, raising=False)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(100 * c, 100 * c + k) for c in range(4) for k in range(1, 76)], "a long, b long")
+        found = {r.node: r.root for r in components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {100 * c + k: 100 * c for c in range(4) for k in range(1, 76)}
+    files = [len(list(table.glob("part-*"))) for table in set(folder.iterdir()) - known]
+    assert len(files) > 1
+    assert max(files) == (-(-300 // rows) if rows else 1)
